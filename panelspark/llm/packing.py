@@ -25,7 +25,9 @@ from panelspark.llm.common import small_batches
 
 #: Tokens that a task packs at once, words whose tokens a task remembers.
 BLOCK_TOKENS, REMEMBERED = 1 << 20, 400_000
-_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Words of these characters alone are cut here as the tokenizer's own pattern cuts them.
+_PLAIN = re.compile("[\x21-\x7e\xc0-\xff]+")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 class WordTokenizer:
@@ -41,37 +43,46 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-
-    def _encode(self, parts: list[bytes]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast([p.decode() for p in parts], add_special_tokens=False)]
-
-    def learn(self, words: set[bytes]) -> None:
+        self.parts: dict[str, bytes] = {}
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Of parts that the tokenizer cuts no further: all in one text, told apart by their place in it."""
+        got = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
+        place = np.array(got.word_ids, np.int64)
+        if not len(place) or place[-1] != len(parts) - 1:
+            return self._encode(parts)
+        ids, size = np.array(got.ids, "<u4").tobytes(), np.bincount(place, minlength=len(parts))
+        stop = (4 * np.cumsum(size)).tolist()
+        return [ids[a:b] for a, b in zip([0, *stop[:-1]], stop)]
+
+    def learn(self, words: list[bytes]) -> None:
         if len(self.words) > REMEMBERED:
             self.words.clear()
         if len(self.parts) > REMEMBERED:
             self.parts.clear()
-        split, whole = {}, []
+        split, whole, known = [], [], self.parts
+        plain, find = _PLAIN.fullmatch, _PIECE.findall
         for w in words:
-            if w.isascii() and b"<|" not in w and w.isprintable() if isinstance(w, str) else (w.isascii() and b"<|" not in w and min(w) > 31 and max(w) < 127):
-                split[w] = _PIECE.findall(w.lower())
+            s = w.decode()
+            if plain(s) and "<|" not in s:
+                split.append((w, find(s.lower())))
             else:
-                whole.append(w)
-        new = list({p for parts in split.values() for p in parts if p not in self.parts})
-        self.parts.update(zip(new, self._encode(new)))
-        get = self.parts.__getitem__
-        for w, parts in split.items():
-            self.words[w] = b"".join(map(get, parts))
-        self.words.update(zip(whole, self._encode(whole)))
+                whole.append((w, s))
+        new = list({p for _, parts in split for p in parts if p not in known})
+        if new:
+            known.update(zip(new, self._encode_parts(new)))
+        get = known.__getitem__
+        self.words.update((w, b"".join(map(get, parts))) for w, parts in split)
+        if whole:
+            self.words.update(zip([w for w, _ in whole], self._encode([s for _, s in whole])))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        known = self.words
-        new = {w for words in split for w in words if w not in known}
-        if new:
-            self.learn(new)
-            if any(w not in known for words in split for w in words):  # what was known has just been forgotten
-                self.learn({w for words in split for w in words})
+        words, known = set().union(*split), self.words
+        self.learn([w for w in words if w not in known] if len(known) <= REMEMBERED else list(words))
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
@@ -169,8 +180,8 @@ def _packer(path: str, capacity: int, end_id: int) -> Callable:
             ids, tokens, total, made = [], [], 0, made + n
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                part = batch.slice(k, 64)
+            for k in range(0, batch.num_rows, 200):
+                part = batch.slice(k, 200)
                 new = [t + end for t in tokenizer.encode([(t.as_py() or "").encode() for t in part.column("_text")])]
                 ids.append(part.column("_id"))
                 tokens += new

@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from panelspark.llm.packing import op4_packing
+from panelspark.llm.substring_dedup import op1_substring_dedup
 from panelspark.llm.suffix_dedup import op9_suffix_dedup
+from panelspark.llm.topk import OP10_SQL, op10_topk
 
-QUERIES = {"op9_suffix_dedup": op9_suffix_dedup}
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op4_packing": op4_packing,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_topk": op10_topk,
+}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op10_topk": OP10_SQL}
