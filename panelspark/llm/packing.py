@@ -10,6 +10,7 @@ If its fullest window exceeds the capacity, the number of windows rises and the
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 from collections.abc import Callable, Iterator
@@ -23,68 +24,82 @@ from pyspark.sql import types as T
 
 from panelspark.llm.common import small_batches
 
-#: Tokens that a task packs at once, words whose tokens a task remembers.
-BLOCK_TOKENS, REMEMBERED = 1 << 20, 400_000
-#: Words of these characters alone are cut here as the tokenizer's own pattern cuts them.
-_PLAIN = re.compile("[\x21-\x7e\xc0-\xff]+")
+#: Tokens that a task packs at once, words whose tokens a task remembers, characters tokenised at once.
+BLOCK_TOKENS, REMEMBERED = 1 << 20, 800_000
+CHUNK = 1 << 19
+#: Texts of these characters alone are cut here as the tokenizer's own pattern cuts them.
+_PLAIN = re.compile("[\x09-\x0d\x20-\x7e\xc0-\xff]*")
+_SPACE = re.compile("[\x09-\x0d\x20]")
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 class WordTokenizer:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    Text is cut at ASCII white space, across which this vocabulary's normaliser and pattern join nothing, so
-    that each different word is tokenised once. ASCII words are further cut as the tokenizer's own pattern
-    does; all other words are given to the tokenizer whole."""
+    Text is cut at ASCII white space, across which this vocabulary's normaliser and pattern join nothing. Words
+    of plain characters are further cut as the tokenizer's own pattern does, and each different part is
+    tokenised once; a word with any other character is given to the tokenizer whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        self.whole = Tokenizer.from_str(json.dumps(model))
+        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        model |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, level]}}
+        self.parts_only = Tokenizer.from_str(json.dumps(model))
+        self.known: dict[str, bytes] = {}
+
+    def _parts(self, text: str) -> list[str]:
+        """The parts of a text; a part that starts with a space stands for a word that goes to the tokenizer whole."""
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return _PIECE.findall(text.lower())
+        out: list[str] = []
+        for w in _SPACE.split(text):
+            if _PLAIN.fullmatch(w) and "<|" not in w:
+                out += _PIECE.findall(w.lower())
+            else:
+                out.append(" " + w)
+        return out
 
-    def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        """Of parts that the tokenizer cuts no further: all in one text, told apart by their place in it."""
-        got = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
-        place = np.array(got.word_ids, np.int64)
-        if not len(place) or place[-1] != len(parts) - 1:
-            return self._encode(parts)
-        ids, size = np.array(got.ids, "<u4").tobytes(), np.bincount(place, minlength=len(parts))
+    def _learn(self, parts: list[str]) -> None:
+        whole = [p for p in parts if p[0] == " "]
+        if whole:
+            self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(whole, self.whole.encode_batch_fast([p[1:] for p in whole], add_special_tokens=False)))
+            parts = [p for p in parts if p[0] != " "]
+        if not parts:
+            return
+        got = self.parts_only.encode(" ".join(parts), add_special_tokens=False)
+        ids, size = np.array(got.ids, "<u4").tobytes(), np.bincount(np.array(got.word_ids, np.int64), minlength=len(parts))
         stop = (4 * np.cumsum(size)).tolist()
-        return [ids[a:b] for a, b in zip([0, *stop[:-1]], stop)]
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        split, whole, known = [], [], self.parts
-        plain, find = _PLAIN.fullmatch, _PIECE.findall
-        for w in words:
-            s = w.decode()
-            if plain(s) and "<|" not in s:
-                split.append((w, find(s.lower())))
-            else:
-                whole.append((w, s))
-        new = list({p for _, parts in split for p in parts if p not in known})
+        self.known.update((p, ids[a:b]) for p, a, b in zip(parts, [0, *stop[:-1]], stop))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if any(len(t) > CHUNK for t in texts):
+            return [b"".join(self._encode([part])[0] for part in self._chunks(t)) for t in texts]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        split, known = [self._parts(t) for t in texts], self.known
+        need = set().union(*split)
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = [p for p in need if p not in known]
         if new:
-            known.update(zip(new, self._encode_parts(new)))
+            self._learn(new)
         get = known.__getitem__
-        self.words.update((w, b"".join(map(get, parts))) for w, parts in split)
-        if whole:
-            self.words.update(zip([w for w, _ in whole], self._encode([s for _, s in whole])))
+        return [b"".join(map(get, parts)) for parts in split]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        words, known = set().union(*split), self.words
-        self.learn([w for w in words if w not in known] if len(known) <= REMEMBERED else list(words))
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+    def _chunks(self, text: str) -> Iterator[str]:
+        """The text in parts, cut at white space."""
+        s = 0
+        while s < len(text):
+            cut = _SPACE.search(text, s + CHUNK - 1) if len(text) - s > CHUNK else None
+            stop = cut.start() if cut else len(text)
+            yield text[s:stop]
+            s = stop + 1
 
 
 def differencing(sizes: list[int], windows: int) -> list[int]:
@@ -182,7 +197,7 @@ def _packer(path: str, capacity: int, end_id: int) -> Callable:
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
                 part = batch.slice(k, 200)
-                new = [t + end for t in tokenizer.encode([(t.as_py() or "").encode() for t in part.column("_text")])]
+                new = [t + end for t in tokenizer.encode([t.as_py() or "" for t in part.column("_text")])]
                 ids.append(part.column("_id"))
                 tokens += new
                 total += sum(map(len, new)) // 4
