@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from panelspark.llm.chat import OP8_SQL, op8_chat
 from panelspark.llm.packing import op4_packing
 from panelspark.llm.substring_dedup import op1_substring_dedup
 from panelspark.llm.suffix_dedup import op9_suffix_dedup
 from panelspark.llm.topk import OP10_SQL, op10_topk
+from panelspark.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_warc": op2_warc,
     "op4_packing": op4_packing,
+    "op8_chat": op8_chat,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_topk": op10_topk,
 }
 
-ORACLE_SQL = {"op10_topk": OP10_SQL}
+ORACLE_SQL = {"op2_warc": OP2_SQL, "op8_chat": OP8_SQL, "op10_topk": OP10_SQL}
