@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from panelspark.llm.chat import OP8_SQL, op8_chat
+from panelspark.llm.language import op6_language
 from panelspark.llm.packing import op4_packing
+from panelspark.llm.quality import op7_quality
 from panelspark.llm.substring_dedup import op1_substring_dedup
 from panelspark.llm.suffix_dedup import op9_suffix_dedup
 from panelspark.llm.topk import OP10_SQL, op10_topk
@@ -13,6 +15,8 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
     "op4_packing": op4_packing,
+    "op6_language": op6_language,
+    "op7_quality": op7_quality,
     "op8_chat": op8_chat,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_topk": op10_topk,
