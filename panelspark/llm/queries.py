@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from panelspark.llm.chat import OP8_SQL, op8_chat
+from panelspark.llm.jaccard import op3_jaccard
 from panelspark.llm.language import op6_language
 from panelspark.llm.packing import op4_packing
 from panelspark.llm.quality import op7_quality
@@ -14,6 +15,7 @@ from panelspark.llm.warc import OP2_SQL, op2_warc
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
+    "op3_jaccard": op3_jaccard,
     "op4_packing": op4_packing,
     "op6_language": op6_language,
     "op7_quality": op7_quality,
