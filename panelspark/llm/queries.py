@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from panelspark.llm.chat import OP8_SQL, op8_chat
+from panelspark.llm.decontaminate import op5_decontaminate
 from panelspark.llm.jaccard import op3_jaccard
 from panelspark.llm.language import op6_language
 from panelspark.llm.packing import op4_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_jaccard": op3_jaccard,
     "op4_packing": op4_packing,
+    "op5_decontaminate": op5_decontaminate,
     "op6_language": op6_language,
     "op7_quality": op7_quality,
     "op8_chat": op8_chat,
