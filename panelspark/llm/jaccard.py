@@ -8,9 +8,10 @@ their other signatures. Each set keeps only as many of its rarest signatures as
 Not all documents need signatures: three quarters of a similar set's shingles also occur in its partner. A
 first pass counts a hash sample of each document's shingles (all of a short one's) and drops documents where
 too few occur twice; a linked document is dropped with a probability below 1e-12, less than a hash's.
-Equal sets are one node. Candidates are compared by their whole sets. Copies are never expanded into pairs:
-each signature's nodes are first compared to one of them; then, where a signature still has several components,
-nodes of different components are compared, which finds every remaining link that could join two.
+Equal sets are one node, and copies are never expanded into pairs. Nodes that share signatures, directly or over
+others, are gathered into clusters, each set sent once, and compared there by their whole sets. A cluster beyond a
+bound of work is not gathered: its signatures' nodes are first compared to one of them; then, where a signature
+still has several components, nodes of different components are compared, which finds every link that could join two.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from panelspark.llm.repeats import bucket_of, same, word_hashes
 WORDS, PERCENT, SAMPLE, BLOCK = 5, 75, 48, 400_000
 #: Sizes up to which each shingle is a part of its own; parts of larger bands, as a share of the largest size.
 SINGLE, PARTS = 63, 0.4
+#: Comparisons of a node with a shingle that one task makes for a cluster; cells of a dense block.
+WORK, CELLS = 1 << 31, 1 << 24
 _U = np.uint64
 
 
@@ -303,7 +306,71 @@ def _across(percent: int) -> Callable:
     return run
 
 
-def join_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cluster_roots(nodes: list[bytes], sets: list[np.ndarray], percent: int = PERCENT) -> list[bytes]:
+    """The least node of each node's component, from comparing all pairs of sets by their shared shingles."""
+    g = len(nodes)
+    parent = list(range(g))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(g), size)
+    _, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[where] > 1
+    owner, where = owner[shared], np.cumsum(count > 1)[where[shared]] - 1
+    width = int(where.max()) + 1 if len(where) else 0
+    step = min(2048, max(1, CELLS // max(1, width)))
+    starts = np.searchsorted(owner, np.arange(g + 1))
+    for i in range(0, g if width else 0, step):
+        n = min(step, g - i)
+        rows = np.zeros((n, width), np.float32)
+        part = slice(starts[i], starts[i + n])
+        rows[owner[part] - i, where[part]] = 1
+        for j in range(0, i + 1, step):
+            m = min(step, g - j)
+            if j == i:
+                other = rows
+            else:
+                other = np.zeros((m, width), np.float32)
+                part = slice(starts[j], starts[j + m])
+                other[owner[part] - j, where[part]] = 1
+            both = (rows @ other.T).astype(np.int64)
+            x, y = np.nonzero((100 + percent) * both >= percent * (size[i : i + n, None] + size[None, j : j + m]))
+            for a, b in zip((x + i).tolist(), (y + j).tolist()):
+                if a != b:
+                    a, b = find(a), find(b)
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+    return [nodes[find(k)] for k in range(g)]
+
+
+def _clustered(percent: int) -> Callable:
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(dict(zip(table.column("node").to_pylist(), table.column("shingles").to_pylist())).items())
+        nodes = [r[0] for r in rows]
+        return pa.table({"node": pa.array(nodes, pa.binary()), "root": pa.array(cluster_roots(nodes, [np.frombuffer(r[1], "<u8") for r in rows], percent), pa.binary())})
+
+    return run
+
+
+def _large_cluster_roots(kept: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of clusters that no task holds."""
+    links = materialize(verified(first, sets, percent), "links")
+    roots = materialize(components(links), "roots")
+    rooted = kept.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
+    several = rooted.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("sig")
+    n = buckets(kept.sparkSession)
+    rest = rooted.join(several, "sig").withColumn("bucket", F.pmod("sig", F.lit(n))).groupBy("bucket").applyInArrow(_across(percent), "a binary, b binary").distinct()
+    more = materialize(verified(rest, sets, percent).unionByName(links), "links")
+    drop_table(links)
+    return components(more)
+
+
+def join_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", work: int = WORK) -> DataFrame:
     """(_id, _th, n, component): each document, the size of its set and the least id that its links reach.
 
     Words are lower-cased in A-Z only. A null or empty text, or one without words, has an empty set and no link.
@@ -332,18 +399,18 @@ def join_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     kept = materialize(kept.distinct(), "kept")
     drop_table(signed)
     small_batches(spark, 256)
-    leader = kept.groupBy("sig").agg(F.min("node").alias("b"), F.min_by("n", "node").alias("m"))
-    fits = (F.col("n") * percent <= F.col("m") * 100) & (F.col("m") * percent <= F.col("n") * 100)
-    first = kept.join(leader, "sig").where((F.col("node") != F.col("b")) & fits).select(F.col("node").alias("a"), "b").distinct()
-    links = materialize(verified(first, sets, percent), "links")
-    roots = materialize(components(links), "roots")
-    rooted = kept.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
-    open_sigs = rooted.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("sig")
-    n = buckets(spark)
-    rest = rooted.join(open_sigs, "sig").withColumn("bucket", F.pmod("sig", F.lit(n))).groupBy("bucket").applyInArrow(_across(percent), "a binary, b binary").distinct()
-    more = materialize(verified(rest, sets, percent).unionByName(links), "links")
-    drop_table(links)
-    all_roots = materialize(components(more), "roots")
+    leader = kept.groupBy("sig").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
+    first = materialize(kept.join(leader, "sig").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct(), "first")
+    clusters = components(first).withColumnRenamed("root", "cluster")
+    clusters = materialize(clusters.join(sets.groupBy("node").agg(F.max("n").alias("n")), "node"), "clusters")
+    sizes = clusters.groupBy("cluster").agg((F.count("*") * F.sum("n") > work).alias("large"))
+    clusters = clusters.join(sizes, "cluster")
+    all_roots = clusters.where("not large").join(sets.select("node", "shingles"), "node").groupBy("cluster").applyInArrow(_clustered(percent), "node binary, root binary")
+    large = materialize(clusters.where("large").select("node"), "large")
+    if large.head(1):
+        fits = kept.join(large, "node", "left_semi")
+        all_roots = all_roots.unionByName(_large_cluster_roots(fits, first.join(large.withColumnRenamed("node", "a"), "a", "left_semi"), sets, percent))
+    all_roots = materialize(all_roots, "roots")
     named = near.join(all_roots, "node", "left").select("_id", "_th", "n", F.coalesce("root", "node").alias("root"))
     names = named.groupBy("root").agg(F.min("_id").alias("component"))
     found = named.join(names, "root").select("_id", "_th", "n", "component")
