@@ -55,11 +55,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _th, _text): a row's key is its id and its text's hash, so that null or repeated ids do no harm;
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: bool = False) -> DataFrame:
+    """(_id, _th, _text) and, if wanted, _rest, a struct of the row's columns but the text. A row's key is its id and its text's hash, so that null or repeated ids do no harm;
     rows equal in both are the same document twice and have the same result. Other columns are left."""
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
+    more = [F.struct(*(docs[c] for c in docs.columns if c != text_col)).alias("_rest")] if rest else []
+    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"), *more)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

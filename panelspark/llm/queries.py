@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from panelspark.llm.chat import OP8_SQL, op8_chat
 from panelspark.llm.decontaminate import op5_decontaminate
 from panelspark.llm.jaccard import op3_jaccard
@@ -14,6 +15,7 @@ from panelspark.llm.topk import OP10_SQL, op10_topk
 from panelspark.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_substring_dedup": op1_substring_dedup,
     "op2_warc": op2_warc,
     "op3_jaccard": op3_jaccard,

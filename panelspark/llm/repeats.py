@@ -256,7 +256,7 @@ def covered(hits: list[dict] | None, n: int, window: int) -> np.ndarray | None:
 
 
 def with_hits(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    return docs.join(hits, same(docs, hits), "left").select(docs["_id"], docs["_th"], docs["_text"], "hits")
+    return docs.join(hits, same(docs, hits), "left").select(*(docs[c] for c in docs.columns), "hits")
 
 
 __all__ = ["keyed", "repeated_windows", "covered", "with_hits"]

@@ -12,11 +12,12 @@ sort of the reversed left contexts tells.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from bisect import bisect_right
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -227,7 +228,7 @@ def _resolver(window: int, gram: int) -> Callable[[DataFrame, list[bytes]], Data
     return resolve
 
 
-def _cut(window: int, gram: int, id_arrow: pa.DataType) -> Callable:
+def _cut(window: int, columns: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, size, gone, spans = [], [], [], []
@@ -245,13 +246,13 @@ def _cut(window: int, gram: int, id_arrow: pa.DataType) -> Callable:
                 kept.append(data[~cover].tobytes())
                 gone.append(int(cover.sum()))
                 spans.append([{"start": int(a), "stop": int(b)} for a, b in zip(edge[0::2], edge[1::2])])
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_th"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())], ["_id", "_th", "n_bytes", "n_removed", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())], [*columns, "n_bytes", "n_removed", "spans", "kept"])
 
     return run
 
 
-def dedup_suffixes(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _th, n_bytes, n_removed, spans, kept): each document without the bytes covered by a string of
+def dedup_suffixes(docs: DataFrame, window: int = 400, id_col: str = "doc_id", text_col: str = "text", rest: bool = False) -> DataFrame:
+    """(_id, _th, n_bytes, n_removed, spans, kept), and _rest if wanted (see ``keyed``): each document without the bytes covered by a string of
     ``window`` bytes that also starts anywhere else, in another document or in the same.
 
     Null or empty texts have no bytes and stay empty; texts shorter than the window stay whole. Repeated
@@ -259,10 +260,22 @@ def dedup_suffixes(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
     strings are judged on the input. An empty table gives an empty result. ``kept`` is binary, as a cut may fall inside a character.
     """
     gram = max(1, window // 2)
-    rows = keyed(docs, id_col, text_col)
-    hits = repeated_windows(rows, "byte", window, gram, _resolver(window, gram))
-    schema = T.StructType([rows.schema["_id"], T.StructField("_th", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))), T.StructField("kept", T.BinaryType())])
-    return with_hits(rows, hits).mapInArrow(_cut(window, gram, None), schema)
+    rows = keyed(docs, id_col, text_col, rest)
+    hits = repeated_windows(rows.select("_id", "_th", "_text"), "byte", window, gram, _resolver(window, gram))
+    own = [c for c in rows.columns if c != "_text"]
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
+    schema = T.StructType([*(rows.schema[c] for c in own), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
+    return with_hits(rows, hits).mapInArrow(_cut(window, own), schema)
+
+
+def text_of(kept: str):
+    """The kept bytes as text; what is left of a character that was cut apart is dropped."""
+
+    @F.pandas_udf(T.StringType())
+    def decode(x: pd.Series) -> pd.Series:
+        return x.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    return decode(F.col(kept))
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
