@@ -14,6 +14,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +103,12 @@ class WordTokenizer:
             s = stop + 1
 
 
+@cache
+def tokenizer_at(path: str) -> WordTokenizer:
+    """One tokenizer for each file in a worker: what it has learned serves all tasks that run there."""
+    return WordTokenizer(path)
+
+
 def differencing(sizes: list[int], windows: int) -> list[int]:
     """Karmarkar-Karp: the window of each item. Partitions keep their windows' sums in falling order."""
     n = len(sizes)
@@ -177,7 +184,7 @@ def pack_block(lengths: list[int], capacity: int) -> tuple[list[tuple[int, int,
 
 def _packer(path: str, capacity: int, end_id: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = tokenizer_at(path)
         base, end = TaskContext.get().partitionId() << 36, np.array([end_id], "<u4").tobytes()
         ids: list = []
         tokens: list[bytes] = []
