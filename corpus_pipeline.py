@@ -21,7 +21,7 @@ KEEP = 0.3
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the classifier rejects. A row's other columns do not matter; nulls score as empty texts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    weights = quality.fit(quality.labelled_rows(docs, labels, quality.fold() != 0))
+    weights = quality.fit(docs, labels, quality.fold() != 0)
     return quality.score(docs, weights).where(F.col("_score") >= KEEP).drop("_score")
 
 

@@ -137,24 +137,32 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS, seed: int
     return w
 
 
-def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> dict[str, np.ndarray]:
-    """Train on at most ``rows`` rows of each label, of at most ``most`` bytes, chosen by a hash of the text.
-
-    Both bounds are parameters of the model, not of the data it scores. The intercept is moved to the labels'
-    shares among all rows given, so that scores are probabilities there."""
-    small_batches(labelled.sparkSession)
-    some = labelled.where(F.col("_label").isin(0, 1) & F.col("_text").isNotNull())
-    share = {r["_label"]: r["n"] for r in some.groupBy("_label").agg(F.count("*").alias("n")).collect()}
-    texts, labels = [], []
-    for label in (0, 1):
-        part = some.where((F.col("_label") == label) & (F.octet_length("_text") <= most)).select(F.xxhash64("_text").alias("_h"), "_text").orderBy("_h").limit(rows)
-        got = [r["_text"].encode() for r in part.collect()]
-        texts += got
-        labels += [label] * len(got)
-    w = train(texts, labels)
-    ones = sum(labels)
-    if 0 < ones < len(labels) and len(share) == 2:
-        w["c"] = w["c"] + np.float32(np.log(share[1] / share[0]) - np.log(ones / (len(labels) - ones)))
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_ROWS, most: int = SAMPLE_BYTES) -> dict[str, np.ndarray]:
+    """Train on at most ``rows`` labelled documents of each label, chosen by a hash of the id among the labels that
+    ``learn`` (over _id) selects; chosen texts of more than ``most`` bytes are left out.
+
+    Both bounds are parameters of the model, not of the data it scores: they also bound what is broadcast to find
+    the texts and what reaches the driver. The intercept is moved to the labels' shares among all labels given, so
+    that scores are probabilities there. Null ids and labels other than 0 and 1 teach nothing; repeated rows count
+    as they stand. Without labels the score is 0.5 everywhere."""
+    small_batches(docs.sparkSession)
+    marks = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label")).where(learn & F.col("_label").isin(0, 1))
+    share = {r["_label"]: r["n"] for r in marks.groupBy("_label").agg(F.count("*").alias("n")).collect()}
+    chosen = None
+    for label in sorted(share):
+        part = marks.where(F.col("_label") == label).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    got = []
+    if chosen is not None:
+        text = F.col("text").cast("string")
+        whole = docs.select(F.col("doc_id").alias("_id"), text.alias("_text")).where(F.octet_length("_text") <= most)
+        got = whole.join(F.broadcast(chosen), "_id").select("_id", "_text", "_label").limit(4 * rows).collect()
+    got.sort(key=lambda r: (r["_id"], r["_text"], r["_label"]))
+    texts, marked = [r["_text"].encode() for r in got], [r["_label"] for r in got]
+    w = train(texts, marked)
+    ones = sum(marked)
+    if 0 < ones < len(marked):
+        w["c"] = w["c"] + np.float32(np.log(share[1] / share[0]) - np.log(ones / (len(marked) - ones)))
     return w
 
 
@@ -174,12 +182,6 @@ def score(docs: DataFrame, weights: dict[str, np.ndarray], text_col: str = "text
     return rows.mapInArrow(_scorer(weights, docs.columns), T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
-    """(_text, _label) of the labelled documents that ``learn`` (over _id) selects. A null or repeated label counts as it stands."""
-    marks = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label")).where(learn)
-    return docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text")).join(marks, "_id").select("_text", "_label")
-
-
 def fold() -> Column:
     return F.crc32(F.col("_id").cast("string").cast("binary")) % 5
 
@@ -187,6 +189,6 @@ def fold() -> Column:
 def op7_quality(spark, sf_dir: str) -> DataFrame:
     """Every document's quality; a fifth of the labels is held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    weights = fit(labelled_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold() != 0))
+    weights = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold() != 0)
     out = score(docs.select(F.col("doc_id").alias("_id"), "text"), weights)
     return out.select(F.col("_id").alias("doc_id"), F.coalesce(fold() == 0, F.lit(True)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
