@@ -31,16 +31,16 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A row without id stays if its whole component has none; equal texts without id are one row."""
     found = jaccard.join_similar(docs).where(F.col("component").isNull() | F.col("_id").eqNullSafe(F.col("component")))
     kept = materialize(found.groupBy("_id", "_th").agg(F.count("*").alias("_n")), "kept")
-    rows = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    out = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_key"] == kept["_th"]), "left_semi").drop("_key")
+    rows = docs.withColumn("_panelspark_key", F.xxhash64(F.col("text").cast("string")))
+    out = rows.join(kept, rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_panelspark_key"] == kept["_th"]), "left_semi").drop("_panelspark_key")
     return out.dropDuplicates(["doc_id", "text"]) if kept.where("_n > 1").head(1) else out
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 400-byte strings that also start elsewhere; a character that is cut apart goes
     whole, and n_chars is counted anew where a text changed. No document goes: one that is all repeats stays, empty."""
-    cut = suffix_dedup.dedup_suffixes(docs.withColumn("_null", F.col("text").isNull()), 400, rest=True).withColumn("_kept", suffix_dedup.text_of("kept"))
-    text = F.when(~F.col("_rest._null"), F.col("_kept"))
+    cut = suffix_dedup.dedup_suffixes(docs.withColumn("_panelspark_null", F.col("text").isNull()), 400, rest=True).withColumn("_kept", suffix_dedup.text_of("kept"))
+    text = F.when(~F.col("_rest._panelspark_null"), F.col("_kept"))
     changed = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("_kept").cast("long")).otherwise(F.col("_rest.n_chars"))}
     return cut.select(*(changed.get(c, F.col(f"_rest.`{c}`")).alias(c) for c in docs.columns))
 

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.llm.hashing import BATCH
 
@@ -63,6 +64,15 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest:
     return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"), *more)
 
 
+def mapped(docs: DataFrame, text_col: str, fn, new: list[T.StructField]) -> DataFrame:
+    """All columns of docs and the new ones, made by ``fn`` from batches of (_row, _text), _row being the whole row.
+    Where docs has a column of a new one's name, the new one takes its place."""
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    out = rows.mapInArrow(fn, T.StructType([rows.schema["_row"], *new]))
+    names = [f.name for f in new]
+    return out.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns if c not in names), *names)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and each row's bounds in them; null is empty."""
     if isinstance(column, pa.ChunkedArray):

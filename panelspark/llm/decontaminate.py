@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm import hashing as H
-from panelspark.llm.common import groups_of, small_batches, text_buffer
+from panelspark.llm.common import groups_of, mapped, small_batches, text_buffer
 from panelspark.llm.repeats import word_hashes
 
 #: BM25's constants; the share of an item's own score that retrieves it; words in a compared run of a question and
@@ -153,7 +153,7 @@ class Index:
         return True
 
 
-def _finder(items: list[tuple[int, str]], share: float, columns: list[str]) -> Callable:
+def _finder(items: list[tuple[int, str]], share: float) -> Callable:
     state: list[Index] = []
 
     def passages(index: Index, v: np.ndarray, wb: np.ndarray) -> Iterator[tuple[int, int, int, list[int]]]:
@@ -195,7 +195,7 @@ def _finder(items: list[tuple[int, str]], share: float, columns: list[str]) -> C
                             found[i + doc][item] = max(score, found[i + doc].get(item, 0.0))
             rows = [[index.ids[k] for k in sorted(f)] for f in found]
             best = [min(1.0, max(f.values())) if f else 0.0 for f in found]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(rows, pa.list_(pa.int64())), pa.array(best, pa.float64())], [*columns, "_items", "_best"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(rows, pa.list_(pa.int64())), pa.array(best, pa.float64())], ["_row", "_items", "_best"])
 
     return run
 
@@ -213,9 +213,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, text_col
     if size > MOST_BYTES:
         raise ValueError(f"test items have {size} bytes; at most {MOST_BYTES} are sent to executors")
     told = [(r["i"], r["t"]) for r in some.collect()]
-    rows = docs.withColumn("_text", F.col(text_col).cast("string"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_items", T.ArrayType(T.LongType())), T.StructField("_best", T.DoubleType())])
-    return rows.mapInArrow(_finder(told, share, docs.columns), schema)
+    return mapped(docs, text_col, _finder(told, share), [T.StructField("_items", T.ArrayType(T.LongType())), T.StructField("_best", T.DoubleType())])
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import groups_of, small_batches, text_buffer
+from panelspark.llm.common import groups_of, mapped, small_batches, text_buffer
 
 #: Labelled rows of each class that training reads at most, and the longest text among them, in bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 1200, 20_000
@@ -166,11 +166,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_RO
     return w
 
 
-def _scorer(w: dict[str, np.ndarray], columns: list[str]) -> Callable:
+def _scorer(w: dict[str, np.ndarray]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_buffer(batch.column("_text"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(scores(w, data, bounds), pa.float64())], [*columns, "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(scores(w, data, bounds), pa.float64())], ["_row", "_score"])
 
     return run
 
@@ -178,8 +178,7 @@ def _scorer(w: dict[str, np.ndarray], columns: list[str]) -> Callable:
 def score(docs: DataFrame, weights: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
     """All columns of docs and _score, the probability of label 1. A null text scores as an empty one."""
     small_batches(docs.sparkSession)
-    rows = docs.withColumn("_text", F.col(text_col).cast("string"))
-    return rows.mapInArrow(_scorer(weights, docs.columns), T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    return mapped(docs, text_col, _scorer(weights), [T.StructField("_score", T.DoubleType())])
 
 
 def fold() -> Column:
