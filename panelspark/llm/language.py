@@ -64,7 +64,7 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bits, blank = np.uint64(_SYMBOL_BITS), np.uint64(_BLANK)
     word = sym != blank
     two = word | (before != blank)
-    three = (before != blank) & (word | (before2 != blank))
+    three = before != blank
     top = doc << np.uint64(3 * _SYMBOL_BITS)
     pair = (before << bits) | sym
     keys = np.concatenate(((top | sym)[word], (top | pair)[two], (top | (before2 << (bits + bits)) | pair)[three]))
