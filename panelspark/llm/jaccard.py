@@ -412,7 +412,8 @@ def join_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
         all_roots = all_roots.unionByName(_large_cluster_roots(fits, first.join(large.withColumnRenamed("node", "a"), "a", "left_semi"), sets, percent))
     all_roots = materialize(all_roots, "roots")
     named = near.join(all_roots, "node", "left").select("_id", "_th", "n", F.coalesce("root", "node").alias("root"))
-    names = named.groupBy("root").agg(F.min("_id").alias("component"))
+    # written first, so that the join below is of plain exchanges, which are split where one component is very large
+    names = materialize(named.groupBy("root").agg(F.min("_id").alias("component")), "names")
     found = named.join(names, "root").select("_id", "_th", "n", "component")
     return found.unionByName(seen.where("not near").select("_id", "_th", "n", F.col("_id").alias("component")))
 
