@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.llm import decontaminate, jaccard, packing, quality, suffix_dedup
-from panelspark.llm.common import materialize, shared_folder
+from panelspark.llm.common import materialize
+from panelspark.storage import shared_folder
 
 #: Documents below this probability go; the threshold of the classifier's own query.
 KEEP = 0.3

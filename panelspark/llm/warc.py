@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import drop_table, materialize, shared_folder, small_batches
+from panelspark.llm.common import drop_table, materialize, small_batches
+from panelspark.storage import shared_folder
 
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")

@@ -15,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from compare import assert_same, connected
 
 from panelspark.llm import chat, decontaminate, language, packing, quality, queries, topk, warc
-from panelspark.llm.common import shared_folder
+from panelspark.storage import shared_folder
 
 SMALL = "/root/testdata/sf0.001"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
