@@ -1,5 +1,5 @@
 """Registered queries, by the part of the pipeline they belong to."""
 
-from panelspark.plans import dialog, imaging, routing
+from panelspark.plans import dialog, imaging, records, routing
 
-PLANS = (dialog, routing, imaging)
+PLANS = (dialog, routing, imaging, records)
