@@ -102,9 +102,7 @@ def _indexer(unit: str, window: int, gram: int) -> Callable:
                     at, first, last = H.anchors(p, pb, window, gram)
                     if not len(at):
                         continue
-                    doc = np.searchsorted(pb, first, "right") - 1
-                    local = np.searchsorted(np.cumsum(np.diff(pb)), first, "right") if len(pb) > 2 else np.zeros(len(first), np.int64)
-                    doc = local
+                    doc = np.searchsorted(pb[1:], first, "right")
                     own = pb[doc] - off
                     grams, cls = H.span_hashes(p, at, at + gram), H.span_hashes(p, first, last + window)
                     probes = []
@@ -258,5 +256,3 @@ def covered(hits: list[dict] | None, n: int, window: int) -> np.ndarray | None:
 def with_hits(docs: DataFrame, hits: DataFrame) -> DataFrame:
     return docs.join(hits, same(docs, hits), "left").select(*(docs[c] for c in docs.columns), "hits")
 
-
-__all__ = ["keyed", "repeated_windows", "covered", "with_hits"]
