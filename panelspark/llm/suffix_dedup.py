@@ -221,7 +221,7 @@ def _merge(window: int, gram: int) -> Callable:
 def _resolver(window: int, gram: int) -> Callable[[DataFrame, list[bytes]], DataFrame]:
     def resolve(parts: DataFrame, probes: list[bytes]) -> DataFrame:
         n = buckets(parts.sparkSession, 2)
-        probes = sorted(probes)
+        probes = sorted(set(probes))  # a text with many copies has one say
         cuts = sorted({probes[len(probes) * k // n] for k in range(1, n)}) if probes else []
         return parts.mapInArrow(_runs(window, cuts), _RUN).groupBy("range").applyInArrow(_merge(window, gram), "gram long, cls long, mask binary")
 
