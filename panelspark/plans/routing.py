@@ -23,8 +23,8 @@ def ai_index(spark, d):
 
 def reattach(spark, d):
     rows = R.numbered(R.routed(L.blocks(spark, d), WORDS))
-    # answers exist for the first forty of each chapter's queue: the rest keep their own text
-    answers = rows.where("ai_index < 40").select("chapter_id", "ai_index", F.concat(F.lit("T:"), F.lower("text")).alias("answer"))
+    # the queue has no answer for short words, which keep their own text
+    answers = rows.where("sound is null and length(text) > 5").select("chapter_id", "ai_index", F.concat(F.lit("T:"), F.lower("text")).alias("answer"))
     return R.reattached(rows, answers).select("chapter_id", "page_no", "block_no", "translated")
 
 
@@ -159,7 +159,7 @@ _WORDS = r"len(list_filter(regexp_split_to_array(raw_text, '\s+'), lambda w: w <
 ORACLE = {
     "sfx_route": _ROUTED + " SELECT chapter_id, page_no, block_no, text, sound FROM fx_routed",
     "ai_index": _ROUTED + " SELECT chapter_id, page_no, block_no, ai_index FROM fx_numbered",
-    "reattach": _ROUTED + " SELECT chapter_id, page_no, block_no, coalesce(sound, CASE WHEN ai_index < 40 THEN 'T:' || lower(text) END, text) AS translated FROM fx_numbered",
+    "reattach": _ROUTED + " SELECT chapter_id, page_no, block_no, coalesce(sound, CASE WHEN length(text) > 5 THEN 'T:' || lower(text) END, text) AS translated FROM fx_numbered",
     "lone_word_pages": """WITH b AS (SELECT l_orderkey AS chapter_id, l_suppkey AS page_no, CASE WHEN l_quantity > 25 THEN 2 ELSE 1 END AS w FROM lineitem)
 SELECT chapter_id, page_no, count(*) AS n_blocks FROM b GROUP BY chapter_id, page_no HAVING NOT (count(*) = 1 AND max(w) <= 1)""",
     "domain_dispatch": "SELECT page_id, CASE WHEN contains(lower(url), 'example.com') THEN 'com' WHEN contains(lower(url), 'example.net') THEN 'net' WHEN contains(lower(url), 'example') THEN 'other' END AS module FROM pages",
