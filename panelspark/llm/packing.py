@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from panelspark.llm.common import small_batches
 
 #: Tokens that a task packs at once, words whose tokens a task remembers, characters tokenised at once.
-BLOCK_TOKENS, REMEMBERED = 1 << 20, 800_000
+BLOCK_TOKENS, REMEMBERED = 1 << 20, 500_000
 CHUNK = 1 << 19
 #: Texts of these characters alone are cut here as the tokenizer's own pattern cuts them.
 _PLAIN = re.compile("[\x09-\x0d\x20-\x7e\xc0-\xff]*")
