@@ -1,3 +1,4 @@
+import random
 import sys
 import zlib
 from collections import Counter, defaultdict
@@ -61,7 +62,35 @@ def test_packing_empty(no_documents):
 @given(st.text("aB é'sÉß0_.!<|endoftext|>中́Σς \t\n²", max_size=50))
 def test_words_are_tokenised_as_texts(text):
     t = packing.tokenizer_at(WORDS)
-    assert t.encode([text])[0] == np.array(t.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    data = np.frombuffer(text.encode(), np.uint8)
+    assert t.encode(data, np.array([0, len(data)]))[0].tolist() == t.whole.encode(text, add_special_tokens=False).ids
+
+
+def test_long_texts_and_words_are_tokenised_as_texts(monkeypatch):
+    """Texts, and words, over a batch; a worker that remembers next to nothing; empty texts between others."""
+    monkeypatch.setattr(packing.H, "BATCH", 300)
+    r = random.Random(3)
+    t = packing.WordTokenizer(WORDS)
+    t.known = packing.Known(40)
+    texts = [" ".join(r.choice(["été", "Don't", "a_b", "42,7", "中文", "×÷", "plain" + str(r.randrange(99))]) for _ in range(n)) for n in (0, 1, 400, 0, 0, 30, 3)]
+    texts += ["x" * 1000, "y" * 299 + " z", "", "ab " * 200 + "é" * 700 + " c", "  \t " * 200]
+    raw = [x.encode() for x in texts]
+    ids, bounds = t.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [e.ids for e in t.whole.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_known_pieces_are_kept_and_forgotten():
+    known, r = packing.Known(1000), np.random.default_rng(1)
+    for _ in range(60):
+        keys = np.unique(r.integers(1, 4000, 300).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        new = keys[known.find(keys) < 0]
+        if known.forget(len(new)):
+            new = keys[known.find(keys) < 0]
+        known.add(new, np.repeat((new >> np.uint64(40)).astype(np.uint32), 2), np.full(len(new), 2))
+        assert known.count <= 1000 and known.count == np.count_nonzero(known.keys)
+        slots = known.find(new)
+        assert (known.find(keys) >= 0).all() and (slots >= 0).all() and (known.tokens(slots) == np.repeat((new >> np.uint64(40)).astype(np.uint32), 2)).all()
+        known.met[slots[::3]] = True
 
 
 @settings(max_examples=40, deadline=None)
