@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,38 +10,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelspark import storage
 from panelspark.llm.hashing import BATCH
-from panelspark.storage import shared_folder
+from panelspark.storage import drop_table as drop_table
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it again: this cuts the lineage, and a
-    lost executor costs no recomputation of what stands before. Afterwards the driver is asked to collect
-    garbage, which is when Spark deletes the shuffle files of finished steps."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    """A written intermediate table (see ``storage``); afterwards the shuffle files of what made it may go."""
+    out = storage.materialize(df, name)
+    storage.collect_garbage(df.sparkSession)
     return out
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote, once all that reads it is written itself."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-
-
 def buckets(spark: SparkSession, times: int = 4) -> int:
     """Hash buckets for packed keys: they follow the configured shuffle width, which follows the input."""
     return max(8, times * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, since one batch of long texts is held in memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, for functions that make Python objects or wide arrays of a whole batch.
+    Spark bounds a batch's bytes; the session's settings stay as they are."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest: bool = False) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm import hashing as H
-from panelspark.llm.common import groups_of, mapped, small_batches, text_buffer
+from panelspark.llm.common import groups_of, mapped, sliced, text_buffer
 from panelspark.llm.repeats import word_hashes
 
 #: BM25's constants; the share of an item's own score that retrieves it; words in a compared run of a question and
@@ -182,7 +182,7 @@ def _finder(items: list[tuple[int, str]], share: float) -> Callable:
         if not state:
             state.append(Index(items))
         index = state[0]
-        for batch in batches:
+        for batch in sliced(batches, 1000):
             data, bounds = text_buffer(batch.column("_text"))
             found: list[dict[int, float]] = [{} for _ in range(batch.num_rows)]
             for i, j in groups_of(bounds) if index.longest else ():
@@ -200,20 +200,19 @@ def _finder(items: list[tuple[int, str]], share: float) -> Callable:
     return run
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """All columns of docs, and _items (ids of the test items found in the document, rising) and _best (the best
-    share of an item's own score).
+def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", out: tuple[str, str] = ("_items", "_best")) -> DataFrame:
+    """All columns of docs, and ``out``: ids of the test items found in the document, rising, and the best share of an
+    item's own score. They take the place of columns of those names.
 
     Null or empty texts hold no item; null or empty items, or items without id, are found nowhere. Equal items are
     all found. Repeated documents are judged each. An empty table of either kind finds nothing. Items together
     must be smaller than 64 MB, which is checked, since every executor gets them."""
-    small_batches(docs.sparkSession)
     some = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null")
     size = some.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     if size > MOST_BYTES:
         raise ValueError(f"test items have {size} bytes; at most {MOST_BYTES} are sent to executors")
     told = [(r["i"], r["t"]) for r in some.collect()]
-    return mapped(docs, text_col, _finder(told, share), [T.StructField("_items", T.ArrayType(T.LongType())), T.StructField("_best", T.DoubleType())])
+    return mapped(docs, text_col, _finder(told, share), [T.StructField(out[0], T.ArrayType(T.LongType())), T.StructField(out[1], T.DoubleType())])
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm import hashing as H
-from panelspark.llm.common import buckets, drop_table, groups_of, keyed, materialize, small_batches, text_buffer
+from panelspark.llm.common import buckets, drop_table, groups_of, keyed, materialize, sliced, text_buffer
 from panelspark.llm.components import components
 from panelspark.llm.repeats import bucket_of, same, word_hashes
 
@@ -123,7 +123,7 @@ def _split(n_buckets: int, column: str) -> Callable:
     """(bucket, blob, keys, many): the distinct keys of each packed row, by hash range; many: more than once in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 8):
             for blob, data in zip(batch.column("blob").to_pylist(), batch.column(column).to_pylist()):
                 keys, count = np.unique(np.frombuffer(data, "<u8"), return_counts=True)
                 b = bucket_of(keys, n_buckets)
@@ -230,7 +230,7 @@ def _signed(percent: int) -> Callable:
             made, held, total = made + 1, [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()))], ["blob", "nodes", "n", "sizes", "key"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for node, n, data in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "shingles"))):
                 sets = signatures(np.frombuffer(data, "<u8"), percent)
                 held.append((node, n, sets))
@@ -265,7 +265,7 @@ def _rarest(percent: int) -> Callable:
 
 def _linked(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 256):
             keep = []
             for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
                 a, b = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
@@ -379,26 +379,21 @@ def join_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
-    small_batches(spark)
     rows = keyed(docs, id_col, text_col)
     id_type = rows.schema["_id"].dataType
     binary = lambda *names: [T.StructField(n, T.BinaryType()) for n in names]
     schema = T.StructType([T.StructField("blob", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("ths", T.ArrayType(T.LongType())), *binary("n", "set1", "set2", "key", "doc")])
     index = materialize(rows.mapInArrow(_index(words), schema), "shingles")
-    small_batches(spark, 8)
     schema = T.StructType([rows.schema["_id"], T.StructField("_th", T.LongType()), T.StructField("n", T.LongType()), *binary("node"), T.StructField("near", T.BooleanType())])
     seen = materialize(index.groupBy("blob").cogroup(key_counts(index, "key").groupBy("blob")).applyInArrow(_supported(to_arrow_type(id_type), percent), schema), "documents")
     drop_table(index)
-    small_batches(spark)
     near = seen.where("near")
     nodes = near.groupBy("node").agg(F.min(F.struct("_id", "_th")).alias("k")).select("node", F.col("k._id").alias("_id"), F.col("k._th").alias("_th"))
     sets = materialize(rows.join(nodes, same(rows, nodes)).select("node", "_text").mapInArrow(_sets(words), "node binary, n long, shingles binary"), "sets")
     signed = materialize(sets.mapInArrow(_signed(percent), "blob long, nodes array<binary>, n array<long>, sizes array<long>, key binary"), "signatures")
-    small_batches(spark, 8)
     kept = signed.groupBy("blob").cogroup(key_counts(signed, "key").groupBy("blob")).applyInArrow(_rarest(percent), "sig long, node binary, n long")
     kept = materialize(kept.distinct(), "kept")
     drop_table(signed)
-    small_batches(spark, 256)
     leader = kept.groupBy("sig").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
     first = materialize(kept.join(leader, "sig").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct(), "first")
     clusters = components(first).withColumnRenamed("root", "cluster")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import small_batches
+from panelspark.llm.common import sliced
 
 #: Characters in one array pass; n-grams in a profile and in a document's ranking.
 BATCH_CHARS, RANKED = 1 << 19, 300
@@ -112,7 +112,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unique, where = np.unique(gram, return_inverse=True)
         sums[lang] = unique, np.bincount(where, count).astype(np.int64)
 
-    for batch in batches:
+    for batch in sliced(batches, 1000):
         langs = batch.column("_lang").to_pylist()
         texts = [t or "" for t in batch.column("_text").to_pylist()]
         for lang in set(langs):
@@ -138,7 +138,6 @@ def learn_profiles(texts: DataFrame, ranked: int = RANKED) -> dict[str, list[int
     """Each language's n-grams, most frequent first, from all rows of (_lang, _text) with a language.
 
     What reaches the driver is ``ranked`` n-grams for each language, whatever the input's size."""
-    small_batches(texts.sparkSession)
     counts = texts.where(F.col("_lang").isNotNull()).mapInArrow(_counter, "lang string, gram long, n long")
     total = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -174,7 +173,7 @@ def _predictor(profiles: dict[str, list[int]]) -> Callable:
     langs = list(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1000):
             far = distances([t or "" for t in batch.column("_text").to_pylist()], profiles) if langs else np.zeros((batch.num_rows, 0))
             lang, score = [], []
             for row in far:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import groups_of, mapped, small_batches, text_buffer
+from panelspark.llm.common import groups_of, mapped, text_buffer
 
 #: Labelled rows of each class that training reads at most, and the longest text among them, in bytes.
 SAMPLE_ROWS, SAMPLE_BYTES = 1200, 20_000
@@ -143,20 +143,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_RO
 
     Both bounds are parameters of the model, not of the data it scores: they also bound what is broadcast to find
     the texts and what reaches the driver. The intercept is moved to the labels' shares among all labels given, so
-    that scores are probabilities there. Null ids and labels other than 0 and 1 teach nothing; repeated rows count
-    as they stand. Without labels the score is 0.5 everywhere."""
-    small_batches(docs.sparkSession)
+    that scores are probabilities there. Null ids and labels other than 0 and 1 teach nothing. A repeated label is
+    one; of documents that share an id the least text teaches. Without labels the score is 0.5 everywhere. An empty
+    table of documents teaches nothing either."""
     marks = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_label")).where(learn & F.col("_label").isin(0, 1))
     share = {r["_label"]: r["n"] for r in marks.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     chosen = None
     for label in sorted(share):
-        part = marks.where(F.col("_label") == label).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+        part = marks.where(F.col("_label") == label).distinct().orderBy(F.xxhash64("_id"), "_id").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
     got = []
     if chosen is not None:
         text = F.col("text").cast("string")
         whole = docs.select(F.col("doc_id").alias("_id"), text.alias("_text")).where(F.octet_length("_text") <= most)
-        got = whole.join(F.broadcast(chosen), "_id").select("_id", "_text", "_label").limit(4 * rows).collect()
+        got = whole.join(F.broadcast(chosen), "_id").groupBy("_id", "_label").agg(F.min("_text").alias("_text")).collect()
     got.sort(key=lambda r: (r["_id"], r["_text"], r["_label"]))
     texts, marked = [r["_text"].encode() for r in got], [r["_label"] for r in got]
     w = train(texts, marked)
@@ -170,15 +170,15 @@ def _scorer(w: dict[str, np.ndarray]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, bounds = text_buffer(batch.column("_text"))
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(scores(w, data, bounds), pa.float64())], ["_row", "_score"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(scores(w, data, bounds), pa.float64())], ["_row", "_new"])
 
     return run
 
 
-def score(docs: DataFrame, weights: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """All columns of docs and _score, the probability of label 1. A null text scores as an empty one."""
-    small_batches(docs.sparkSession)
-    return mapped(docs, text_col, _scorer(weights), [T.StructField("_score", T.DoubleType())])
+def score(docs: DataFrame, weights: dict[str, np.ndarray], text_col: str = "text", out: str = "_score") -> DataFrame:
+    """All columns of docs and ``out``, the probability of label 1; it takes the place of a column of that name. A
+    null text scores as an empty one, repeated rows alike, and an empty table gives none."""
+    return mapped(docs, text_col, _scorer(weights), [T.StructField(out, T.DoubleType())])
 
 
 def fold() -> Column:

@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm import hashing as H
-from panelspark.llm.common import buckets, drop_table, groups_of, keyed, materialize, small_batches, text_buffer
+from panelspark.llm.common import buckets, drop_table, groups_of, keyed, materialize, sliced, text_buffer
 
 #: Anchors in one packed row.
 BLOCK = 200_000
-#: Bytes of each probe from which sort ranges are chosen, and probes of each block.
-PROBE_BYTES, PROBES = 48, 16
+#: Bytes of each probe from which sort ranges are chosen, probes of each block, and probes that the driver gets, about.
+PROBE_BYTES, PROBES, MOST_PROBES = 48, 16, 200_000
 
 
 def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,7 +82,8 @@ def _indexer(unit: str, window: int, gram: int) -> Callable:
                 shift += len(x[0])
             cols = [np.concatenate([x[k] for x in held]) for k in range(3, 8)]
             cls = cols[4]
-            probe = [y for x in held for y in x[8]][:PROBES]
+            probe = [y for x in held for y in x[8]]
+            probe = probe[:: max(1, len(probe) // PROBES)][:PROBES]
             row = [pa.array([base + made], pa.int64()), pa.ListArray.from_arrays([0, len(ids)], ids), pa.ListArray.from_arrays([0, len(ids)], pa.concat_arrays([x[1] for x in held]))]
             row += [pa.array([c.astype(k).tobytes()], pa.binary()) for c, k in zip([np.concatenate(docs), *cols[:3], cols[3], cls], ["<u4", "<u4", "<u4", "<u4", "<u8", "<u8"])]
             row.append(pa.array([probe], pa.list_(pa.binary())))
@@ -144,7 +145,7 @@ def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
 
 def _keys(n_buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for r in batch.to_pylist():
                 gram, cls = np.frombuffer(r["gram"], "<u8"), np.frombuffer(r["cls"], "<u8")
                 head, _, count = _pairs(gram, cls)
@@ -205,31 +206,29 @@ def same(a: DataFrame, b: DataFrame):
     return a["_id"].eqNullSafe(b["_id"]) & (a["_th"] == b["_th"])
 
 
-def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, resolve: Callable[[DataFrame, list[bytes]], DataFrame]) -> DataFrame:
+def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, resolve: Callable[[DataFrame, list[bytes], int], DataFrame]) -> DataFrame:
     """(_id, _th, hits): for each document with repeated windows, an array of (first, mask); bit k of the mask
     (most significant first) says that the window that starts at first + k is repeated.
 
     ``docs`` has _id, _th, _text (see ``keyed``). ``resolve`` gets the elected pieces' documents
-    (_id, _th, _text, anchors) and probes for sort ranges; it returns (gram, cls, mask).
+    (_id, _th, _text, anchors), probes for sort ranges and the pieces' size in units; it returns (gram, cls, mask).
     """
     spark = docs.sparkSession
-    small_batches(spark)
     id_type = docs.schema["_id"].dataType
     blob_schema = T.StructType([T.StructField("blob", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("ths", T.ArrayType(T.LongType())), *(T.StructField(n, T.BinaryType()) for n in ("doc", "at", "first", "last", "gram", "cls")), T.StructField("probe", T.ArrayType(T.BinaryType()))])
     index = materialize(docs.mapInArrow(_indexer(unit, window, gram), blob_schema), "anchors")
     n = buckets(spark)
-    small_batches(spark, 8)
     keys = index.select("blob", "gram", "cls").mapInArrow(_keys(n), "bucket int, blob long, gram binary, cls binary, many binary")
     flags = keys.groupBy("bucket").applyInArrow(_flags, "blob long, bucket int, flags binary")
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema = T.StructType([T.StructField("_id", id_type), T.StructField("_th", T.LongType()), *(T.StructField(x, T.BooleanType() if x in ("sent", "multi") else T.LongType()) for x in _OCC)])
     occ = materialize(index.drop("probe").groupBy("blob").cogroup(flags.groupBy("blob")).applyInArrow(_occurrences(to_arrow_type(id_type)), schema), "occurrences")
-    probes = [bytes(r[0]) for r in index.select(F.explode("probe")).limit(20_000).collect()] if unit == "byte" else []
+    probes = _probes(index) if unit == "byte" else []
+    volume = occ.where("sent").agg(F.coalesce(F.sum(F.col("last") - F.col("first") + window), F.lit(0))).first()[0]
     drop_table(index)
-    small_batches(spark)
     sent = occ.where("sent").groupBy("_id", "_th").agg(F.collect_list(F.struct("at", "first", "last", "gram", "cls", "multi")).alias("anchors"))
-    masks = materialize(resolve(docs.join(sent, same(docs, sent)).select(docs["_id"], docs["_th"], docs["_text"], "anchors"), probes), "masks")
+    masks = materialize(resolve(docs.join(sent, same(docs, sent)).select(docs["_id"], docs["_th"], docs["_text"], "anchors"), probes, volume), "masks")
     hits = occ.select("_id", "_th", "first", "gram", "cls").join(masks, ["gram", "cls"])
     out = materialize(hits.groupBy("_id", "_th").agg(F.collect_list(F.struct("first", "mask")).alias("hits")), "spans")
     drop_table(occ)
@@ -237,6 +236,14 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, resolve
     return out
 
 
+def _probes(index: DataFrame) -> list[bytes]:
+    """Beginnings of suffixes from all packed rows, or from a hash sample of the rows where there are too many for the
+    driver. They choose the bounds of sort ranges and nothing else."""
+    share = MOST_PROBES / (PROBES * max(1, index.count()))
+    some = index if share >= 1 else index.where(F.pmod(F.xxhash64("blob"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    return [bytes(r[0]) for r in some.select(F.explode("probe")).collect()]
+
+
 def covered(hits: list[dict] | None, n: int, window: int) -> np.ndarray | None:
     """Which of a document's n units lie in a repeated window; None if there is none."""
     if not hits:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import buckets, keyed
+from panelspark.llm.common import buckets, keyed, sliced
 from panelspark.llm.repeats import bucket_of, covered, repeated_windows, with_hits, word_hashes
 
 #: Pieces in one automaton. A larger group has several, and every piece is streamed through all of them.
@@ -119,7 +119,7 @@ _PIECES = "bucket int, gram long, cls long, multi boolean, words binary"
 
 def _pieces(window: int, n_buckets: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for text, anchors in zip(batch.column("_text"), batch.column("anchors").to_pylist()):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
@@ -156,8 +156,8 @@ def _shards(window: int, gram: int) -> Callable:
     return run
 
 
-def _resolver(window: int, gram: int) -> Callable[[DataFrame, list[bytes]], DataFrame]:
-    def resolve(parts: DataFrame, _: list[bytes]) -> DataFrame:
+def _resolver(window: int, gram: int) -> Callable[[DataFrame, list[bytes], int], DataFrame]:
+    def resolve(parts: DataFrame, _: list[bytes], volume: int) -> DataFrame:
         return parts.mapInArrow(_pieces(window, buckets(parts.sparkSession)), _PIECES).groupBy("bucket").applyInArrow(_shards(window, gram), "gram long, cls long, mask binary")
 
     return resolve
@@ -165,7 +165,7 @@ def _resolver(window: int, gram: int) -> Callable[[DataFrame, list[bytes]], Data
 
 def _cut(window: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             kept, size, gone = [], [], []
             for text, hits in zip(batch.column("_text"), batch.column("hits").to_pylist()):
                 words = (text.as_py() or "").encode().split()

@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import buckets, keyed
+from panelspark.llm.common import buckets, keyed, sliced
 from panelspark.llm.repeats import covered, repeated_windows, with_hits
 
 #: Bytes of suffixes that a task sorts at once; beyond it, it starts another run.
 RUN_BYTES = 48 << 20
+#: Bytes of pieces in a sort range, about.
+RANGE_BYTES = 8 << 20
 _ARRAYS = {"lcp": "<u4", "tail": "<u4", "left": "<u4", "gram": "<i8", "cls": "<i8", "multi": "u1", "low": "<u4", "n": "<u4"}
 _RUN = "range int, run long, " + ", ".join(f"{x} binary" for x in (*_ARRAYS, "tails", "lefts"))
 
@@ -144,7 +146,7 @@ def _runs(window: int, cuts: list[bytes]) -> Callable:
             types = [pa.int32(), pa.int64(), *[pa.binary()] * (len(_ARRAYS) + 2)]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["range", "run", *_ARRAYS, "tails", "lefts"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for text, anchors in zip(batch.column("_text"), batch.column("anchors").to_pylist()):
                 data = text.as_buffer()
                 for a in anchors:
@@ -218,9 +220,9 @@ def _merge(window: int, gram: int) -> Callable:
     return run
 
 
-def _resolver(window: int, gram: int) -> Callable[[DataFrame, list[bytes]], DataFrame]:
-    def resolve(parts: DataFrame, probes: list[bytes]) -> DataFrame:
-        n = buckets(parts.sparkSession, 2)
+def _resolver(window: int, gram: int) -> Callable[[DataFrame, list[bytes], int], DataFrame]:
+    def resolve(parts: DataFrame, probes: list[bytes], volume: int) -> DataFrame:
+        n = max(buckets(parts.sparkSession, 2), -(-volume // RANGE_BYTES))
         probes = sorted(set(probes))  # a text with many copies has one say
         cuts = sorted({probes[len(probes) * k // n] for k in range(1, n)}) if probes else []
         return parts.mapInArrow(_runs(window, cuts), _RUN).groupBy("range").applyInArrow(_merge(window, gram), "gram long, cls long, mask binary")
@@ -230,7 +232,7 @@ def _resolver(window: int, gram: int) -> Callable[[DataFrame, list[bytes]], Data
 
 def _cut(window: int, columns: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             kept, size, gone, spans = [], [], [], []
             for text, hits in zip(batch.column("_text"), batch.column("hits").to_pylist()):
                 buf = text.as_buffer()
@@ -259,7 +261,7 @@ def dedup_suffixes(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
     rows count as different documents, so each loses what the other has too. Overlapping repeats count, and
     strings are judged on the input. An empty table gives an empty result. ``kept`` is binary, as a cut may fall inside a character.
     """
-    gram = max(1, window // 2)
+    gram = max(1, window // 3)
     rows = keyed(docs, id_col, text_col, rest)
     hits = repeated_windows(rows.select("_id", "_th", "_text"), "byte", window, gram, _resolver(window, gram))
     own = [c for c in rows.columns if c != "_text"]

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import materialize, small_batches
+from panelspark.llm.common import materialize, sliced
 
 #: Vectors in a shard and queries in a block.
 SHARD_ROWS, QUERY_ROWS = 4096, 1024
@@ -38,7 +38,7 @@ def _blocks(rows: int) -> Callable:
             held, made = [], made + 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int64(), pa.binary(), pa.int32(), pa.binary()))], ["block", "ids", "dims", "cells"])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for i, v in zip(batch.column("_id").to_pylist(), batch.column("_vec").to_pylist()):
                 held.append((i, v))
                 if len(held) == rows:
@@ -73,7 +73,7 @@ def max_score(query: np.ndarray, own: int, ids: np.ndarray, cells: np.ndarray, h
 
 def _search(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             for r in batch.to_pylist():
                 ids, queries = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["q_ids"], "<i8")
                 cells = np.frombuffer(r["cells"], "<i8").reshape(len(ids), r["dims"])
@@ -95,14 +95,12 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
     dimensions that both have. Rows with a null id or vector take no part; rows with the query's own id are no
     candidates for it. Repeated rows are candidates each. An empty table, or no query, gives no row."""
     spark = vectors.sparkSession
-    small_batches(spark)
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).alias("_vec"), is_query.alias("_is_query"))
     asked = rows.where("_is_query").select("_id", "_vec")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     queries = materialize(asked.repartition(min(width, max(1, asked.count() // QUERY_ROWS)), "_id").mapInArrow(_blocks(QUERY_ROWS), _BLOCK), "queries")
     numbered = queries.select(F.row_number().over(Window.orderBy("block")).alias("q"), F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("cells").alias("q_cells"))
     n = queries.count()
-    small_batches(spark, 1)
     shards = rows.select("_id", "_vec").mapInArrow(_blocks(SHARD_ROWS), _BLOCK)
     pairs = shards.withColumn("q", F.explode(F.sequence(F.lit(1), F.lit(n)))) if n else shards.withColumn("q", F.lit(0))
     found = pairs.join(numbered, "q").drop("q", "block").mapInArrow(_search(k), "query_id long, vec_id long, score long")

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import drop_table, materialize, small_batches
-from panelspark.storage import shared_folder
+from panelspark.llm.common import drop_table, materialize
+from panelspark.storage import new_folder
 
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -121,7 +121,6 @@ def write_warc(pages: DataFrame, folder: str, shards: int, roll_bytes: int = 1 <
     the group has an id, all are responses. Ids or urls may be null: the record then has no such field. An empty
     table gives an empty manifest and no file. The manifest's rows are one for each file, never for records."""
     spark = pages.sparkSession
-    small_batches(spark, 500)
     rows = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("_payload"))
     rows = rows.withColumn("_digest", F.sha1("_payload"))
     large = rows.where(F.octet_length("_payload") >= least)
@@ -209,7 +208,7 @@ def read_warc(manifest: DataFrame, folder: str, with_payload: bool = False) -> D
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
     """Archive all pages in the shared folder and read the archives back."""
-    folder = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "warc")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     manifest = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder, shards)
     return read_warc(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
