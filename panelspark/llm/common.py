@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +15,25 @@ from panelspark import storage
 from panelspark.llm.hashing import BATCH
 from panelspark.storage import drop_table as drop_table
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """A written intermediate table (see ``storage``); afterwards the shuffle files of what made it may go."""
-    out = storage.materialize(df, name)
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for what is run inside; the session's own setting holds again afterwards."""
+    own = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, own)
+
+
+def materialize(df: DataFrame, name: str, rows: int = 1000) -> DataFrame:
+    """An intermediate table (see ``storage``), written in Arrow batches of so many rows; afterwards the shuffle files
+    of what made it may go."""
+    with batch_rows(df.sparkSession, rows):
+        out = storage.materialize(df, name)
     storage.collect_garbage(df.sparkSession)
     return out
 
@@ -29,7 +45,7 @@ def buckets(spark: SparkSession, times: int = 4) -> int:
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in slices of so many rows, for functions that make Python objects or wide arrays of a whole batch.
-    Spark bounds a batch's bytes; the session's settings stay as they are."""
+    A result that the caller writes comes in the session's own batches, of which Spark bounds the bytes."""
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
@@ -43,11 +59,22 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rest:
     return docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"), *more)
 
 
-def mapped(docs: DataFrame, text_col: str, fn, new: list[T.StructField]) -> DataFrame:
-    """All columns of docs and the new ones, made by ``fn`` from batches of (_row, _text), _row being the whole row.
+def mapped(docs: DataFrame, text_col: str, fn: Callable[[pa.Array], list[pa.Array]], new: list[T.StructField], rows: int = 1000) -> DataFrame:
+    """All columns of docs and the new ones, made by ``fn`` from so many texts at a time; the text is sent once.
     Where docs has a column of a new one's name, the new one takes its place."""
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col(text_col).cast("string").alias("_text"))
-    out = rows.mapInArrow(fn, T.StructType([rows.schema["_row"], *new]))
+    nested = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"))
+    plain = isinstance(docs.schema[text_col].dataType, T.StringType)
+    if not plain:
+        nested = nested.withColumn("_text", F.col("_row").getField(text_col).cast("string"))
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, rows):
+            row = batch.column("_row")
+            text = row.flatten()[place] if plain else batch.column("_text")
+            yield pa.RecordBatch.from_arrays([row, *fn(text)], ["_row", *(f.name for f in new)])
+
+    out = nested.mapInArrow(run, T.StructType([nested.schema["_row"], *new]))
     names = [f.name for f in new]
     return out.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns if c not in names), *names)
 

@@ -11,6 +11,7 @@ Test items are few and each executor has them all, after a check of their size;
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm import hashing as H
-from panelspark.llm.common import groups_of, mapped, sliced, text_buffer
+from panelspark.llm.common import groups_of, mapped, text_buffer
 from panelspark.llm.repeats import word_hashes
 
 #: BM25's constants; the share of an item's own score that retrieves it; words in a compared run of a question and
@@ -153,8 +154,19 @@ class Index:
         return True
 
 
-def _finder(items: list[tuple[int, str]], share: float) -> Callable:
-    state: list[Index] = []
+_INDEX: dict[str, Index] = {}
+
+
+def index_of(key: str, items: list[tuple[int, str]]) -> Index:
+    """A worker's index of these items: made once, not once for each task. Only the last is held."""
+    if key not in _INDEX:
+        _INDEX.clear()
+        _INDEX[key] = Index(items)
+    return _INDEX[key]
+
+
+def _finder(items: list[tuple[int, str]], share: float) -> Callable[[pa.Array], list[pa.Array]]:
+    told = hashlib.blake2b(repr(items).encode()).hexdigest()
 
     def passages(index: Index, v: np.ndarray, wb: np.ndarray) -> Iterator[tuple[int, int, int, list[int]]]:
         """(document, first word, end, terms) of the passages that some block's maxima let reach the threshold."""
@@ -178,26 +190,23 @@ def _finder(items: list[tuple[int, str]], share: float) -> Callable:
             if index.coarse[terms].sum(axis=0).max() >= share - 1e-6:
                 yield int(doc[p]), a, b, terms.tolist()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not state:
-            state.append(Index(items))
-        index = state[0]
-        for batch in sliced(batches, 1000):
-            data, bounds = text_buffer(batch.column("_text"))
-            found: list[dict[int, float]] = [{} for _ in range(batch.num_rows)]
-            for i, j in groups_of(bounds) if index.longest else ():
-                _, _, v, wb = word_hashes(plain(data[bounds[i] : bounds[j]]), bounds[i : j + 1] - bounds[i])
-                if not len(v):
-                    continue
-                for doc, a, b, terms in passages(index, v, wb):
-                    for item, score in index.retrieve(terms, share):
-                        if index.check(item, v[a:b]):
-                            found[i + doc][item] = max(score, found[i + doc].get(item, 0.0))
-            rows = [[index.ids[k] for k in sorted(f)] for f in found]
-            best = [min(1.0, max(f.values())) if f else 0.0 for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(rows, pa.list_(pa.int64())), pa.array(best, pa.float64())], ["_row", "_items", "_best"])
-
-    return run
+    def find(texts: pa.Array) -> list[pa.Array]:
+        index = index_of(told, items)
+        data, bounds = text_buffer(texts)
+        found: list[dict[int, float]] = [{} for _ in range(len(texts))]
+        for i, j in groups_of(bounds) if index.longest else ():
+            _, _, v, wb = word_hashes(plain(data[bounds[i] : bounds[j]]), bounds[i : j + 1] - bounds[i])
+            if not len(v):
+                continue
+            for doc, a, b, terms in passages(index, v, wb):
+                for item, score in index.retrieve(terms, share):
+                    if index.check(item, v[a:b]):
+                        found[i + doc][item] = max(score, found[i + doc].get(item, 0.0))
+        rows = [[index.ids[k] for k in sorted(f)] for f in found]
+        best = [min(1.0, max(f.values())) if f else 0.0 for f in found]
+        return [pa.array(rows, pa.list_(pa.int64())), pa.array(best, pa.float64())]
+
+    return find
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", out: tuple[str, str] = ("_items", "_best")) -> DataFrame:

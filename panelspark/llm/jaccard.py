@@ -385,14 +385,14 @@ def join_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     schema = T.StructType([T.StructField("blob", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("ths", T.ArrayType(T.LongType())), *binary("n", "set1", "set2", "key", "doc")])
     index = materialize(rows.mapInArrow(_index(words), schema), "shingles")
     schema = T.StructType([rows.schema["_id"], T.StructField("_th", T.LongType()), T.StructField("n", T.LongType()), *binary("node"), T.StructField("near", T.BooleanType())])
-    seen = materialize(index.groupBy("blob").cogroup(key_counts(index, "key").groupBy("blob")).applyInArrow(_supported(to_arrow_type(id_type), percent), schema), "documents")
+    seen = materialize(index.groupBy("blob").cogroup(key_counts(index, "key").groupBy("blob")).applyInArrow(_supported(to_arrow_type(id_type), percent), schema), "documents", 8)
     drop_table(index)
     near = seen.where("near")
     nodes = near.groupBy("node").agg(F.min(F.struct("_id", "_th")).alias("k")).select("node", F.col("k._id").alias("_id"), F.col("k._th").alias("_th"))
     sets = materialize(rows.join(nodes, same(rows, nodes)).select("node", "_text").mapInArrow(_sets(words), "node binary, n long, shingles binary"), "sets")
     signed = materialize(sets.mapInArrow(_signed(percent), "blob long, nodes array<binary>, n array<long>, sizes array<long>, key binary"), "signatures")
     kept = signed.groupBy("blob").cogroup(key_counts(signed, "key").groupBy("blob")).applyInArrow(_rarest(percent), "sig long, node binary, n long")
-    kept = materialize(kept.distinct(), "kept")
+    kept = materialize(kept.distinct(), "kept", 8)
     drop_table(signed)
     leader = kept.groupBy("sig").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
     first = materialize(kept.join(leader, "sig").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct(), "first")
@@ -405,7 +405,7 @@ def join_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     if large.head(1):
         fits = kept.join(large, "node", "left_semi")
         all_roots = all_roots.unionByName(_large_cluster_roots(fits, first.join(large.withColumnRenamed("node", "a"), "a", "left_semi"), sets, percent))
-    all_roots = materialize(all_roots, "roots")
+    all_roots = materialize(all_roots, "roots", 256)
     named = near.join(all_roots, "node", "left").select("_id", "_th", "n", F.coalesce("root", "node").alias("root"))
     # written first, so that the join below is of plain exchanges, which are split where one component is very large
     names = materialize(named.groupBy("root").agg(F.min("_id").alias("component")), "names")

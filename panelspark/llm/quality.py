@@ -7,8 +7,6 @@ document) into one probability. It is trained on the driver with Adam from a bou
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -166,19 +164,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_RO
     return w
 
 
-def _scorer(w: dict[str, np.ndarray]) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, bounds = text_buffer(batch.column("_text"))
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(scores(w, data, bounds), pa.float64())], ["_row", "_new"])
-
-    return run
-
-
 def score(docs: DataFrame, weights: dict[str, np.ndarray], text_col: str = "text", out: str = "_score") -> DataFrame:
     """All columns of docs and ``out``, the probability of label 1; it takes the place of a column of that name. A
     null text scores as an empty one, repeated rows alike, and an empty table gives none."""
-    return mapped(docs, text_col, _scorer(weights), [T.StructField(out, T.DoubleType())])
+    return mapped(docs, text_col, lambda texts: [pa.array(scores(weights, *text_buffer(texts)), pa.float64())], [T.StructField(out, T.DoubleType())])
 
 
 def fold() -> Column:

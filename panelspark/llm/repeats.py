@@ -223,7 +223,7 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, resolve
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema = T.StructType([T.StructField("_id", id_type), T.StructField("_th", T.LongType()), *(T.StructField(x, T.BooleanType() if x in ("sent", "multi") else T.LongType()) for x in _OCC)])
-    occ = materialize(index.drop("probe").groupBy("blob").cogroup(flags.groupBy("blob")).applyInArrow(_occurrences(to_arrow_type(id_type)), schema), "occurrences")
+    occ = materialize(index.drop("probe").groupBy("blob").cogroup(flags.groupBy("blob")).applyInArrow(_occurrences(to_arrow_type(id_type)), schema), "occurrences", 8)
     probes = _probes(index) if unit == "byte" else []
     volume = occ.where("sent").agg(F.coalesce(F.sum(F.col("last") - F.col("first") + window), F.lit(0))).first()[0]
     drop_table(index)

@@ -255,3 +255,15 @@ def test_queries_have_their_columns(spark):
     for name, q in queries.QUERIES.items():
         if name.split("_")[0] in want:
             assert want[name.split("_")[0]] <= set(q(spark, SMALL).columns)
+
+
+# session
+
+
+def test_queries_leave_the_session_as_it_was(spark):
+    before = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsparkSession.sessionState().conf().getAllConfs())
+    before = dict(before)
+    for name in ("op1_substring_dedup", "op2_warc", "op3_jaccard", "op5_decontaminate", "op10_topk"):
+        queries.QUERIES[name](spark, SMALL).count()
+    after = dict(spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsparkSession.sessionState().conf().getAllConfs()))
+    assert after == before
