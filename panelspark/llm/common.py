@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,17 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(_BATCH_ROWS, own)
 
 
-def materialize(df: DataFrame, name: str, rows: int = 1000) -> DataFrame:
-    """An intermediate table (see ``storage``), written in Arrow batches of so many rows; afterwards the shuffle files
-    of what made it may go."""
+def files_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Files for so many rows, about ``each`` in one, and no more than a shuffle has partitions: a small table in as many
+    files as a large one costs more to write and to read than to make."""
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each)))
+
+
+def materialize(df: DataFrame, name: str, rows: int = 1000, files: int | None = None) -> DataFrame:
+    """An intermediate table (see ``storage``), written in Arrow batches of so many rows and in at most so many files;
+    afterwards the shuffle files of what made it may go."""
     with batch_rows(df.sparkSession, rows):
-        out = storage.materialize(df, name)
+        out = storage.materialize(df if files is None else df.coalesce(files), name)
     storage.collect_garbage(df.sparkSession)
     return out
 
@@ -43,6 +50,19 @@ def buckets(spark: SparkSession, times: int = 4) -> int:
     return max(8, times * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which gives freed memory back to the system when its task ends: Python workers live on, and an executor
+    has several."""
+
+    def then(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):  # not every C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return then
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """The batches in slices of so many rows, for functions that make Python objects or wide arrays of a whole batch.
     A result that the caller writes comes in the session's own batches, of which Spark bounds the bytes."""
@@ -74,7 +94,7 @@ def mapped(docs: DataFrame, text_col: str, fn: Callable[[pa.Array], list[pa.Arra
             text = row.flatten()[place] if plain else batch.column("_text")
             yield pa.RecordBatch.from_arrays([row, *fn(text)], ["_row", *(f.name for f in new)])
 
-    out = nested.mapInArrow(run, T.StructType([nested.schema["_row"], *new]))
+    out = nested.mapInArrow(tidied(run), T.StructType([nested.schema["_row"], *new]))
     names = [f.name for f in new]
     return out.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns if c not in names), *names)
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import drop_table, materialize
+from panelspark.llm.common import drop_table, files_for, materialize
+
+#: Edges in one file of a round's table.
+FILE_ROWS = 50_000
 
 
 def _stars(pairs: DataFrame, small: bool) -> DataFrame:
@@ -22,14 +25,14 @@ def _stars(pairs: DataFrame, small: bool) -> DataFrame:
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(a, b) pairs -> (node, root): the least node of each node's component; nodes without a pair are left out.
+    """(a, b) pairs, a written table -> (node, root): the least node of each node's component; nodes without a pair are left out.
 
     Each round is written to the shared folder; rounds grow with the logarithm of the longest path. Nulls and loops are ignored."""
     edges = pairs.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = materialize(edges, "edges")
-    state = None
+    files, state = files_for(pairs.sparkSession, pairs.count(), FILE_ROWS), None
+    edges = materialize(edges, "edges", files=files)
     while True:
-        new = materialize(_stars(_stars(edges, False), True), "stars")
+        new = materialize(_stars(_stars(edges, False), True), "stars", files=files)
         drop_table(edges)
         edges = new
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm import hashing as H
-from panelspark.llm.common import buckets, drop_table, groups_of, keyed, materialize, sliced, text_buffer
+from panelspark.llm.common import buckets, drop_table, files_for, groups_of, keyed, materialize, sliced, text_buffer, tidied
 from panelspark.llm.components import components
 from panelspark.llm.repeats import bucket_of, same, word_hashes
 
@@ -38,6 +38,8 @@ WORDS, PERCENT, SAMPLE, BLOCK = 5, 75, 48, 400_000
 SINGLE, PARTS = 63, 0.4
 #: Comparisons of a node with a shingle that one task makes for a cluster; cells of a dense block.
 WORK, CELLS = 1 << 31, 1 << 24
+#: Sets, and rows about sets, in one file.
+FILE_SETS, FILE_ROWS = 2000, 50_000
 _U = np.uint64
 
 
@@ -149,7 +151,7 @@ def _count(table: pa.Table) -> pa.Table:
 def key_counts(blobs: DataFrame, column: str) -> DataFrame:
     """(blob, bucket, counts) for the distinct keys of each packed row, in order by bucket."""
     n = buckets(blobs.sparkSession)
-    split = blobs.select("blob", column).mapInArrow(_split(n, column), "bucket int, blob long, keys binary, many binary")
+    split = blobs.select("blob", column).mapInArrow(tidied(_split(n, column)), "bucket int, blob long, keys binary, many binary")
     return split.groupBy("bucket").applyInArrow(_count, "blob long, bucket int, counts binary")
 
 
@@ -280,7 +282,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(_linked(percent), "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(tidied(_linked(percent)), "a binary, b binary")
 
 
 def _across(percent: int) -> Callable:
@@ -383,32 +385,34 @@ def join_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     id_type = rows.schema["_id"].dataType
     binary = lambda *names: [T.StructField(n, T.BinaryType()) for n in names]
     schema = T.StructType([T.StructField("blob", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("ths", T.ArrayType(T.LongType())), *binary("n", "set1", "set2", "key", "doc")])
-    index = materialize(rows.mapInArrow(_index(words), schema), "shingles")
+    index = materialize(rows.mapInArrow(tidied(_index(words)), schema), "shingles")
     schema = T.StructType([rows.schema["_id"], T.StructField("_th", T.LongType()), T.StructField("n", T.LongType()), *binary("node"), T.StructField("near", T.BooleanType())])
-    seen = materialize(index.groupBy("blob").cogroup(key_counts(index, "key").groupBy("blob")).applyInArrow(_supported(to_arrow_type(id_type), percent), schema), "documents", 8)
+    seen = materialize(index.groupBy("blob").cogroup(key_counts(index, "key").groupBy("blob")).applyInArrow(_supported(to_arrow_type(id_type), percent), schema), "documents", 8, files_for(spark, index.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0], FILE_SETS))
     drop_table(index)
     near = seen.where("near")
+    count = near.count()
+    set_files, row_files = files_for(spark, count, FILE_SETS), files_for(spark, count, FILE_ROWS)
     nodes = near.groupBy("node").agg(F.min(F.struct("_id", "_th")).alias("k")).select("node", F.col("k._id").alias("_id"), F.col("k._th").alias("_th"))
-    sets = materialize(rows.join(nodes, same(rows, nodes)).select("node", "_text").mapInArrow(_sets(words), "node binary, n long, shingles binary"), "sets")
-    signed = materialize(sets.mapInArrow(_signed(percent), "blob long, nodes array<binary>, n array<long>, sizes array<long>, key binary"), "signatures")
+    sets = materialize(rows.join(nodes, same(rows, nodes)).select("node", "_text").mapInArrow(tidied(_sets(words)), "node binary, n long, shingles binary"), "sets", files=set_files)
+    signed = materialize(sets.mapInArrow(tidied(_signed(percent)), "blob long, nodes array<binary>, n array<long>, sizes array<long>, key binary"), "signatures")
     kept = signed.groupBy("blob").cogroup(key_counts(signed, "key").groupBy("blob")).applyInArrow(_rarest(percent), "sig long, node binary, n long")
-    kept = materialize(kept.distinct(), "kept", 8)
+    kept = materialize(kept.distinct(), "kept", 8, set_files)
     drop_table(signed)
     leader = kept.groupBy("sig").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
-    first = materialize(kept.join(leader, "sig").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct(), "first")
+    first = materialize(kept.join(leader, "sig").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct(), "first", files=row_files)
     clusters = components(first).withColumnRenamed("root", "cluster")
-    clusters = materialize(clusters.join(sets.groupBy("node").agg(F.max("n").alias("n")), "node"), "clusters")
+    clusters = materialize(clusters.join(sets.groupBy("node").agg(F.max("n").alias("n")), "node"), "clusters", files=row_files)
     sizes = clusters.groupBy("cluster").agg((F.count("*") * F.sum("n") > work).alias("large"))
     clusters = clusters.join(sizes, "cluster")
     all_roots = clusters.where("not large").join(sets.select("node", "shingles"), "node").groupBy("cluster").applyInArrow(_clustered(percent), "node binary, root binary")
-    large = materialize(clusters.where("large").select("node"), "large")
+    large = materialize(clusters.where("large").select("node"), "large", files=row_files)
     if large.head(1):
         fits = kept.join(large, "node", "left_semi")
         all_roots = all_roots.unionByName(_large_cluster_roots(fits, first.join(large.withColumnRenamed("node", "a"), "a", "left_semi"), sets, percent))
-    all_roots = materialize(all_roots, "roots", 256)
+    all_roots = materialize(all_roots, "roots", 256, set_files)
     named = near.join(all_roots, "node", "left").select("_id", "_th", "n", F.coalesce("root", "node").alias("root"))
     # written first, so that the join below is of plain exchanges, which are split where one component is very large
-    names = materialize(named.groupBy("root").agg(F.min("_id").alias("component")), "names")
+    names = materialize(named.groupBy("root").agg(F.min("_id").alias("component")), "names", files=row_files)
     found = named.join(names, "root").select("_id", "_th", "n", "component")
     return found.unionByName(seen.where("not near").select("_id", "_th", "n", F.col("_id").alias("component")))
 

@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm import hashing as H
-from panelspark.llm.common import groups_of, text_buffer
+from panelspark.llm.common import groups_of, text_buffer, tidied
 
 #: Tokens that a task packs at once; pieces of text whose tokens a worker remembers.
-BLOCK_TOKENS, REMEMBERED = 1 << 20, 1 << 20
+BLOCK_TOKENS, REMEMBERED = 1 << 20, 3 << 18
 #: Classes of bytes: white space, letters, digits, other signs, and what sends a whole word to the tokenizer.
 _SPACE, _LETTER, _DIGIT, _SIGN, _WHOLE = range(5)
 
@@ -97,8 +97,8 @@ class Known:
     def _empty(self, slots: int) -> None:
         self.count = self.used = 0
         self.keys = np.zeros(slots, np.uint64)
-        self.first, self.size, self.met = np.zeros(slots, np.int64), np.zeros(slots, np.int32), np.zeros(slots, bool)
-        self.pool = np.zeros(4 * slots, np.uint32)
+        self.first, self.size, self.met = np.zeros(slots, np.uint32), np.zeros(slots, np.int32), np.zeros(slots, bool)
+        self.pool = np.zeros(slots, np.uint32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key, or -1."""
@@ -114,10 +114,10 @@ class Known:
 
     def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
         """New, distinct keys with their tokens, one after another."""
-        if 2 * (self.count + len(keys)) > len(self.keys):
+        if 4 * (self.count + len(keys)) > 3 * len(self.keys):
             self._rebuild(np.flatnonzero(self.keys), len(keys), False)
         if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate((self.pool[: self.used], np.zeros(self.used + len(ids), np.uint32)))
+            self.pool = np.concatenate((self.pool[: self.used], np.zeros(self.used // 4 + len(ids), np.uint32)))
         mask = len(self.keys) - 1
         at, slot = np.arange(len(keys)), (keys & np.uint64(mask)).astype(np.int64)
         while len(at):
@@ -140,7 +140,7 @@ class Known:
 
     def _rebuild(self, slots: np.ndarray, room: int, clear: bool) -> None:
         keys, size, ids, met = self.keys[slots], self.size[slots], self.tokens(slots), self.met[slots]
-        self._empty(max(1 << 14, 1 << int(2 * (len(keys) + room)).bit_length()))
+        self._empty(max(1 << 14, 1 << int(4 * (len(keys) + room) // 3).bit_length()))
         if len(keys):
             self.add(keys, ids, size)
             if not clear:
@@ -150,7 +150,7 @@ class Known:
         """The ids of the pieces in these slots, one after another."""
         size = self.size[slots].astype(np.int64)
         ends = np.cumsum(size)
-        return self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[slots] - ends + size, size)]
+        return self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[slots].astype(np.int64) - ends + size, size)]
 
 
 class WordTokenizer:
@@ -364,7 +364,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     id_field = T.StructField("_id", docs.schema[id_col].dataType)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     schema = T.StructType([id_field, *(T.StructField(n, T.LongType()) for n in ("start", "length", "doc_tokens", "sequence_id", "offset")), T.StructField("ids", T.BinaryType())])
-    return rows.mapInArrow(_packer(tokenizer_path, capacity, end_id), schema)
+    return rows.mapInArrow(tidied(_packer(tokenizer_path, capacity, end_id)), schema)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str) -> DataFrame:

@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm import hashing as H
-from panelspark.llm.common import buckets, drop_table, groups_of, keyed, materialize, sliced, text_buffer
+from panelspark.llm.common import buckets, drop_table, files_for, groups_of, keyed, materialize, sliced, text_buffer, tidied
 
 #: Anchors in one packed row.
 BLOCK = 200_000
+#: Anchors of the input for each file of the tables that follow.
+FILE_ANCHORS = 10_000
 #: Bytes of each probe from which sort ranges are chosen, probes of each block, and probes that the driver gets, about.
 PROBE_BYTES, PROBES, MOST_PROBES = 48, 16, 200_000
 
@@ -216,21 +218,22 @@ def repeated_windows(docs: DataFrame, unit: str, window: int, gram: int, resolve
     spark = docs.sparkSession
     id_type = docs.schema["_id"].dataType
     blob_schema = T.StructType([T.StructField("blob", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("ths", T.ArrayType(T.LongType())), *(T.StructField(n, T.BinaryType()) for n in ("doc", "at", "first", "last", "gram", "cls")), T.StructField("probe", T.ArrayType(T.BinaryType()))])
-    index = materialize(docs.mapInArrow(_indexer(unit, window, gram), blob_schema), "anchors")
+    index = materialize(docs.mapInArrow(tidied(_indexer(unit, window, gram)), blob_schema), "anchors")
     n = buckets(spark)
-    keys = index.select("blob", "gram", "cls").mapInArrow(_keys(n), "bucket int, blob long, gram binary, cls binary, many binary")
+    files = files_for(spark, index.agg(F.coalesce(F.sum(F.octet_length("gram")), F.lit(0))).first()[0] // 8, FILE_ANCHORS)
+    keys = index.select("blob", "gram", "cls").mapInArrow(tidied(_keys(n)), "bucket int, blob long, gram binary, cls binary, many binary")
     flags = keys.groupBy("bucket").applyInArrow(_flags, "blob long, bucket int, flags binary")
     from pyspark.sql.pandas.types import to_arrow_type
 
     schema = T.StructType([T.StructField("_id", id_type), T.StructField("_th", T.LongType()), *(T.StructField(x, T.BooleanType() if x in ("sent", "multi") else T.LongType()) for x in _OCC)])
-    occ = materialize(index.drop("probe").groupBy("blob").cogroup(flags.groupBy("blob")).applyInArrow(_occurrences(to_arrow_type(id_type)), schema), "occurrences", 8)
+    occ = materialize(index.drop("probe").groupBy("blob").cogroup(flags.groupBy("blob")).applyInArrow(_occurrences(to_arrow_type(id_type)), schema), "occurrences", 8, files)
     probes = _probes(index) if unit == "byte" else []
     volume = occ.where("sent").agg(F.coalesce(F.sum(F.col("last") - F.col("first") + window), F.lit(0))).first()[0]
     drop_table(index)
     sent = occ.where("sent").groupBy("_id", "_th").agg(F.collect_list(F.struct("at", "first", "last", "gram", "cls", "multi")).alias("anchors"))
-    masks = materialize(resolve(docs.join(sent, same(docs, sent)).select(docs["_id"], docs["_th"], docs["_text"], "anchors"), probes, volume), "masks")
+    masks = materialize(resolve(docs.join(sent, same(docs, sent)).select(docs["_id"], docs["_th"], docs["_text"], "anchors"), probes, volume), "masks", files=files)
     hits = occ.select("_id", "_th", "first", "gram", "cls").join(masks, ["gram", "cls"])
-    out = materialize(hits.groupBy("_id", "_th").agg(F.collect_list(F.struct("first", "mask")).alias("hits")), "spans")
+    out = materialize(hits.groupBy("_id", "_th").agg(F.collect_list(F.struct("first", "mask")).alias("hits")), "spans", files=files)
     drop_table(occ)
     drop_table(masks)
     return out

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import buckets, keyed, sliced
+from panelspark.llm.common import buckets, keyed, sliced, tidied
 from panelspark.llm.repeats import bucket_of, covered, repeated_windows, with_hits, word_hashes
 
 #: Pieces in one automaton. A larger group has several, and every piece is streamed through all of them.
@@ -158,7 +158,7 @@ def _shards(window: int, gram: int) -> Callable:
 
 def _resolver(window: int, gram: int) -> Callable[[DataFrame, list[bytes], int], DataFrame]:
     def resolve(parts: DataFrame, _: list[bytes], volume: int) -> DataFrame:
-        return parts.mapInArrow(_pieces(window, buckets(parts.sparkSession)), _PIECES).groupBy("bucket").applyInArrow(_shards(window, gram), "gram long, cls long, mask binary")
+        return parts.mapInArrow(tidied(_pieces(window, buckets(parts.sparkSession))), _PIECES).groupBy("bucket").applyInArrow(_shards(window, gram), "gram long, cls long, mask binary")
 
     return resolve
 
@@ -190,7 +190,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
     rows = keyed(docs, id_col, text_col)
     hits = repeated_windows(rows, "word", window, gram, _resolver(window, gram))
     schema = T.StructType([rows.schema["_id"], T.StructField("_th", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-    return with_hits(rows, hits).mapInArrow(_cut(window), schema)
+    return with_hits(rows, hits).mapInArrow(tidied(_cut(window)), schema)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import buckets, keyed, sliced
+from panelspark.llm.common import buckets, keyed, sliced, tidied
 from panelspark.llm.repeats import covered, repeated_windows, with_hits
 
 #: Bytes of suffixes that a task sorts at once; beyond it, it starts another run.
@@ -225,7 +225,7 @@ def _resolver(window: int, gram: int) -> Callable[[DataFrame, list[bytes], int],
         n = max(buckets(parts.sparkSession, 2), -(-volume // RANGE_BYTES))
         probes = sorted(set(probes))  # a text with many copies has one say
         cuts = sorted({probes[len(probes) * k // n] for k in range(1, n)}) if probes else []
-        return parts.mapInArrow(_runs(window, cuts), _RUN).groupBy("range").applyInArrow(_merge(window, gram), "gram long, cls long, mask binary")
+        return parts.mapInArrow(tidied(_runs(window, cuts)), _RUN).groupBy("range").applyInArrow(_merge(window, gram), "gram long, cls long, mask binary")
 
     return resolve
 
@@ -267,7 +267,7 @@ def dedup_suffixes(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
     own = [c for c in rows.columns if c != "_text"]
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
     schema = T.StructType([*(rows.schema[c] for c in own), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
-    return with_hits(rows, hits).mapInArrow(_cut(window, own), schema)
+    return with_hits(rows, hits).mapInArrow(tidied(_cut(window, own)), schema)
 
 
 def text_of(kept: str):
