@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,24 +11,46 @@ from pyspark.sql import functions as F
 from panelspark.functions.text import clean_line, is_noise, letters
 from panelspark.storage import materialize
 
-#: The merge rule's limits.
-SIZE_RATIO, GAP_PX, GAP_RATIO, OVERLAP_RATIO, ANGLE_DEG, CENTER_RATIO, SIDE_PX = 1.3, 10.0, 0.8, 2.0, 12.0, 0.6, -5.0
+#: Fixed value: how far lines may miss each other from the side.
+SIDE_PX = -5.0
 #: Height of a band by which a page's lines are dealt; lines of a page that one task closes.
 BAND, PAGE_LINES = 256, 200_000
 
 
+@dataclass(frozen=True)
+class MergeRule:
+    """Limits within which two lines belong together; the defaults are fixed values. Ratios of sizes are 1 at least, all
+    others 0."""
+
+    max_size_ratio: float = 1.3
+    max_gap_px: float = 10.0
+    max_gap_ratio: float = 0.8
+    max_overlap_ratio: float = 2.0
+    max_angle_diff_deg: float = 12.0
+    center_ratio: float = 0.6
+
+    def __post_init__(self) -> None:
+        for name, value in vars(self).items():
+            object.__setattr__(self, name, max(1.0 if name == "max_size_ratio" else 0.0, float(value)))
+
+
 def kept_lines(lines: DataFrame) -> DataFrame:
     cleaned = lines.withColumn("text", clean_line(F.col("raw_text")))
     return cleaned.where(~is_noise(F.col("text")) & (F.col("text") != ""))
 
 
-def edges(lines: DataFrame) -> DataFrame:
+def written_lines(lines: DataFrame) -> DataFrame:
+    """The kept lines as a written table: clustering reads them several times, and cleaning is what costs most."""
+    return materialize(kept_lines(lines), "lines")
+
+
+def edges(lines: DataFrame, rule: MergeRule = MergeRule()) -> DataFrame:
     """(page_id, a, b): pairs of lines, a before b, that belong together.
 
     Linked lines are near in height, so lines are joined by page and band of the page, not by page alone: the
     work on one long page grows with its length. A pair is kept in the first band that both reach."""
     h = F.col("y2") - F.col("y1")
-    reach = F.greatest(F.lit(GAP_PX), GAP_RATIO * F.greatest(h, F.lit(1)))
+    reach = F.greatest(F.lit(rule.max_gap_px), rule.max_gap_ratio * F.greatest(h, F.lit(1)))
     box = lines.select("page_id", "line_no", "x1", "y1", "x2", "y2", "angle", F.floor((F.col("y1") - reach) / BAND).alias("lo"), F.floor((F.col("y2") + reach) / BAND).alias("hi"))
     box = box.select("*", F.explode(F.sequence("lo", "hi")).alias("band"))
     a, b = box.alias("a"), box.alias("b")
@@ -39,13 +61,14 @@ def edges(lines: DataFrame) -> DataFrame:
     low = F.greatest(F.least(height("a"), height("b")), F.lit(1)).cast("double")
     overlap = F.least(c("a.y2"), c("b.y2")) - F.greatest(c("a.y1"), c("b.y1"))
     side = F.least(c("a.x2"), c("b.x2")) - F.greatest(c("a.x1"), c("b.x1"))
-    rule = (
+    linked = (
         (c("a.page_id") == c("b.page_id")) & (c("a.band") == c("b.band")) & (c("a.line_no") < c("b.line_no")) & (c("a.band") == F.greatest(c("a.lo"), c("b.lo")))
-        & (F.greatest(height("a"), height("b")) / low <= SIZE_RATIO) & (F.abs(c("a.angle") - c("b.angle")) <= ANGLE_DEG) & (side >= SIDE_PX)
-        & (F.abs(center("a") - center("b")) < F.greatest(width("a"), width("b"), F.lit(1)) * CENTER_RATIO)
-        & (overlap >= -F.greatest(F.lit(GAP_PX), GAP_RATIO * low)) & (overlap <= OVERLAP_RATIO * low)
+        & (F.greatest(height("a"), height("b")) / low <= rule.max_size_ratio) & (F.abs(c("a.angle") - c("b.angle")) <= rule.max_angle_diff_deg) & (side >= SIDE_PX)
+        & (F.abs(center("a") - center("b")) < F.greatest(width("a"), width("b"), F.lit(1)) * rule.center_ratio)
+        & (overlap >= -F.greatest(F.lit(rule.max_gap_px), rule.max_gap_ratio * low)) & (overlap <= rule.max_overlap_ratio * low)
     )
-    return a.join(b, rule).select(c("a.page_id").alias("page_id"), c("a.line_no").alias("a"), c("b.line_no").alias("b"))
+    # the bands make rows that no estimate of the lines' size knows of, so neither side is broadcast
+    return a.join(b.hint("merge"), linked).select(c("a.page_id").alias("page_id"), c("a.line_no").alias("a"), c("b.line_no").alias("b"))
 
 
 def _closed(table: pa.Table) -> pa.Table:
@@ -80,9 +103,9 @@ def _propagated(pairs: DataFrame) -> DataFrame:
             return state
 
 
-def clusters(lines: DataFrame, page_lines: int = PAGE_LINES) -> DataFrame:
+def clusters(lines: DataFrame, page_lines: int = PAGE_LINES, rule: MergeRule = MergeRule()) -> DataFrame:
     """(page_id, line_no, cluster): the least line of each line's cluster; lines without a link stand alone."""
-    pairs = edges(lines)
+    pairs = edges(lines, rule)
     sizes = lines.groupBy("page_id").agg((F.count("*") > page_lines).alias("long"))
     # whether a page is long is looked up once for all lines, not for pairs
     long_pages = sizes.where("long").select("page_id")
@@ -102,9 +125,10 @@ def member_order(lines: DataFrame, labelled: DataFrame) -> DataFrame:
 
 
 def bubbles(members: DataFrame) -> DataFrame:
-    """One row for each cluster with more than two letters. Texts are joined in reading order within the aggregate."""
+    """One row for each cluster with more than two letters. Texts are joined in reading order within the aggregate; lines
+    are dealt out by page, so that the page's order needs no second shuffle."""
     ordered = F.array_sort(F.collect_list(F.struct("cy", "line_no", "text")))
-    rows = members.groupBy("page_id", "cluster").agg(
+    rows = members.repartition("page_id").groupBy("page_id", "cluster").agg(
         F.array_join(F.transform(ordered, lambda m: m["text"]), " ").alias("text"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
         F.avg((F.col("y2") - F.col("y1")).cast("double")).alias("line_height"), F.avg("angle").alias("angle"), F.bool_or("is_italic").alias("is_italic"), F.bool_or("is_bold").alias("is_bold"),
         F.count("*").alias("n_lines"), F.avg("cy").alias("cy"), F.min("line_no").alias("first_line"),
@@ -112,6 +136,14 @@ def bubbles(members: DataFrame) -> DataFrame:
     return rows.where(F.length(letters(F.upper("text"))) > 2)
 
 
+def ranked(members: DataFrame) -> DataFrame:
+    """(page_id, line_no, cluster, rank, block_no): each line's place in its cluster, and its cluster's in the page. All of
+    it runs over lines dealt out by page once."""
+    group = Window.partitionBy("page_id", "cluster")
+    rows = members.repartition("page_id").select("page_id", "line_no", "cluster", "cy", F.min("y1").over(group).alias("top"), F.avg("cy").over(group).alias("mid"), F.min("line_no").over(group).alias("first_line"), (F.row_number().over(group.orderBy("cy", "line_no")) - 1).alias("rank"))
+    return rows.select("page_id", "line_no", "cluster", "rank", (F.dense_rank().over(Window.partitionBy("page_id").orderBy("top", "mid", "first_line")) - 1).alias("block_no"))
+
+
 def in_page_order(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("page_id").orderBy("y1", "cy", "first_line")
     return rows.withColumn("block_no", F.row_number().over(order) - 1)

@@ -13,13 +13,14 @@ ADVANCE, LEADING, USABLE, HALVINGS = 0.52, 1.2, 0.95, 64
 
 
 @F.pandas_udf(T.DoubleType())
-def _largest_fit(n_chars: pd.Series, box_w: pd.Series, box_h: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
-    n, w, h, lo, hi = (x.to_numpy(dtype=float) for x in (n_chars, box_w, box_h, low, high))
+def largest_fit(n_chars: pd.Series, room_w: pd.Series, room_h: pd.Series, low: pd.Series, high: pd.Series, advance: pd.Series, leading: pd.Series) -> pd.Series:
+    """The greatest size between two at which so many characters fit into a room, by halving; ``low`` if none does."""
+    n, w, h, lo, hi, advance, leading = (x.to_numpy(dtype=float) for x in (n_chars, room_w, room_h, low, high, advance, leading))
     lo, hi, best = lo.copy(), hi.copy(), lo.copy()
     for _ in range(HALVINGS):
         mid = (lo + hi) * 0.5
-        per_line = np.maximum(w * USABLE / (mid * ADVANCE), 1.0)
-        ok = np.ceil(n / per_line) * LEADING * mid <= h * USABLE
+        per_line = np.maximum(w / (mid * advance), 1.0)
+        ok = np.ceil(n / per_line) * leading * mid <= h
         lo, hi, best = np.where(ok, mid, lo), np.where(ok, hi, mid), np.where(ok, mid, best)
     return pd.Series(best)
 
@@ -27,7 +28,7 @@ def _largest_fit(n_chars: pd.Series, box_w: pd.Series, box_h: pd.Series, low: pd
 def font_size(n_chars: Column, box_w: Column, box_h: Column, low: float = 10.0, high: float = 150.0) -> Column:
     """The greatest size that fits, by halving the range; the least size if none does. A fold of 64 steps is not
     compiled by Catalyst, so whole batches are halved as arrays."""
-    return _largest_fit(n_chars, box_w, box_h, F.lit(low), F.lit(high))
+    return largest_fit(n_chars, box_w * USABLE, box_h * USABLE, F.lit(low), F.lit(high), F.lit(ADVANCE), F.lit(LEADING))
 
 
 def stroke_of(size: Column, one_word: Column) -> Column:

@@ -91,8 +91,8 @@ def distances(inside: np.ndarray) -> np.ndarray:
 
 
 def _strokes(table: pa.Table) -> pa.Table:
-    y, x = (np.array(table.column(c).to_pylist()) for c in ("y", "x"))
-    grid = np.zeros((int(max(table.column("h").to_pylist())), int(max(table.column("w").to_pylist()))), bool)
+    y, x, h, w = (table.column(c).to_numpy() for c in ("y", "x", "h", "w"))
+    grid = np.zeros((int(h.max()), int(w.max())), bool)
     grid[y, x] = True
     ordered = np.sort(distances(grid)[grid])
     k = min(int(len(ordered) * PERCENTILE), len(ordered) - 1)
@@ -104,14 +104,14 @@ def stroke_width(inked: DataFrame, sizes: DataFrame) -> DataFrame:
     return inked.join(sizes, "img_id").groupBy("img_id").applyInArrow(_strokes, "img_id long, stroke double")
 
 
-def styles(pixels: DataFrame) -> DataFrame:
+def styles(pixels: DataFrame, italic_deg: float = ITALIC_DEG, bold_ratio: float = BOLD_RATIO, bold_density: float = BOLD_DENSITY) -> DataFrame:
     """(img_id, is_italic, is_bold) from slant, stroke, line height and density; images without enough ink have neither."""
     sizes = pixels.groupBy("img_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
     inked = ink(pixels)
     found = ink_box(inked).join(slant(inked), "img_id").join(longest_run(inked), "img_id").join(stroke_width(inked, sizes), "img_id")
     enough = F.col("n_ink") >= LEAST_INK
     ratio = F.when(F.col("line_height") > 1, F.col("stroke") / F.col("line_height")).otherwise(0.0)
-    return sizes.join(found, "img_id", "left").select("img_id", F.coalesce(enough & (F.abs("slant") >= ITALIC_DEG), F.lit(False)).alias("is_italic"), F.coalesce(enough & ((ratio >= BOLD_RATIO) | (F.col("density") >= BOLD_DENSITY)), F.lit(False)).alias("is_bold"))
+    return sizes.join(found, "img_id", "left").select("img_id", F.coalesce(enough & (F.abs("slant") >= italic_deg), F.lit(False)).alias("is_italic"), F.coalesce(enough & ((ratio >= bold_ratio) | (F.col("density") >= bold_density)), F.lit(False)).alias("is_bold"))
 
 
 class Mixer:
@@ -160,29 +160,29 @@ def two_means(rgb: np.ndarray, seed: int = 42, rounds: int = 40, restarts: int =
     return best
 
 
-def color_pair(rgb: np.ndarray) -> tuple[list[int], list[int]]:
+def color_pair(rgb: np.ndarray, rounds: int = 40, restarts: int = 3, contrast: float = 50.0) -> tuple[list[int], list[int]]:
     """(text colour, stroke colour): the rarer mean is the text's; black on white where both are too near or few pixels."""
     if len(rgb) < 3:
         return [0, 0, 0], [255, 255, 255]
-    centres, label, _ = two_means(rgb.astype(np.float64))
+    centres, label, _ = two_means(rgb.astype(np.float64), rounds=rounds, restarts=restarts)
     counts = np.bincount(label, minlength=2)
     text = 0 if counts[0] <= counts[1] else 1
     pair = np.floor(centres + 0.5).clip(0, 255).astype(int)
-    if np.abs(pair[0] - pair[1]).sum() < 50:
+    if np.abs(pair[0] - pair[1]).sum() < contrast:
         return [0, 0, 0], [255, 255, 255]
     return pair[text].tolist(), pair[1 - text].tolist()
 
 
-def _colors(table: pa.Table) -> pa.Table:
+def _colors(table: pa.Table, *limits: float) -> pa.Table:
     order = np.lexsort((table.column("x").to_numpy(), table.column("y").to_numpy()))
     rgb = np.stack([table.column(c).to_numpy() for c in ("r", "gr", "b")], axis=1)[order]
-    text, stroke = color_pair(rgb)
+    text, stroke = color_pair(rgb, *limits)
     return pa.table({"img_id": pa.array([table.column("img_id")[0].as_py()], pa.int64()), "text_rgb": pa.array([",".join(map(str, text))]), "stroke_rgb": pa.array([",".join(map(str, stroke))])})
 
 
-def colors(pixels: DataFrame, most: int = 20_000) -> DataFrame:
+def colors(pixels: DataFrame, most: int = 20_000, rounds: int = 40, restarts: int = 3, contrast: float = 50.0) -> DataFrame:
     """(img_id, text_rgb, stroke_rgb) of (img_id, y, x, r, gr, b). Images of more than ``most`` pixels are read on a
     grid of that stride in both directions, which is the operator's own rule."""
     n = pixels.groupBy("img_id").agg(F.greatest(F.lit(1), F.floor(F.count("*") / most)).alias("stride"))
     some = pixels.join(n, "img_id").where((F.col("y") % F.col("stride") == 0) & (F.col("x") % F.col("stride") == 0))
-    return some.groupBy("img_id").applyInArrow(_colors, "img_id long, text_rgb string, stroke_rgb string")
+    return some.groupBy("img_id").applyInArrow(lambda table: _colors(table, rounds, restarts, contrast), "img_id long, text_rgb string, stroke_rgb string")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import text as X
@@ -32,24 +31,20 @@ def word_counts(spark, d):
 
 
 def merge_edges(spark, d):
-    return B.edges(B.kept_lines(L.text_lines(spark, d)))
+    return B.edges(B.written_lines(L.text_lines(spark, d)))
 
 
 def connected_components(spark, d):
-    return B.clusters(B.kept_lines(L.text_lines(spark, d)))
+    return B.clusters(B.written_lines(L.text_lines(spark, d)))
 
 
 def _members(spark, d):
-    lines = B.kept_lines(L.text_lines(spark, d))
+    lines = B.written_lines(L.text_lines(spark, d))
     return B.member_order(lines, B.clusters(lines))
 
 
 def bubble_order(spark, d):
-    members = _members(spark, d)
-    inner = Window.partitionBy("page_id", "cluster").orderBy("cy", "line_no")
-    groups = members.groupBy("page_id", "cluster").agg(F.min("y1").alias("y1"), F.avg("cy").alias("cy"), F.min("line_no").alias("first_line"))
-    ranked = B.in_page_order(groups).select("page_id", "cluster", "block_no")
-    return members.withColumn("rank", (F.row_number().over(inner) - 1)).select("page_id", "line_no", "cluster", "rank").join(ranked, ["page_id", "cluster"])
+    return B.ranked(_members(spark, d))
 
 
 def dialog_bubbles(spark, d):

@@ -1,4 +1,4 @@
-"""Queries over pixels, strips, boxes and landed pages."""
+"""Queries over pixels, strips and boxes."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import text as X
 from panelspark.operators import layout as Y, raster as R, slicing as S
-from panelspark.sources import html as H, landed as L
+from panelspark.sources import landed as L
 
 
 def gray_histogram(spark, d):
@@ -45,8 +45,8 @@ def style_flags(spark, d):
 
 
 def color_pair(spark, d):
-    rows = L.table(spark, d, "embeddings").select(F.col("vec_id").alias("img_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
-    gray = lambda k: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + 400 * F.get("embedding", (F.col("i") + k) % 64).cast("double")))).cast("int")
+    rows = L.table(spark, d, "embeddings").select(F.col("vec_id").alias("img_id"), "embedding", F.explode(F.sequence(F.lit(0), F.size("embedding") - 1)).alias("i"))
+    gray = lambda k: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + 400 * F.get("embedding", (F.col("i") + k) % F.size("embedding")).cast("double")))).cast("int")
     return R.colors(rows.select("img_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), gray(0).alias("r"), gray(21).alias("gr"), gray(42).alias("b")))
 
 
@@ -108,45 +108,6 @@ def geometry(spark, d):
     return rows.select("page_id", "line_no", F.round(F.degrees(F.atan2(dy, dx)), 6).alias("tilt"), F.round((F.hypot(dy / 4, h) + F.hypot(dy / 4, h + 1)) / 2, 6).alias("true_height"), F.greatest(F.lit(0), (F.col("x1") / 2).cast("int")).alias("left"), F.least(F.lit(400), (F.col("x2") / 2).cast("int")).alias("right"), F.floor((F.col("x1") - F.col("x2")) / 2).cast("int").alias("shift"))
 
 
-def page_links(spark, d):
-    return H.links(L.table(spark, d, "pages"))
-
-
-def page_images(spark, d):
-    return H.images(L.table(spark, d, "pages"))
-
-
-def page_title(spark, d):
-    parts = F.split(F.regexp_extract("html", "<title>([^<]*)</title>", 1), " ", 2)
-    return L.table(spark, d, "pages").select("page_id", F.coalesce(F.nullif(F.get(parts, F.lit(0)), F.lit("")), F.lit("Unknown")).alias("title"), F.coalesce(F.nullif(F.get(parts, F.lit(1)), F.lit("")), F.lit("Unknown_Chapter")).alias("chapter_name"))
-
-
-def url_parts(spark, d):
-    url = F.col("url")
-    return L.table(spark, d, "pages").select("page_id", F.parse_url(url, F.lit("HOST")).alias("host"), F.parse_url(url, F.lit("PATH")).alias("path"), H.slug_of(F.parse_url(url, F.lit("PATH"))).alias("slug"), F.replace(F.url_encode(url), F.lit("+"), F.lit("%20")).alias("encoded"))
-
-
-def chapter_list_json(spark, d):
-    rows = L.table(spark, d, "nation")
-    item = F.struct(F.lower(F.replace("n_name", F.lit(" "), F.lit("-"))).alias("chapter_slug"), F.when(F.col("n_nationkey") % 4 != 0, F.col("n_name")).alias("chapter_name"))
-    payload = rows.groupBy("n_regionkey").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("data"))).alias("payload"))
-    got = payload.select("n_regionkey", F.posexplode(H.chapter_list(F.col("payload"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), "https://example.org")).alias("pos", "c"))
-    return got.select("n_regionkey", "pos", F.col("c.url").alias("url"), F.col("c.name").alias("name"))
-
-
-def codecs(spark, d):
-    """Round trips of the codecs: base64 and hexadecimal text to bytes, character codes to text."""
-    rows = L.table(spark, d, "benchmark")
-    packed = F.replace(F.base64(F.encode("text", "utf-8")), F.lit("\r\n"), F.lit(""))
-    return rows.select("item_id", F.length(packed).alias("base64_length"), F.decode(F.unbase64(packed), "utf-8").alias("decoded"), F.octet_length(F.unhex(F.hex("text"))).alias("n_bytes"), F.get(F.regexp_extract_all("text", F.lit(r"([A-Z]\w+)"), F.lit(1)), F.lit(0)).alias("first_name"))
-
-
-def unscrambled_lists(spark, d):
-    rows = L.table(spark, d, "benchmark")
-    keyed = F.concat(F.lit("3"), F.left("text", F.lit(4)), F.lit("5"), F.substr("text", F.lit(5)))
-    return rows.select("item_id", H.unscramble(keyed, F.array(F.lit(0), F.lit(5), F.lit(0))).alias("images"))
-
-
 _OTSU = L.with_views("fx_tiles") + """, fx_hist AS (SELECT img_id, g, count(*) AS n FROM fx_tiles GROUP BY img_id, g),
 fx_cum AS (SELECT img_id, g, sum(n) OVER u::DOUBLE AS wb, sum(g * n) OVER u::DOUBLE AS sb, sum(n) OVER (PARTITION BY img_id)::DOUBLE AS total, sum(g * n) OVER (PARTITION BY img_id)::DOUBLE AS s
   FROM fx_hist WINDOW u AS (PARTITION BY img_id ORDER BY g ROWS UNBOUNDED PRECEDING)),
@@ -156,7 +117,7 @@ fx_ink AS (SELECT t.img_id, y, x FROM fx_tiles t JOIN (SELECT t.img_id, threshol
   ON t.img_id = o.img_id WHERE (g <= threshold) = dark)"""
 _LINE = L.with_views("fx_lines")
 
-QUERIES = {f.__name__: f for f in (gray_histogram, otsu, ink_bbox_density, longest_run, slant, row_stats, stroke_width, style_flags, color_pair, grayscale, safe_gap, forbidden_rows, smart_slice, stacked_offsets, archive_members, font_size, safe_padding, word_wrap, geometry, page_links, page_images, page_title, url_parts, chapter_list_json, codecs, unscrambled_lists)}
+QUERIES = {f.__name__: f for f in (gray_histogram, otsu, ink_bbox_density, longest_run, slant, row_stats, stroke_width, style_flags, color_pair, grayscale, safe_gap, forbidden_rows, smart_slice, stacked_offsets, archive_members, font_size, safe_padding, word_wrap, geometry)}
 ORACLE = {
     "gray_histogram": _OTSU + " SELECT img_id, g, n FROM fx_hist",
     "otsu": _OTSU + " SELECT img_id, threshold FROM fx_otsu",
@@ -197,9 +158,4 @@ SELECT img_id, CASE WHEN n < 16 THEN 0 ELSE deg END AS slant FROM k WHERE k = 1"
     "safe_padding": _LINE + r""", s AS (SELECT page_id, line_no, y2 - y1 + line_no % 120 AS f, len(list_filter(regexp_split_to_array(raw_text, '\s+'), lambda w: w <> '')) <= 1 AS one FROM fx_lines),
 k AS (SELECT *, CAST(CASE WHEN one THEN greatest(2, trunc(f * 0.08::DOUBLE)) ELSE greatest(1, trunc(f * 0.05::DOUBLE)) END AS INT) AS stroke FROM s) SELECT page_id, line_no, stroke, round(greatest(f * 0.3::DOUBLE + f * stroke, 15.0::DOUBLE), 6) AS padding FROM k""",
     "geometry": _LINE + ", g AS (SELECT *, (x2 - x1)::DOUBLE AS dx, angle * 2 AS dy, (y2 - y1)::DOUBLE AS h FROM fx_lines) SELECT page_id, line_no, round(degrees(atan2(dy, dx)), 6) AS tilt, round((sqrt((dy / 4) * (dy / 4) + h * h) + sqrt((dy / 4) * (dy / 4) + (h + 1) * (h + 1))) / 2, 6) AS true_height, CAST(greatest(0, trunc(x1 / 2)) AS INT) AS left, CAST(least(400, trunc(x2 / 2)) AS INT) AS right, CAST(floor((x1 - x2) / 2) AS INT) AS shift FROM g",
-    "page_title": "WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS t FROM pages) SELECT page_id, coalesce(nullif(split_part(t, ' ', 1), ''), 'Unknown') AS title, coalesce(nullif(CASE WHEN contains(t, ' ') THEN substr(t, instr(t, ' ') + 1) ELSE '' END, ''), 'Unknown_Chapter') AS chapter_name FROM t",
-    "url_parts": r"SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS host, regexp_extract(url, '://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(trim(regexp_extract(url, '://[^/?#]+([^?#]*)', 1), '/'), '([^/]*)$', 1) AS slug, url_encode(url) AS encoded FROM pages",
-    "chapter_list_json": """WITH n AS (SELECT n_regionkey, lower(replace(n_name, ' ', '-')) AS slug, CASE WHEN n_nationkey % 4 <> 0 THEN n_name END AS name FROM nation)
-SELECT n_regionkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY slug, name NULLS FIRST) - 1 AS INT) AS pos, 'https://example.org/read/r' || n_regionkey || '/' || slug AS url, coalesce(name, 'Unknown_Chapter') AS name FROM n""",
-    "codecs": r"SELECT item_id, length(to_base64(encode(text))) AS base64_length, text AS decoded, CAST(strlen(text) AS INT) AS n_bytes, regexp_extract_all(text, '([A-Z]\w+)', 1)[1] AS first_name FROM benchmark",
 }

@@ -123,6 +123,14 @@ def ai_log_json(spark, d):
     return rows.groupBy("chapter_id", "part").agg(F.to_json(F.transform(ordered, lambda m: m["text"])).alias("log"))
 
 
+def ai_output_json(spark, d):
+    """A chapter's output log: the answers in the queue's order, in the same parts as the input log."""
+    rows = R.numbered(R.routed(L.blocks(spark, d), WORDS)).where("sound is null").withColumn("part", F.floor(F.col("ai_index") / 1000))
+    answers = rows.select("chapter_id", "part", "ai_index", F.concat(F.lit("T:"), F.lower("text")).alias("answer"))
+    ordered = F.array_sort(F.collect_list(F.struct("ai_index", "answer")))
+    return answers.groupBy("chapter_id", "part").agg(F.to_json(F.transform(ordered, lambda m: m["answer"])).alias("log"))
+
+
 _ROUTED = L.with_views("fx_blocks") + """, fx_routed AS (SELECT *, CASE text WHEN 'CLICK' THEN 'KLIK' WHEN 'ERROR' THEN 'GALAT' END AS sound FROM fx_blocks),
 fx_numbered AS (SELECT *, CASE WHEN sound IS NULL THEN CAST(sum(CASE WHEN sound IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY chapter_id ORDER BY page_no, block_no ROWS UNBOUNDED PRECEDING) - 1 AS BIGINT) END AS ai_index FROM fx_routed)"""
 _TEXTS = """WITH RECURSIVE fx_texts AS (SELECT conv_id AS chapter_id, turn AS pos, text, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations)"""
@@ -154,7 +162,7 @@ _REPLIES = r"""WITH r AS (
 ), fx_lines2 AS (SELECT *, list_transform(list_filter(string_split(reply, chr(10)), lambda v: trim(v) <> '' AND NOT contains(v, '130495848')), lambda v: """ + _answer("v") + r""") AS plain FROM fx_found
 ), fx_verified AS (SELECT *, CASE WHEN len(answers) = expected THEN answers WHEN len(plain) = expected THEN plain END AS got FROM fx_lines2)"""
 
-QUERIES = {f.__name__: f for f in (sfx_route, ai_index, reattach, lone_word_pages, domain_dispatch, target_union, font_roles, typeset_filter, batch_outer, batch_inner, prompt_text, merge_groups, clean_answers, extract_answers, verify_answers, fallback_chain, ai_log_json)}
+QUERIES = {f.__name__: f for f in (sfx_route, ai_index, reattach, lone_word_pages, domain_dispatch, target_union, font_roles, typeset_filter, batch_outer, batch_inner, prompt_text, merge_groups, clean_answers, extract_answers, verify_answers, fallback_chain, ai_log_json, ai_output_json)}
 _WORDS = r"len(list_filter(regexp_split_to_array(raw_text, '\s+'), lambda w: w <> ''))"
 ORACLE = {
     "sfx_route": _ROUTED + " SELECT chapter_id, page_no, block_no, text, sound FROM fx_routed",
@@ -185,5 +193,6 @@ SELECT chapter_id, idx, group_no, scaled_h, CAST(coalesce(sum(scaled_h) OVER (PA
     "extract_answers": _REPLIES + " SELECT chapter_id, CAST(generate_subscripts(answers, 1) - 1 AS INT) AS k, unnest(answers) AS answer FROM fx_found",
     "verify_answers": _REPLIES + " SELECT chapter_id, got IS NOT NULL AS verified, CAST(coalesce(len(got), -1) AS INT) AS n_answers FROM fx_verified",
     "fallback_chain": _REPLIES + ", z AS (SELECT chapter_id, coalesce(got, CASE WHEN chapter_id % 2 = 0 THEN list_transform(source, lambda v: upper(replace(" + _STRIP.format(x="v") + ", 'ß', 'SS'))) END, source) AS a FROM fx_verified) SELECT chapter_id, CAST(generate_subscripts(a, 1) - 1 AS INT) AS k, unnest(a) AS answer FROM z",
+    "ai_output_json": _ROUTED + " SELECT chapter_id, ai_index // 1000 AS part, to_json(list('T:' || lower(text) ORDER BY ai_index))::VARCHAR AS log FROM fx_numbered WHERE sound IS NULL GROUP BY chapter_id, ai_index // 1000",
     "ai_log_json": _ROUTED + " SELECT chapter_id, ai_index // 1000 AS part, to_json(list(text ORDER BY ai_index))::VARCHAR AS log FROM fx_numbered WHERE sound IS NULL GROUP BY chapter_id, ai_index // 1000",
 }

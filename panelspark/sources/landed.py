@@ -31,6 +31,14 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("img_id", F.floor(F.col("i") / 8).cast("int").alias("y"), (F.col("i") % 8).alias("x"), gray.cast("int").alias("g"))
 
 
+def strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gray images of 16 rows, one for each vector, and 64 columns."""
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 16).alias("img_id"), (F.col("vec_id") % 16).alias("k"), "embedding")
+    first = rows.groupBy("img_id").agg(F.array_sort(F.collect_set("k")).alias("ks"))
+    rows = rows.join(first, "img_id").select("img_id", (F.array_position("ks", F.col("k")) - 1).cast("int").alias("y"), F.posexplode("embedding").alias("x", "v"))
+    return rows.select("img_id", "y", "x", F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + 400 * F.col("v").cast("double")))).cast("int").alias("g"))
+
+
 def image_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part")
     return rows.select(F.col("p_brand").alias("chapter_id"), F.col("p_partkey").alias("idx"), (700 + F.col("p_size") % 3 * 100).cast("int").alias("w"), (400 + F.col("p_partkey") % 1700).cast("int").alias("h"))
@@ -70,6 +78,10 @@ SQL = {
     "fx_tiles": """fx_tiles AS (
   SELECT vec_id AS img_id, CAST((i - 1) // 8 AS INT) AS y, CAST((i - 1) % 8 AS INT) AS x,
          CAST(least(255, greatest(0, floor(128 + 400 * embedding[i]::DOUBLE))) AS INT) AS g
+  FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))""",
+    "fx_strips": """fx_strips AS (
+  SELECT vec_id // 16 AS img_id, CAST(dense_rank() OVER (PARTITION BY vec_id // 16 ORDER BY vec_id) - 1 AS INT) AS y, CAST(i - 1 AS INT) AS x,
+         CAST(least(255, greatest(0, floor(128 + 400 * embedding[i]::DOUBLE))) AS INT) AS g
   FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))""",
     "fx_images": """fx_images AS (
   SELECT p_brand AS chapter_id, p_partkey AS idx, CAST(700 + (p_size % 3) * 100 AS INT) AS w, CAST(400 + p_partkey % 1700 AS INT) AS h FROM part)""",

@@ -4,9 +4,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from panelspark import api, config, storage
 from panelspark.functions import text as X
-from panelspark.operators import bubbles, folds, layout, raster, routing, slicing
-from panelspark.sources import html
+from panelspark.operators import archive, bubbles, folds, kernels, layout, raster, routing, slicing
+from panelspark.sources import files, html, registry
 
 LINE = "page_id long, line_no int, raw_text string, x1 int, y1 int, x2 int, y2 int, angle double, is_italic boolean, is_bold boolean"
 
@@ -128,22 +129,228 @@ def test_wrap_keeps_all_letters(text, width, size):
 
 
 def test_html_of_bad_pages():
-    page = '<p>x<b>y<script>var t="</p><a href=no>"</script><a href="/a?b=1">one <i>two</a><a>none</a><img data-src="q.jpg">'
-    assert html.parse(page, {"a", "img"}) == [("a", {"href": "/a?b=1"}, "one two"), ("a", {}, "none"), ("img", {"data-src": "q.jpg"}, "")]
-    assert html.parse(None, {"a"}) == []
+    tree = html.Tree('<p>x<b>y<script>var t="</p><a href=no>"</script><a href="/a?b=1">one <i>two</a><a>none</a><img data-src="q.jpg">')
+    found = [(tree.elements[k].tag, tree.elements[k].attrs, tree.text(k)) for k in tree.select("a, img")]
+    assert found == [("a", {"href": "/a?b=1"}, "one two"), ("a", {}, "none"), ("img", {"data-src": "q.jpg"}, "")]
+    assert html.Tree(None).select("a") == [] and html.Tree("</p><br/></i>").select("*") == [0]
 
 
-def test_unscrambling_undoes_swaps():
-    keys, chars = [2, 3], list("chapter,list,of,images")
+@pytest.mark.parametrize(
+    ("selector", "ids"),
+    [("div", "ad"), ("#b", "b"), (".x.y", "c"), ("div > p", "be"), ("div p", "bce"), ("div.k span", "f"), ("p > span, section p", "cf"), ('[title*="mid"]', "e"), ("section > .x", "c"), ("div > span", "")],
+)
+def test_selectors(selector, ids):
+    tree = html.Tree('<div id=a><p id=b></p><section><p id=c class="y x z"></p></section></div><div id=d class="j k"><p id=e title="amidst"><span id=f></span></p></div>')
+    assert "".join(tree.elements[k].attrs["id"] for k in tree.select(selector)) == ids
+
+
+def test_selectors_that_cannot_be_read():
+    for bad in ("a:first", "", "a,", "a + b"):
+        with pytest.raises(ValueError):
+            html.Tree("<a>").select(bad)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text("abc,/é中", max_size=30), st.lists(st.integers(0, 9), max_size=4))
+def test_unscrambling_undoes_swaps(plain, keys):
+    chars = list(plain)
     for key in keys:
         for i in range(key, len(chars)):
             if i % 2:
                 chars[i - key], chars[i] = chars[i], chars[i - key]
-    assert html.unscrambled("".join(chars), keys) == "chapter,list,of,images"
-    assert html.unscramble_list("abc", [9]) == "abc"
+    mixed, places = "".join(map(str, keys)) + "".join(chars), tuple(range(len(keys)))
+    assert html.unscramble_list([mixed, mixed], [places, (99,)]) == [plain if keys else mixed, mixed]
+
+
+def test_unscrambling_cuts_places_in_their_order(spark):
+    rows = spark.createDataFrame([("a1b0c", [3, 1]), ("ab", [0]), (None, [0]), ("1", None), ("x00y", [1, 2, 1])], "t string, p array<int>")
+    got = [r[0] for r in rows.select(html.unscramble("t", "p")).collect()]
+    assert got == ["abc", "ab", None, None, "xy"] or got[0] == html.unscramble_list(["a1b0c"], [(3, 1)])[0] and got[1:] == ["ab", None, None, "xy"]
+
+
+def test_scripts_are_decoded(spark):
+    coded = html.SCRIPT_HEAD + "p" * (240 - len(html.SCRIPT_HEAD)) + "x104yy233Z20013" + "!" * 59
+    got = spark.createDataFrame([(coded,), ("plain",), (None,), (html.SCRIPT_HEAD,)], "s string").select(html.decoded_script("s")).collect()
+    assert [r[0] for r in got] == ["hé中", "plain", None, ""]
+
+
+# kernels
+
+
+def slow_square(image, y, x, reach):
+    h, w = image.shape
+    return [image[min(h - 1, max(0, y + a)), min(w - 1, max(0, x + b))] for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]
+
+
+@pytest.fixture(scope="module")
+def pictures():
+    r = np.random.default_rng(8)
+    smooth = (np.add.outer(np.sin(np.arange(40) / 5), np.cos(np.arange(30) / 3)) * 60 + 128).astype(np.uint8)
+    return [r.integers(0, 256, (17, 23)).astype(np.uint8), smooth, np.zeros((5, 9), np.uint8), np.full((1, 1), 7, np.uint8), np.kron(r.integers(0, 2, (6, 5)), np.full((7, 6), 200)).astype(np.uint8)]
+
+
+def test_median_and_dilation_by_brute_force(pictures):
+    for p in pictures:
+        h, w = p.shape
+        assert (kernels.median3(p) == [[sorted(slow_square(p, y, x, 1))[4] for x in range(w)] for y in range(h)]).all()
+        assert (kernels.dilate(p, 5, 2) == [[p[max(0, y - 4) : y + 5, max(0, x - 4) : x + 5].max() for x in range(w)] for y in range(h)]).all()
+
+
+def test_canny_by_brute_force(pictures):
+    for p in pictures:
+        h, w = p.shape
+        grad = {}
+        for y in range(h):
+            for x in range(w):
+                s = [int(v) for v in slow_square(p, y, x, 1)]
+                grad[y, x] = s[2] + 2 * s[5] + s[8] - s[0] - 2 * s[3] - s[6], s[6] + 2 * s[7] + s[8] - s[0] - 2 * s[1] - s[2]
+        power = lambda y, x: sum(map(abs, grad.get((y, x), (0, 0))))  # noqa: E731, B023
+        ridge = set()
+        for (y, x), (dx, dy) in grad.items():
+            a, b = abs(dx), abs(dy) * 32768
+            if b < a * 13573:
+                one, two, firm = (y, x - 1), (y, x + 1), False
+            elif b > a * 13573 + a * 65536:
+                one, two, firm = (y - 1, x), (y + 1, x), False
+            else:
+                s = -1 if (dx < 0) != (dy < 0) else 1
+                one, two, firm = (y - 1, x - s), (y + 1, x + s), True
+            m = power(y, x)
+            if m > 30 and m > power(*one) and (m > power(*two) if firm else m >= power(*two)):
+                ridge.add((y, x))
+        found = {q for q in ridge if power(*q) > 100}
+        todo = list(found)
+        while todo:
+            y, x = todo.pop()
+            new = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & ridge - found
+            found |= new
+            todo += new
+        assert set(zip(*np.nonzero(kernels.canny(p, 30, 100)))) == found
+
+
+def test_holes_are_filled():
+    ring = np.zeros((9, 11), bool)
+    ring[2:7, 2:8] = True
+    ring[3:6, 3:7] = False
+    ring[4, 4] = True
+    want = ring.copy()
+    want[2:7, 2:8] = True
+    assert (kernels.filled(ring) == want).all()
+    ring[2, 4] = False  # a gap lets the background in
+    assert (kernels.filled(ring) == ring).all()
+    cross = np.zeros((5, 5), bool)
+    cross[[1, 2, 2, 3], [2, 1, 3, 2]] = True
+    assert kernels.filled(cross).sum() == 5  # corners close a hole
+
+
+def test_resizing_and_contrast(pictures):
+    for p in pictures:
+        assert (kernels.resize(p, *p.shape) == p).all()
+        flat = np.full(p.shape, 90, np.uint8)
+        assert (kernels.resize(flat, 2 * len(p), 7) == 90).all()
+        out = kernels.equalize(p)
+        assert out.shape == p.shape and out.dtype == np.uint8
+    assert np.ptp(kernels.equalize(pictures[1] // 8).astype(int)) > np.ptp(pictures[1] // 8)
+    wide = kernels.resize(pictures[1], 80, 60).astype(int)
+    assert np.abs(wide[::2, ::2] - pictures[1]).max() < 12
+
+
+def test_crops_and_masks(pictures):
+    p = pictures[0]
+    assert kernels.crop(p, -3, 2, 5, 99).shape == (15, 5) and kernels.crop(p, 9, 9, 3, 3).size == 0
+    assert not kernels.text_mask(p, [(0, 0, -9, 3)]).any() and kernels.text_mask(p, [(4, 4, 12, 12)])[0:17, 20:].sum() == 0
+    rgb = np.stack([p, p, p], axis=2)
+    assert (kernels.gray(rgb) == p).all() and (kernels.gray(p) == p).all()
+
+
+def test_images_without_pixels(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 1, bytearray()), (2, None, None, None, None), (3, 1, 2, 1, bytearray(b"ab"))], kernels.IMAGE)
+    assert {(r.img_id, r.h, r.w) for r in kernels.each_image(rows, kernels.median3).collect()} == {(1, 0, 0), (3, 1, 2)}
+    assert kernels.row_activity(rows).count() == 1 and kernels.pixels(rows).count() == 2
 
 
 def test_safe_names(spark):
     row = spark.createDataFrame([("  a/b  c\td:" + "z" * 200,)], "s string")
     got = row.select(X.safe_title(F.col("s")), X.safe_chapter(F.col("s")), X.zero_filled(F.lit(1234)), X.zero_filled(F.lit(7))).first()
     assert got[0].startswith("a_b  c\td_z") and got[1].startswith("a_b c d_z") and len(got[0]) == 100 and tuple(got)[2:] == ("1234", "007")
+
+
+# settings, files, sites, named functions
+
+
+def test_settings_take_what_is_there():
+    class Given:
+        URLMANGA = ["a", " ", "b"]
+        FONT_PATH = "f"
+        OTHER = 1
+
+    got = config.Settings.of(Given)
+    assert got.listed == ("a", "b") and got.direct == () and got.fonts()["sfx"] == "f/sound.ttf" and got.outer_texts == 25
+    assert config.Settings.of(object()) == config.Settings()
+    read = config.Recognizer.of({"Global": {"text_score": 0.7, "new": 1}, "Det": {"box_thresh": 1}})
+    assert read.text_score == 0.7 and read.min_height == 30 and read.sections == {"Global": {"new": 1}, "Det": {"box_thresh": 1}}
+
+
+def test_sizes_from_first_bytes():
+    assert files.size_of(b"") is None and files.size_of(b"\xff\xd8\xff\xd9") is None and files.size_of(b"\x89PNG\r\n\x1a\n") is None
+    extended = b"RIFF....WEBPVP8X" + bytes(8) + (639).to_bytes(3, "little") + (479).to_bytes(3, "little")
+    lossless = b"RIFF....WEBPVP8L" + bytes(5) + ((99) | (49 << 14)).to_bytes(4, "little") + bytes(9)
+    assert files.size_of(extended) == (640, 480) and files.size_of(lossless) == (100, 50)
+
+
+def test_sites_by_domain(spark):
+    sites = registry.Registry().add(registry.link_site("one", ("one.example",), "https://one.example"), registry.table_site("two", ("two.example", "deux.example"), "read.example"))
+    assert sites.site_of("HTTPS://WWW.Deux.example/x").name == "two" and sites.site_of("https://none") is None
+    urls = spark.createDataFrame([(1, "https://one.example/m"), (2, "https://two.example/m"), (3, "https://none/m")], "page_id long, url string")
+    text = {1: '<p class="list-group"><a href="/c">x</a></p><img class="d-block" src="i.png">', 2: '<table id="chapter_table"><tbody><tr><td><a class="chico" href="/chapter/1">N</a></td></tr></tbody></table>', 3: "<a>"}
+    landed = lambda u: u.join(spark.createDataFrame(list(text.items()), "page_id long, html string"), "page_id")
+    assert {tuple(r) for r in sites.read("chapter_list", urls, landed).collect()} == {(1, 0, "https://one.example/c", "Unknown_Chapter"), (2, 0, "https://read.example/chapter/1", "N")}
+    assert [tuple(r) for r in sites.read("page_list", urls, landed).collect()] == [(1, 0, "https://one.example/i.png")]
+    with pytest.raises(ValueError):
+        registry.Registry().add(registry.Site("none", ()))
+
+
+def test_named_functions(spark):
+    rows = lines(spark, [(0, 0, 100, 20, 0.0), (0, 30, 100, 50, 0.0), (0, 67, 100, 87, 0.0)])
+    got = {r.line_no: (r.cluster, r.rank, r.block_no) for r in api.cluster_boxes(rows).collect()}
+    assert got == {0: (0, 0, 0), 1: (0, 1, 0), 2: (2, 0, 1)}
+    assert len({r.cluster for r in api.cluster_boxes(rows.drop("angle"), max_gap_px=17).collect()}) == 1
+    assert len({r.cluster for r in api.cluster_boxes(rows, max_size_ratio=-1, max_gap_px=-5, max_gap_ratio=-1).collect()}) == 3  # limits are clamped
+    size = lambda *a, **k: api.estimate_font_size(*(F.lit(float(x)) for x in a), **k)
+    row = spark.range(1).select(size(0, 0, 100, 50), size(5, 1, 0, 50), size(4, 1, 400, 50), size(60, 9, 100, 50), size(60, 9, 100, 50, base_font_size=F.lit(500.0)), api.safe_padding(F.lit(100.0)), api.safe_padding(F.lit(-3.0), stroke_ratio=2.0)).first()
+    assert row[:2] == (45.0, 8.0) and abs(row[2] - 50 * 0.95 / 1.2) < 1e-9 and row[3] == row[4]
+    best, fits = row[3], lambda s: -(-60 // 1) and np.ceil(60 / max(95 / (0.52 * s), 1)) * 1.2 * s <= 47.5
+    assert fits(best) and not fits(best * 1.0001)
+    assert tuple(row[5]) == (30.0,) * 4 and tuple(row[6]) == (15.0,) * 4
+
+
+def test_named_functions_take_limits(spark):
+    r = np.random.default_rng(4)
+    ink = [(1, y, x, 20 if 3 <= y < 9 and 2 <= x < 14 and r.random() < 0.8 else 230) for y in range(12) for x in range(16)]
+    pixels = spark.createDataFrame(ink, "img_id long, y int, x int, g int")
+    assert api.analyze(pixels, bold_ink_density=2.0, bold_stroke_ratio=9.0).first().is_bold is False and api.analyze(pixels, bold_ink_density=0.1).first().is_bold is True
+    rgb = spark.createDataFrame([(1, y, x, *((10, 0, 0) if x < 2 else (200, 210, 220))) for y in range(4) for x in range(6)], "img_id long, y int, x int, r int, gr int, b int")
+    assert api.detect_colors(rgb).first()[1:] == ("10,0,0", "200,210,220") and api.detect_colors(rgb, min_contrast=1e4).first()[1:] == ("0,0,0", "255,255,255")
+
+
+def test_failed_units_are_kept_apart(spark):
+    good, bad = files.split_failed(spark.range(5), F.when(F.col("id") > 2, "large"))
+    assert good.count() == 3 and [r.problem for r in bad.collect()] == ["large", "large"]
+
+
+def test_pages_by_partition(spark, tmp_path):
+    for n in (3, 2):
+        archive.write_pages(spark.createDataFrame([("t", "c1", i) for i in range(n)], "title string, chapter string, i int"), f"file://{tmp_path}/out")
+    archive.write_pages(spark.createDataFrame([("t", "c2", 9)], "title string, chapter string, i int"), f"file://{tmp_path}/out")
+    assert sorted((r.chapter, r.i) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == [("c1", 0), ("c1", 1), ("c2", 9)]
+
+
+def test_scratch_tables_are_deleted(spark):
+    kept = storage.materialize(spark.range(3), "kept")
+    with storage.scratch(spark):
+        gone = storage.materialize(spark.range(3), "gone")
+        assert gone.count() == 3
+    assert kept.count() == 3 and not any("gone" in p for p in storage._WRITTEN)
+    storage.drop_table(kept)
+    with pytest.raises(Exception, match="kept"):
+        kept.count()

@@ -26,7 +26,8 @@ def test_query_equals_its_sql(spark, tables, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_query_runs(spark, name):
-    assert QUERIES[name](spark, SMALL).count() >= 0
+    """Their results are compared with slow versions in test_by_force."""
+    assert QUERIES[name](spark, SMALL).count() > 0
 
 
 def test_entry_has_rows(spark):
