@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import drop_table, files_for, materialize
 
 #: Edges in one file of a round's table.
-FILE_ROWS = 50_000
+FILE_ROWS = 5_000
 
 
 def _stars(pairs: DataFrame, small: bool) -> DataFrame:

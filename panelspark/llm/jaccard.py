@@ -5,9 +5,9 @@ hash; a signature is one part's content. Two sets of sizes a and b with similari
 (1 - t) / (1 + t) * (a + b) shingles, hence in that many parts, so similar sets of one band share nearly all of
 their other signatures. Each set keeps only as many of its rarest signatures as still leave one in common.
 
-Not all documents need signatures: three quarters of a similar set's shingles also occur in its partner. A
-first pass counts a hash sample of each document's shingles (all of a short one's) and drops documents where
-too few occur twice; a linked document is dropped with a probability below 1e-12, less than a hash's.
+Not all documents need signatures: three quarters of a linked set's shingles also occur in its partner. A first pass
+counts all shingles, in hash buckets and as 40 bits of their hashes, and leaves out documents of which too few occur
+twice. Shingles that share these bits can only keep a document in, so no link is lost.
 Equal sets are one node, and copies are never expanded into pairs. Nodes that share signatures, directly or over
 others, are gathered into clusters, each set sent once, and compared there by their whole sets. A cluster beyond a
 bound of work is not gathered: its signatures' nodes are first compared to one of them; then, where a signature
@@ -17,8 +17,6 @@ still has several components, nodes of different components are compared, which
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +30,14 @@ from panelspark.llm.common import buckets, drop_table, files_for, groups_of, key
 from panelspark.llm.components import components
 from panelspark.llm.repeats import bucket_of, same, word_hashes
 
-#: Words in a shingle; similarity in hundredths; least sampled shingles of a long document; keys in one packed row.
-WORDS, PERCENT, SAMPLE, BLOCK = 5, 75, 48, 400_000
+#: Words in a shingle; similarity in hundredths; keys in one packed row.
+WORDS, PERCENT, BLOCK = 5, 75, 400_000
 #: Sizes up to which each shingle is a part of its own; parts of larger bands, as a share of the largest size.
 SINGLE, PARTS = 63, 0.4
 #: Comparisons of a node with a shingle that one task makes for a cluster; cells of a dense block.
 WORK, CELLS = 1 << 31, 1 << 24
-#: Sets, and rows about sets, in one file.
-FILE_SETS, FILE_ROWS = 2000, 50_000
+#: Sets that the rows of one file are about.
+FILE_SETS = 2000
 _U = np.uint64
 
 
@@ -69,38 +67,19 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, words: int = WORDS) -> tu
     return doc[new], h[new]
 
 
-def level(n: np.ndarray) -> np.ndarray:
-    """Halvings of a document's shingles that leave at least SAMPLE of them, about."""
-    return np.maximum(0, np.floor(np.log2(np.maximum(n, 1) / SAMPLE))).astype(np.int64)
-
-
-@cache
-def fewest(sampled: int, percent: int = PERCENT) -> int:
-    """The support below which a linked document with so many sampled shingles falls with a probability under 1e-12."""
-    sampled, p, below = min(sampled, 200), percent / 100, 0.0
-    for t in range(sampled + 1):
-        below += comb(sampled, t) * p**t * (1 - p) ** (sampled - t)
-        if below > 1e-12:
-            return t
-    return sampled
-
-
 def _index(words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made, held, total = TaskContext.get().partitionId() << 32, 0, [], 0
 
         def flush() -> pa.RecordBatch:
             nonlocal made, held, total
-            shift, docs = 0, []
-            for x in held:
-                docs.append(x[6] + shift)
-                shift += len(x[0])
             cat = lambda k, t: np.concatenate([x[k] for x in held]).astype(t).tobytes()
+            h = np.concatenate([x[5] for x in held])
             ids, ths = pa.concat_arrays([x[0] for x in held]), pa.concat_arrays([x[1] for x in held])
             row = [pa.array([base + made]), pa.ListArray.from_arrays([0, len(ids)], ids), pa.ListArray.from_arrays([0, len(ids)], ths)]
-            row += [pa.array([b], pa.binary()) for b in (cat(2, "<u4"), cat(3, "<u8"), cat(4, "<u8"), cat(5, "<u8"), np.concatenate(docs).astype("<u4").tobytes())]
+            row += [pa.array([b], pa.binary()) for b in (cat(2, "<u4"), cat(3, "<u8"), cat(4, "<u8"), (h >> _U(24)).astype("<u4").tobytes(), (h >> _U(56)).astype("u1").tobytes())]
             made, held, total = made + 1, [], 0
-            return pa.RecordBatch.from_arrays(row, ["blob", "ids", "ths", "n", "set1", "set2", "key", "doc"])
+            return pa.RecordBatch.from_arrays(row, ["blob", "ids", "ths", "n", "set1", "set2", "low", "top"])
 
         for batch in batches:
             data, bounds = text_buffer(batch.column("_text"))
@@ -109,10 +88,8 @@ def _index(words: int) -> Callable:
                 n = np.bincount(doc, minlength=j - i)
                 ends = np.concatenate(([0], np.cumsum(n)))
                 sums = [np.concatenate(([_U(0)], np.cumsum(x)))[ends] for x in (h, H.mix(h + _U(77)))]
-                told = np.maximum(level(n) - 1, 0)
-                some = (h >> (_U(64) - np.maximum(told, 1).astype(_U))[doc] == 0) | (told == 0)[doc]
-                held.append((batch.column("_id").slice(i, j - i), batch.column("_th").slice(i, j - i), n, np.diff(sums[0]), np.diff(sums[1]), h[some], doc[some]))
-                total += int(some.sum()) + (j - i)
+                held.append((batch.column("_id").slice(i, j - i), batch.column("_th").slice(i, j - i), n, np.diff(sums[0]), np.diff(sums[1]), h))
+                total += len(h) + (j - i)
                 if total >= BLOCK:
                     yield flush()
         if held:
@@ -162,21 +139,54 @@ def counts_of(row_keys: np.ndarray, counts: pa.Table) -> np.ndarray:
     return got[np.unique(row_keys, return_inverse=True)[1]] if len(row_keys) else got
 
 
-def _supported(id_type: pa.DataType, percent: int) -> Callable:
-    def run(blob: pa.Table, counts: pa.Table) -> pa.Table:
-        out = []
+def _told_apart(row: dict, n_buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys of a packed row of shingles, rising: (low 32 bits, first key of each bucket and the end, how often
+    each occurs in the row, which of them each shingle is)."""
+    top, low = np.frombuffer(row["top"], "u1").astype(_U), np.frombuffer(row["low"], "<u4")
+    keys, which, count = np.unique((top << _U(32)) | low, return_inverse=True, return_counts=True)
+    return keys.astype("<u4"), np.searchsorted(bucket_of(keys << _U(24), n_buckets), np.arange(n_buckets + 1)), count, which
+
+
+def _asked(n_buckets: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 1):
+            for r in batch.to_pylist():
+                low, cut, count, _ = _told_apart(r, n_buckets)
+                some = np.flatnonzero(np.diff(cut)).tolist()
+                spans = [(int(cut[b]), int(cut[b + 1])) for b in some]
+                cols = [some, [r["blob"]] * len(some), [low[x:y].tobytes() for x, y in spans], [np.packbits(count[x:y] > 1).tobytes() for x, y in spans]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "blob", "low", "many"])
+
+    return run
+
+
+def _twice(table: pa.Table) -> pa.Table:
+    """For each packed row's keys of one bucket, which occur twice in the bucket."""
+    low = [np.frombuffer(x, "<u4") for x in table.column("low").to_pylist()]
+    size = np.array([len(x) for x in low])
+    many = np.concatenate([np.unpackbits(np.frombuffer(m, "u1"), count=n) for m, n in zip(table.column("many").to_pylist(), size.tolist())])
+    keys = np.concatenate(low)
+    order = np.argsort(keys, kind="stable")
+    same_as_next = keys[order][1:] == keys[order][:-1]
+    found = many > 0
+    found[order[1:][same_as_next]] = True
+    found[order[:-1][same_as_next]] = True
+    ends = np.cumsum(size)
+    return pa.table({"blob": table.column("blob"), "bucket": table.column("bucket"), "twice": pa.array([np.packbits(found[e - s : e]).tobytes() for s, e in zip(size, ends)], pa.binary())})
+
+
+def _supported(id_type: pa.DataType, percent: int, n_buckets: int) -> Callable:
+    def run(blob: pa.Table, told: pa.Table) -> pa.Table:
+        bits, out = dict(zip(told.column("bucket").to_pylist(), told.column("twice").to_pylist())), []
         for r in blob.to_pylist():
-            keys, doc = np.frombuffer(r["key"], "<u8"), np.frombuffer(r["doc"], "<u4").astype(np.int64)
             n = np.frombuffer(r["n"], "<u4").astype(np.int64)
-            twice = counts_of(keys, counts) > 1
-            at = level(n)
-            mine = (keys >> (_U(64) - np.maximum(at, 1).astype(_U))[doc] == 0) | (at == 0)[doc]
-            sampled = np.bincount(doc[mine], minlength=len(n))
-            found = np.bincount(doc[mine & twice], minlength=len(n))
-            least = np.array([fewest(int(s), percent) for s in sampled])
-            least = np.where(at == 0, -(-percent * n // 100), least)  # a short document's shingles are all counted
+            low, cut, _, which = _told_apart(r, n_buckets)
+            twice = np.zeros(len(low), np.int64)
+            for b, data in bits.items():
+                twice[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(data, "u1"), count=int(cut[b + 1] - cut[b]))
+            found = np.bincount(np.repeat(np.arange(len(n)), n), twice[which], minlength=len(n))
             node = np.stack((np.frombuffer(r["set1"], ">u8"), np.frombuffer(r["set2"], ">u8")), axis=1).tobytes()
-            out.append(pa.table({"_id": pa.array(r["ids"], id_type), "_th": pa.array(r["ths"], pa.int64()), "n": pa.array(n), "node": pa.array([node[16 * i : 16 * i + 16] for i in range(len(n))], pa.binary()), "near": pa.array((n > 0) & (found >= least))}))
+            out.append(pa.table({"_id": pa.array(r["ids"], id_type), "_th": pa.array(r["ths"], pa.int64()), "n": pa.array(n), "node": pa.array([node[16 * i : 16 * i + 16] for i in range(len(n))], pa.binary()), "near": pa.array((n > 0) & (100 * found >= percent * n))}))
         return pa.concat_tables(out)
 
     return run
@@ -384,14 +394,16 @@ def join_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     rows = keyed(docs, id_col, text_col)
     id_type = rows.schema["_id"].dataType
     binary = lambda *names: [T.StructField(n, T.BinaryType()) for n in names]
-    schema = T.StructType([T.StructField("blob", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("ths", T.ArrayType(T.LongType())), *binary("n", "set1", "set2", "key", "doc")])
+    schema = T.StructType([T.StructField("blob", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("ths", T.ArrayType(T.LongType())), *binary("n", "set1", "set2", "low", "top")])
     index = materialize(rows.mapInArrow(tidied(_index(words)), schema), "shingles")
     schema = T.StructType([rows.schema["_id"], T.StructField("_th", T.LongType()), T.StructField("n", T.LongType()), *binary("node"), T.StructField("near", T.BooleanType())])
-    seen = materialize(index.groupBy("blob").cogroup(key_counts(index, "key").groupBy("blob")).applyInArrow(_supported(to_arrow_type(id_type), percent), schema), "documents", 8, files_for(spark, index.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0], FILE_SETS))
+    width = buckets(spark)
+    twice = index.select("blob", "low", "top").mapInArrow(tidied(_asked(width)), "bucket int, blob long, low binary, many binary").groupBy("bucket").applyInArrow(_twice, "blob long, bucket int, twice binary")
+    seen = materialize(index.groupBy("blob").cogroup(twice.groupBy("blob")).applyInArrow(_supported(to_arrow_type(id_type), percent, width), schema), "documents", 8, files_for(spark, index.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()[0], FILE_SETS))
     drop_table(index)
     near = seen.where("near")
     count = near.count()
-    set_files, row_files = files_for(spark, count, FILE_SETS), files_for(spark, count, FILE_ROWS)
+    set_files = files_for(spark, count, FILE_SETS)
     nodes = near.groupBy("node").agg(F.min(F.struct("_id", "_th")).alias("k")).select("node", F.col("k._id").alias("_id"), F.col("k._th").alias("_th"))
     sets = materialize(rows.join(nodes, same(rows, nodes)).select("node", "_text").mapInArrow(tidied(_sets(words)), "node binary, n long, shingles binary"), "sets", files=set_files)
     signed = materialize(sets.mapInArrow(tidied(_signed(percent)), "blob long, nodes array<binary>, n array<long>, sizes array<long>, key binary"), "signatures")
@@ -399,20 +411,20 @@ def join_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
     kept = materialize(kept.distinct(), "kept", 8, set_files)
     drop_table(signed)
     leader = kept.groupBy("sig").agg(F.min("node").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
-    first = materialize(kept.join(leader, "sig").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct(), "first", files=row_files)
+    first = materialize(kept.join(leader, "sig").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct(), "first", files=set_files)
     clusters = components(first).withColumnRenamed("root", "cluster")
-    clusters = materialize(clusters.join(sets.groupBy("node").agg(F.max("n").alias("n")), "node"), "clusters", files=row_files)
+    clusters = materialize(clusters.join(sets.groupBy("node").agg(F.max("n").alias("n")), "node"), "clusters", files=set_files)
     sizes = clusters.groupBy("cluster").agg((F.count("*") * F.sum("n") > work).alias("large"))
     clusters = clusters.join(sizes, "cluster")
     all_roots = clusters.where("not large").join(sets.select("node", "shingles"), "node").groupBy("cluster").applyInArrow(_clustered(percent), "node binary, root binary")
-    large = materialize(clusters.where("large").select("node"), "large", files=row_files)
+    large = materialize(clusters.where("large").select("node"), "large", files=set_files)
     if large.head(1):
         fits = kept.join(large, "node", "left_semi")
         all_roots = all_roots.unionByName(_large_cluster_roots(fits, first.join(large.withColumnRenamed("node", "a"), "a", "left_semi"), sets, percent))
     all_roots = materialize(all_roots, "roots", 256, set_files)
     named = near.join(all_roots, "node", "left").select("_id", "_th", "n", F.coalesce("root", "node").alias("root"))
     # written first, so that the join below is of plain exchanges, which are split where one component is very large
-    names = materialize(named.groupBy("root").agg(F.min("_id").alias("component")), "names", files=row_files)
+    names = materialize(named.groupBy("root").agg(F.min("_id").alias("component")), "names", files=set_files)
     found = named.join(names, "root").select("_id", "_th", "n", "component")
     return found.unionByName(seen.where("not near").select("_id", "_th", "n", F.col("_id").alias("component")))
 

@@ -1,6 +1,8 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from panelspark.llm import jaccard
@@ -57,8 +59,25 @@ def test_similar_sets_share_a_kept_signature():
                 assert prefix(a) & prefix(b)
 
 
-def test_support_threshold_is_safe():
-    assert jaccard.fewest(40) < 14 and jaccard.fewest(0) == 0
+def test_support_is_counted_exactly():
+    r = np.random.default_rng(2)
+    for n_buckets in (1, 8, 300):
+        rows = []
+        for blob in range(4):
+            h = r.integers(0, 1 << 63, 60).astype(np.uint64) * np.uint64(2)
+            h = np.concatenate((h, h[:5] if blob == 0 else [], rows[0][1][10:20] if blob else [])).astype(np.uint64)
+            rows.append((blob, h))
+        packed = [{"blob": b, "low": (h >> np.uint64(24)).astype("<u4").tobytes(), "top": (h >> np.uint64(56)).astype("u1").tobytes()} for b, h in rows]
+        asked = pa.Table.from_batches(list(jaccard._asked(n_buckets)(iter([pa.RecordBatch.from_pylist(packed)]))))
+        told = {}
+        for b in set(asked.column("bucket").to_pylist()):
+            for x in jaccard._twice(asked.filter(pa.compute.equal(asked.column("bucket"), b))).to_pylist():
+                told[x["blob"], x["bucket"]] = x["twice"]
+        every = np.concatenate([h for _, h in rows])
+        for row, (blob, h) in zip(packed, rows):
+            low, cut, _, which = jaccard._told_apart(row, n_buckets)
+            bits = np.concatenate([np.unpackbits(np.frombuffer(told[blob, b], "u1"), count=int(cut[b + 1] - cut[b])) for b in range(n_buckets) if cut[b + 1] > cut[b]])
+            assert bits[which].tolist() == [int((every == x).sum() > 1) for x in h]
 
 
 def test_components_of_a_long_path(spark):
