@@ -116,7 +116,7 @@ def test_word_wrap(spark):
         line = lines[r.page_id, r.line_no]
         width, words = line.x2 - line.x1, line.raw_text.split()
         out = r.text.split("\n") if words else []
-        assert r.n_lines == len(out) and (len(words) == 1 or layout.wrapped(line.raw_text, width, r.font_size) == out)
+        assert r.n_lines == len(out) and (len(words) == 1 or layout.wrapped(line.raw_text, width, max(9, r.font_size)) == out)
         joined = "".join(x[:-1] if x.endswith("-") and not any(w.endswith("-") for w in words) else x + " " for x in out)
         if not any("-" in w for w in words):
             assert joined.split() == words
