@@ -433,3 +433,22 @@ def op3_jaccard(spark, sf_dir: str) -> DataFrame:
     """The component of every document at five words and 0.75."""
     out = join_similar(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT DISTINCT k, md5_number(array_to_string(words[p:p + 4], ' ')) AS h FROM (SELECT k, words, unnest(range(1, greatest(2, len(words) - 3))) AS p FROM w WHERE len(words) > 0)
+), n AS (
+  SELECT k, count(*) AS n FROM s GROUP BY k
+), e AS (
+  SELECT a.k AS a, b.k AS b FROM s a JOIN s b ON a.h = b.h AND a.k < b.k GROUP BY a.k, b.k
+  HAVING 100 * count(*) >= 75 * ((SELECT n FROM n WHERE n.k = a.k) + (SELECT n FROM n WHERE n.k = b.k) - count(*))
+), l AS (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r AS (
+  SELECT k AS a, k AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(x.doc_id) FROM r JOIN w x ON r.b = x.k WHERE r.a = w.k) AS component_id FROM w LEFT JOIN n ON w.k = n.k
+"""

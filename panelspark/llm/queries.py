@@ -5,12 +5,12 @@ from __future__ import annotations
 import corpus_pipeline
 from panelspark.llm.chat import OP8_SQL, op8_chat
 from panelspark.llm.decontaminate import op5_decontaminate
-from panelspark.llm.jaccard import op3_jaccard
+from panelspark.llm.jaccard import OP3_SQL, op3_jaccard
 from panelspark.llm.language import op6_language
 from panelspark.llm.packing import op4_packing
 from panelspark.llm.quality import op7_quality
-from panelspark.llm.substring_dedup import op1_substring_dedup
-from panelspark.llm.suffix_dedup import op9_suffix_dedup
+from panelspark.llm.substring_dedup import OP1_SQL, op1_substring_dedup
+from panelspark.llm.suffix_dedup import OP9_SQL, op9_suffix_dedup
 from panelspark.llm.topk import OP10_SQL, op10_topk
 from panelspark.llm.warc import OP2_SQL, op2_warc
 
@@ -28,4 +28,4 @@ QUERIES = {
     "op10_topk": op10_topk,
 }
 
-ORACLE_SQL = {"op2_warc": OP2_SQL, "op8_chat": OP8_SQL, "op10_topk": OP10_SQL}
+ORACLE_SQL = {"op1_substring_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op3_jaccard": OP3_SQL, "op8_chat": OP8_SQL, "op9_suffix_dedup": OP9_SQL, "op10_topk": OP10_SQL}

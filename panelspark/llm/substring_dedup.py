@@ -197,3 +197,26 @@ def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """The 35-word contract over all documents."""
     out = dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"), 35)
     return out.select(F.col("_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP1_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS k, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT k, unnest(range(1, len(words) - 33)) AS p, words FROM w
+), h AS (
+  SELECT k, p, md5_number(array_to_string(words[p:p + 34], ' ')) AS h FROM s
+), r AS (
+  SELECT k, p FROM (SELECT k, p, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1
+), g AS (
+  SELECT k, list(p ORDER BY p) AS starts FROM r GROUP BY k
+), u AS (
+  SELECT w.k, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM w
+), c AS (
+  SELECT u.k, u.p, u.word, max(r.p) OVER (PARTITION BY u.k ORDER BY u.p) AS last FROM u LEFT JOIN r ON r.k = u.k AND r.p = u.p
+), o AS (
+  SELECT k, count(*) AS n_words, count(*) FILTER (WHERE last IS NOT NULL AND p < last + 35) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY p) FILTER (WHERE last IS NULL OR p >= last + 35), '') AS kept FROM c GROUP BY k
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN o ON w.k = o.k
+"""

@@ -284,3 +284,25 @@ def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """The 400-byte contract over all documents."""
     out = dedup_suffixes(spark.read.parquet(f"{sf_dir}/documents.parquet"), 400)
     return out.select(F.col("_id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP9_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce(lower(hex(encode(text))), '') AS x FROM documents
+), h AS (
+  SELECT k, p, md5_number(substr(x, 2 * p + 1, 800)) AS h FROM (SELECT k, x, unnest(range(0, length(x) // 2 - 399)) AS p FROM w)
+), r AS (
+  SELECT k, p FROM (SELECT k, p, count(*) OVER (PARTITION BY h) AS n FROM h) WHERE n > 1
+), i AS (
+  SELECT k, p, lag(p) OVER (PARTITION BY k ORDER BY p) AS before FROM r
+), j AS (
+  SELECT k, p, sum(CASE WHEN before IS NULL OR p > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY p) AS run FROM i
+), v AS (
+  SELECT k, run, min(p) AS a, max(p) + 400 AS b FROM j GROUP BY k, run
+), y AS (
+  SELECT k, a, b, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS e FROM v
+), z AS (
+  SELECT w.k, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(x, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept FROM y JOIN w ON y.k = w.k GROUP BY w.k
+)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM w LEFT JOIN z ON w.k = z.k
+"""

@@ -1,9 +1,13 @@
 """Exact top-k search by inner product.
 
-Method: MaxScore over shards. A shard's vectors are its postings, a dimension with its largest and smallest
-value a term with a score bound. For each query the dimensions are taken in falling order of their bounds:
-the first ones, essential, are scored for all vectors; the others are probed only for vectors whose score so
-far, with the bounds of what is left, can still reach the k-th best score. Shards' lists are merged.
+Method: MaxScore over shards. A shard's vectors are its postings, a dimension with its largest and smallest value a term
+with a score bound. For each query the dimensions are split by falling bounds: the first, as many as it takes for the
+others' bounds to sum to less than the score to beat, are essential and are scored for all vectors; the others are
+probed only for vectors whose score so far can, with the bounds of what is left, still reach that score. The score to beat
+is the k-th best so far: a task meets its shards one after another and carries each query's list on. Tasks' lists are merged.
+
+Queries are dealt into blocks and shards into lanes. A task for a block and a lane gets the block once, then the lane's
+shards as a stream, so that it holds one shard at a time.
 """
 
 from __future__ import annotations
@@ -49,42 +53,79 @@ def _blocks(rows: int) -> Callable:
     return run
 
 
-def max_score(query: np.ndarray, own: int, ids: np.ndarray, cells: np.ndarray, high: np.ndarray, low: np.ndarray, k: int, step: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the k best rows of cells, best first, ties to the smaller id; never the row ``own``.
-    Whole numbers beyond 2**53 are multiplied as integers."""
+def max_score(query: np.ndarray, own: int, ids: np.ndarray, cells: np.ndarray, high: np.ndarray, low: np.ndarray, k: int, beat: float = -np.inf, step: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the k best rows of cells with a score of ``beat`` at least, best first, ties to the smaller id; never
+    the row ``own``. Whole numbers beyond 2**53 are multiplied as integers."""
     bound = np.maximum(query * high, query * low)
     order = np.argsort(-bound, kind="stable")
     left = np.concatenate((np.cumsum(bound[order][::-1])[::-1], [0]))
+    least = np.concatenate((np.cumsum(np.minimum(query * high, query * low)[order][::-1])[::-1], [0]))
+    # the essential dimensions: a vector that has nothing in them cannot beat the score
+    essential = int(np.argmax(left < beat)) if left[-1] < beat else len(order) if beat > -np.inf else step
+    first = min(len(order), max(1, essential))
+    cuts = [*range(first, len(order), step), len(order)]
     alive = np.flatnonzero(ids != own)
     score = np.zeros(len(alive), cells.dtype)
-    for s in range(0, len(order), step):
-        dims = order[s : s + step]
+    done = 0
+    for end in cuts:
+        dims = order[done:end]
         score = score + cells[np.ix_(alive, dims)] @ query[dims]
-        rest = min(s + step, len(order))
-        if rest < len(order) and len(alive) > k:
-            # a lower bound of every row's whole score gives the score that the k-th best reaches for certain
-            floor = np.minimum(query * high, query * low)[order[rest:]].sum()
-            reached = np.partition(score, len(score) - k)[len(score) - k] + floor
-            keep = score + left[rest] >= reached
-            alive, score = alive[keep], score[keep]
+        done = end
+        if len(alive) > k:  # what every row reaches for certain gives the k-th best of this shard
+            beat = max(beat, np.partition(score, len(score) - k)[len(score) - k] + least[done])
+        keep = score + left[done] >= beat
+        alive, score = alive[keep], score[keep]
+        if not len(alive):
+            break
     best = np.lexsort((ids[alive], -score))[:k]
     return ids[alive][best], score[best]
 
 
+class Lists:
+    """The best of each query of a block, as shards go by."""
+
+    def __init__(self, ids: bytes, dims: int, cells: bytes, k: int):
+        self.ids, self.k = np.frombuffer(ids, "<i8"), k
+        self.cells = np.frombuffer(cells, "<i8").reshape(len(self.ids), dims)
+        self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(self.ids)
+
+    def meet(self, ids: np.ndarray, cells: np.ndarray) -> None:
+        q = self.cells
+        dims = min(cells.shape[1], q.shape[1])
+        cells, q = cells[:, :dims], q[:, :dims]
+        if dims and float(np.abs(cells).max()) * float(np.abs(q).max()) * dims < 2**53:
+            cells, q = np.asfortranarray(cells, np.float64), q.astype(np.float64)
+        high, low = (cells.max(axis=0), cells.min(axis=0)) if dims else (np.zeros(0), np.zeros(0))
+        for i, v in enumerate(q):
+            had, scores = self.best[i]
+            new, more = max_score(v, int(self.ids[i]), ids, cells, high, low, self.k, scores[-1] if len(scores) == self.k else -np.inf)
+            had, scores = np.concatenate((had, new)), np.concatenate((scores, more.astype(np.int64)))
+            first = np.lexsort((had, -scores))[: self.k]
+            self.best[i] = had[first], scores[first]
+
+    def told(self) -> pa.RecordBatch:
+        n = [len(b[0]) for b in self.best]
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, n)), pa.array(np.concatenate([b[0] for b in self.best])), pa.array(np.concatenate([b[1] for b in self.best]))], ["query_id", "vec_id", "score"])
+
+
 def _search(k: int) -> Callable:
+    """Rows sorted by block and lane: the block's queries, then the lane's shards."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, lists = None, None
         for batch in sliced(batches, 1):
-            for r in batch.to_pylist():
-                ids, queries = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["q_ids"], "<i8")
-                cells = np.frombuffer(r["cells"], "<i8").reshape(len(ids), r["dims"])
-                q = np.frombuffer(r["q_cells"], "<i8").reshape(len(queries), r["q_dims"])
-                dims = min(r["dims"], r["q_dims"])
-                cells, q = cells[:, :dims], q[:, :dims]
-                if dims and float(np.abs(cells).max()) * float(np.abs(q).max()) * dims < 2**53:
-                    cells, q = np.asfortranarray(cells, np.float64), q.astype(np.float64)
-                high, low = (cells.max(axis=0), cells.min(axis=0)) if dims else (np.zeros(0), np.zeros(0))
-                found = [(i, *max_score(v, i, ids, cells, high, low, k)) for i, v in zip(queries.tolist(), q)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(x[1]), x[0], np.int64) for x in found])), pa.array(np.concatenate([x[1] for x in found])), pa.array(np.concatenate([x[2] for x in found]).astype(np.int64))], ["query_id", "vec_id", "score"])
+            q, lane, kind, _, ids, dims, cells = (batch.column(c)[0].as_py() for c in ("q", "lane", "kind", "block", "ids", "dims", "cells"))
+            if (q, lane) != at:
+                if lists is not None:
+                    yield lists.told()
+                at, lists = (q, lane), None
+            if kind == 0:
+                lists = Lists(ids, dims, cells, k)
+            elif lists is not None:
+                n = np.frombuffer(ids, "<i8")
+                lists.meet(n, np.frombuffer(cells, "<i8").reshape(len(n), dims))
+        if lists is not None:
+            yield lists.told()
 
     return run
 
@@ -93,17 +134,24 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
     """(query_id, rank, vec_id, score): for each row that ``is_query`` selects, its k best other rows by inner
     product of integer vectors. Ties go to the smaller id. Vectors of unequal length are multiplied over the
     dimensions that both have. Rows with a null id or vector take no part; rows with the query's own id are no
-    candidates for it. Repeated rows are candidates each. An empty table, or no query, gives no row."""
+    candidates for it. Repeated rows are candidates each, and repeated queries have one answer. Other columns are left.
+    An empty table, or no query, gives no row."""
     spark = vectors.sparkSession
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).alias("_vec"), is_query.alias("_is_query"))
     asked = rows.where("_is_query").select("_id", "_vec")
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    queries = materialize(asked.repartition(min(width, max(1, asked.count() // QUERY_ROWS)), "_id").mapInArrow(_blocks(QUERY_ROWS), _BLOCK), "queries")
-    numbered = queries.select(F.row_number().over(Window.orderBy("block")).alias("q"), F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("cells").alias("q_cells"))
+    queries = materialize(asked.dropDuplicates(["_id", "_vec"]).repartition(min(width, max(1, asked.count() // QUERY_ROWS)), "_id").mapInArrow(_blocks(QUERY_ROWS), _BLOCK), "queries")
+    # only numbers of blocks pass through one window; the blocks are joined to them
+    numbers = queries.select("block", (F.row_number().over(Window.orderBy("block")) - 1).alias("q"))
     n = queries.count()
-    shards = rows.select("_id", "_vec").mapInArrow(_blocks(SHARD_ROWS), _BLOCK)
-    pairs = shards.withColumn("q", F.explode(F.sequence(F.lit(1), F.lit(n)))) if n else shards.withColumn("q", F.lit(0))
-    found = pairs.join(numbered, "q").drop("q", "block").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    lanes = max(1, -(-width // max(1, n)))
+    every = lambda count, name: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
+    blocks = queries.join(numbers, "block").select("q", every(lanes, "lane"), F.lit(0).alias("kind"), "block", "ids", "dims", "cells")
+    shards = rows.select("_id", "_vec").mapInArrow(_blocks(SHARD_ROWS), _BLOCK).where(F.lit(n > 0))
+    lane = F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int").alias("lane")
+    shards = shards.select(every(max(1, n), "q"), lane, F.lit(1).alias("kind"), "block", "ids", "dims", "cells")
+    met = blocks.unionByName(shards).repartition(min(width, lanes * max(1, n)), "q", "lane").sortWithinPartitions("q", "lane", "kind", "block")
+    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -267,3 +267,21 @@ def test_queries_leave_the_session_as_it_was(spark):
         queries.QUERIES[name](spark, SMALL).count()
     after = dict(spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsparkSession.sessionState().conf().getAllConfs()))
     assert after == before
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 40), st.integers(0, 6), st.integers(1, 5), st.booleans())
+def test_max_score_by_brute_force(seed, rows, dims, k, signed):
+    r = np.random.default_rng(seed)
+    cells, q = (r.integers(-9 if signed else 0, 10, s) for s in ((rows, dims), (dims,)))
+    ids = r.permutation(rows * 2)[:rows]
+    want = sorted(((-int(c @ q), int(i)) for i, c in zip(ids, cells) if i != ids[0]))[:k]
+    lists = topk.Lists(np.array([ids[0]], "<i8").tobytes(), dims, q.astype("<i8").tobytes(), k)
+    cut = rows // 3
+    for a, b in ((0, cut), (cut, rows)):
+        if b > a:
+            lists.meet(ids[a:b], cells[a:b])
+    assert [(-s, i) for i, s in zip(lists.best[0][0].tolist(), lists.best[0][1].tolist())] == want
+    for step in (1, 4):
+        got = topk.max_score(q, int(ids[0]), ids, cells, cells.max(axis=0), cells.min(axis=0), k, step=step)
+        assert [(-s, i) for i, s in zip(got[0].tolist(), got[1].tolist())] == want
