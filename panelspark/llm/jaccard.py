@@ -387,7 +387,8 @@ def join_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id
 
     Words are lower-cased in A-Z only. A null or empty text, or one without words, has an empty set and no link.
     Repeated rows are linked with each other. Null ids take part and give no name: a component of rows with
-    null ids only has a null component. Ties cannot occur. An empty table gives an empty result."""
+    null ids only has a null component. Ties cannot occur. An empty table gives an empty result. Other columns are left,
+    whatever their names."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession

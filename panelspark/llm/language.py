@@ -195,7 +195,7 @@ def identify(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: s
     ``learn`` selects, and a softmax of the distances. _held says that a row was not selected.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text where no language was learned.
-    Rows with a null language teach nothing. Ties go to the language first in alphabetical order. Ids may be null
+    Rows with a null language teach nothing. An empty table gives none, other columns are left. Ties go to the language first in alphabetical order. Ids may be null
     or repeat: each row is judged alone."""
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(learn, F.lit(False)).alias("_learn"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
     profiles = learn_profiles(rows.where("_learn").select("_lang", "_text"))

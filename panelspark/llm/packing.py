@@ -359,7 +359,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     pieces that fill sequences of at most ``capacity`` tokens; ``ids`` are little-endian unsigned 32-bit.
 
     A null or empty text is the end id alone. Repeated rows are packed each. Ids may be null or repeat. Each
-    task fills its own sequences. An empty table gives no piece.
+    task fills its own sequences. An empty table gives no piece. Other columns are left, whatever their names.
     """
     id_field = T.StructField("_id", docs.schema[id_col].dataType)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))

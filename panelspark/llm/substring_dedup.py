@@ -184,7 +184,8 @@ def dedup_substrings(docs: DataFrame, window: int = 35, id_col: str = "doc_id",
 
     Words are runs of characters other than space and U+0009 to U+000D, unchanged; kept words are joined by one
     space. Null or empty texts have no words; texts with fewer words than the window stay whole. Repeated rows
-    count as different documents. Sequences are judged on the input. An empty table gives an empty result.
+    count as different documents. Sequences are judged on the input. An empty table gives an empty result. Other columns
+    are left, whatever their names.
     """
     gram = max(1, window // 3 + 1)
     rows = keyed(docs, id_col, text_col)

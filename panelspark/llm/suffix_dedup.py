@@ -259,7 +259,8 @@ def dedup_suffixes(docs: DataFrame, window: int = 400, id_col: str = "doc_id", t
 
     Null or empty texts have no bytes and stay empty; texts shorter than the window stay whole. Repeated
     rows count as different documents, so each loses what the other has too. Overlapping repeats count, and
-    strings are judged on the input. An empty table gives an empty result. ``kept`` is binary, as a cut may fall inside a character.
+    strings are judged on the input. An empty table gives an empty result. ``kept`` is binary, as a cut may fall inside a
+    character. Other columns are left, or stand in ``_rest``, so that their names do not matter.
     """
     gram = max(1, window // 3)
     rows = keyed(docs, id_col, text_col, rest)

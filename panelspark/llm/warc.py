@@ -1,7 +1,8 @@
 """WARC archives from a table of pages, and back.
 
-Method: deterministic sharded writer. Records are range-sorted, each task writes its range as gzip members,
-one for each record, and starts another file when the compressed size reaches a limit. Headers and digests are
+Method: deterministic sharded writer. Records are range-sorted, each range is written as gzip members, one for each
+record, and another file is started when the compressed size reaches a limit. Bounds of ranges come from a sample chosen
+by the records' own hashes, so that equal tables give equal files however they are partitioned. Headers and digests are
 made anew from the payload. Tasks write under temporary names and report what they wrote; the driver then
 renames exactly the reported files, so that files of failed or repeated attempts never count, and writes
 the manifest. Equal payloads are stored once: other records revisit it.
@@ -15,12 +16,14 @@ import json
 import posixpath
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,22 +85,26 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
 
 def _writer(folder: str, roll_bytes: int, level: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
+        attempt = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         files, root = _open(folder)
-        place = posixpath.join(root, "_temporary_names", f"{shard:06d}-{attempt}")
-        roll, records, size, out, sha, done = 0, 0, 0, None, None, []
+        place = posixpath.join(root, "_temporary_names", attempt)
+        shard, roll, records, size, out, sha, done = -1, 0, 0, 0, None, None, []
 
         def close() -> None:
             nonlocal out, roll, records, size
             out.close()
-            done.append((shard, roll, posixpath.join("_temporary_names", f"{shard:06d}-{attempt}", f"{roll:06d}"), records, size, sha.hexdigest()))
+            done.append((shard, roll, posixpath.join("_temporary_names", attempt, f"{shard:06d}-{roll:06d}"), records, size, sha.hexdigest()))
             out, roll, records, size = None, roll + 1, 0, 0
 
         for batch in batches:
-            for page, url, payload, refers, revisit in zip(*(batch.column(c) for c in ("_id", "_url", "_payload", "_refers", "_revisit"))):
+            for own, page, url, payload, refers, revisit in zip(batch.column("_shard").to_pylist(), *(batch.column(c) for c in ("_id", "_url", "_payload", "_refers", "_revisit"))):
+                if own != shard:
+                    if out is not None:
+                        close()
+                    shard, roll = own, 0
                 if out is None:
                     files.create_dir(place, recursive=True)
-                    out, sha = files.open_output_stream(posixpath.join(place, f"{roll:06d}"), compression=None), hashlib.sha1()
+                    out, sha = files.open_output_stream(posixpath.join(place, f"{shard:06d}-{roll:06d}"), compression=None), hashlib.sha1()
                 coder = zlib.compressobj(level, wbits=31)
                 data = coder.compress(build_record(page.as_py(), url.as_py(), payload.as_py(), refers.as_py(), revisit.as_py())) + coder.flush()
                 out.write(data)
@@ -113,6 +120,35 @@ def _writer(folder: str, roll_bytes: int, level: int) -> Callable:
     return run
 
 
+#: Records of the sample for each range, about.
+PER_RANGE = 50
+
+
+def _sort_key(digest: Column) -> Column:
+    """Bytes that sort as the page ids do, null first, and then as the digests."""
+    page = F.col("_id")
+    shifted = F.unhex(F.lpad(F.hex(page.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    return F.concat(F.when(page.isNull(), F.unhex(F.lit("00" * 9))).otherwise(F.concat(F.unhex(F.lit("01")), shifted)), F.unhex(digest))
+
+
+def _bounds(rows: DataFrame, shards: int) -> list[bytes]:
+    """The first keys of all ranges but the first, from a hash sample of keys; about PER_RANGE times ``shards`` reach the
+    driver, whatever the input's size."""
+    keys = rows.select("_key").distinct()
+    share = min(1.0, PER_RANGE * shards / max(1, rows.count()))
+    some = keys.where(F.pmod(F.xxhash64("_key"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    got = sorted(bytes(r[0]) for r in some.collect())
+    return sorted({got[len(got) * k // shards] for k in range(1, shards)}) if got else []
+
+
+def _range_of(bounds: list[bytes]):
+    @F.pandas_udf(T.IntegerType())
+    def find(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: bisect_right(bounds, bytes(k)))
+
+    return find
+
+
 def write_warc(pages: DataFrame, folder: str, shards: int, roll_bytes: int = 1 << 30, least: int = 1000, level: int = 6, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write a record for each page to ``folder`` and return the manifest (shard, roll, path, records, bytes, digest).
 
@@ -128,9 +164,10 @@ def write_warc(pages: DataFrame, folder: str, shards: int, roll_bytes: int = 1 <
     size = F.octet_length("_payload")
     marked = rows.join(groups, (rows["_digest"] == groups["_digest"]) & (size >= least), "left").select("_id", "_url", "_payload", rows["_digest"], "_keep")
     marked = marked.withColumn("_revisit", F.col("_keep").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_keep"))).withColumn("_refers", F.when(F.col("_revisit"), F.col("_keep")))
-    # the digest splits ranges of rows without an id, the partition's own order makes files repeatable
-    ranged = marked.repartitionByRange(shards, F.col("_id"), F.col("_digest")).sortWithinPartitions("_id", "_digest", "_url")
-    told = materialize(ranged.select("_id", "_url", "_payload", "_refers", "_revisit").mapInArrow(_writer(folder, roll_bytes, level), _MANIFEST), "manifest")
+    # the digest splits ranges of rows without an id; a record that stands in the table many times over makes one range large
+    bounds = _bounds(rows.select(_sort_key(F.col("_digest")).alias("_key")), shards)
+    ranged = marked.withColumn("_shard", _range_of(bounds)(_sort_key(F.col("_digest")))).repartition(shards, "_shard").sortWithinPartitions("_shard", "_id", "_digest", "_url")
+    told = materialize(ranged.select("_shard", "_id", "_url", "_payload", "_refers", "_revisit").mapInArrow(_writer(folder, roll_bytes, level), _MANIFEST), "manifest", 500)
     drop_table(groups)
     return _commit(spark, told, folder)
 

@@ -125,6 +125,23 @@ def test_warc_is_deterministic_and_detects_damage(spark):
         warc.parse_record(one.replace(b"abc", b"abd"))
 
 
+def test_warc_writes_equal_files_for_equal_tables(spark):
+    r = np.random.default_rng(5)
+    rows = [(int(i) if i % 9 else None, f"u{i}", "".join(map(chr, r.integers(97, 123, int(r.integers(0, 1500)))))) for i in r.integers(-(2**62), 2**62, 400)]
+    rows += [(i, "same", rows[3][2]) for i in (5, 5, 7)] + rows[:4]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    told = []
+    for k, table in enumerate((pages.repartition(1), pages.repartition(7, "url"))):
+        folder = f"{shared_folder(spark)}/warc-equal-{k}"
+        manifest = warc.write_warc(table, folder, 4, roll_bytes=40_000)
+        told.append(sorted(map(tuple, manifest.collect())))
+        ids = [x.page_id for x in warc.read_warc(manifest, folder).collect()]
+        assert len(ids) == len(rows)
+    assert told[0] == told[1] and len({x[0] for x in told[0]}) == 4 and sum(x[3] for x in told[0]) == len(rows)
+    sizes = [sum(x[3] for x in told[0] if x[0] == k) for k in range(4)]
+    assert max(sizes) < 2.5 * len(rows) / 4
+
+
 def test_warc_empty(spark):
     folder = f"{shared_folder(spark)}/warc-empty"
     manifest = warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), folder, 2)
