@@ -64,6 +64,15 @@ def font_role(words: Column, size: Column, bold: Column, italic: Column) -> Colu
     return F.when((words <= 1) & (size > 50), "sfx").when(bold, "bold").when(italic, "italic").otherwise("normal")
 
 
+def font_file(role: Column, files: dict[str, str], present: list[str]) -> Column:
+    """The file of a role's font; that of the normal one where the role's is not among those ``present``."""
+    chain: Column = F.lit(files["normal"])
+    for name, path in files.items():
+        if path in present:
+            chain = F.when(role == name, F.lit(path)).otherwise(chain)
+    return chain
+
+
 def typeset_kept(words: Column, line_height: Column, angle: Column, estimate: Column, box_w: Column, box_h: Column) -> Column:
     """Blocks that are set: no tilted large sound word, no giant text, no tiny box."""
     tilted = (words <= 1) & ((line_height * 0.9).cast("int") > 50) & (F.abs(angle) > 5)

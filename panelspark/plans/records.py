@@ -101,13 +101,20 @@ def quarantine(spark, d):
     return good.groupBy().agg(F.count("*").alias("n")).select(F.lit("good").alias("problem"), "n").unionByName(bad.groupBy("problem").agg(F.count("*").alias("n")))
 
 
+def downloads(spark, d):
+    """Pages whose download left a file, in order; failed ones have no path."""
+    rows = L.image_info(spark, d).withColumn("path", F.when(F.col("idx") % 6 != 0, F.concat(F.lit("raw/"), X.zero_filled(F.col("idx")), F.lit(".jpg"))))
+    good, _ = P.split_failed(rows, F.when(F.col("path").isNull(), "no file"))
+    return good.select("chapter_id", "idx", "path")
+
+
 def merged_defaults(spark, d):
     """What a block falls back on: its own height where the first is missing, its own text where no translation is."""
     rows = L.text_lines(spark, d).withColumns({"orig_line_height": F.when(F.col("line_no") % 3 != 0, F.col("y2") - F.col("y1") + 2), "translated_text": F.when(F.col("line_no") % 4 != 0, F.lower("raw_text"))})
     return rows.select("page_id", "line_no", F.coalesce("orig_line_height", F.col("y2") - F.col("y1")).alias("line_height"), F.coalesce(F.nullif("translated_text", F.lit("")), "raw_text").alias("shown"))
 
 
-QUERIES = {f.__name__: f for f in (ocr_adapter, failed_pages, mask_union, dark_counts, default_projection, chapter_archives, ocr_polygons, path_parts, image_headers, quarantine, merged_defaults)}
+QUERIES = {f.__name__: f for f in (ocr_adapter, failed_pages, mask_union, dark_counts, default_projection, chapter_archives, ocr_polygons, path_parts, image_headers, quarantine, downloads, merged_defaults)}
 ORACLE = {
     "ocr_adapter": """WITH t AS (SELECT doc_id AS page_id, unnest(string_split(text, chr(10))) AS text, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INT) AS pos, len(string_split(text, chr(10))) AS n FROM documents)
 SELECT page_id, pos, CAST(10 + pos AS INT) AS low, CAST(40 + pos AS INT) AS high, text FROM t WHERE pos <= greatest(n - 2, 0) AND pos % 7 <> 3""",
@@ -124,6 +131,7 @@ b AS (SELECT page_id, path, parse_filename(path) AS base, regexp_replace(path, '
 SELECT page_id, base, folder, CASE WHEN base = '.rc' OR base NOT LIKE '%.%' THEN base ELSE regexp_replace(base, '\.[^.]*$', '') END AS stem,
        CASE WHEN base = '.rc' OR base NOT LIKE '%.%' THEN '' ELSE regexp_extract(base, '\.[^.]*$') END AS ending, page_id % 5 = 4 AS plugin FROM b""",
     "image_headers": L.with_views("fx_images") + " SELECT chapter_id || '/' || idx AS path, w, h FROM fx_images WHERE idx % 5 <> 4",
+    "downloads": L.with_views("fx_images") + " SELECT chapter_id, idx, 'raw/' || CASE WHEN idx < 1000 THEN lpad(idx::VARCHAR, 3, '0') ELSE idx::VARCHAR END || '.jpg' AS path FROM fx_images WHERE idx % 6 <> 0",
     "quarantine": r"""WITH t AS (SELECT CASE WHEN text IS NULL OR regexp_full_match(text, '\s*') THEN 'empty' WHEN length(text) > 1000 THEN 'too long' END AS problem FROM conversations)
 SELECT 'good' AS problem, count(*) FILTER (WHERE problem IS NULL) AS n FROM t UNION ALL SELECT problem, count(*) FROM t WHERE problem IS NOT NULL GROUP BY problem""",
     "merged_defaults": L.with_views("fx_lines") + " SELECT page_id, line_no, CASE WHEN line_no % 3 <> 0 THEN y2 - y1 + 2 ELSE y2 - y1 END AS line_height, CASE WHEN line_no % 4 <> 0 AND raw_text <> '' THEN lower(raw_text) ELSE raw_text END AS shown FROM fx_lines",

@@ -17,6 +17,16 @@ def sfx_route(spark, d):
     return R.routed(L.blocks(spark, d), WORDS).select("chapter_id", "page_no", "block_no", "text", "sound")
 
 
+def sound_words(spark, d):
+    """The fixed dictionary's words in several spellings, doubled, and a word that it does not have."""
+    words = F.array(*(F.lit(w) for w in [*sorted(R.SOUNDS), "HELLO"]))
+    k = F.col("p_partkey")
+    word = F.element_at(words, (k % 9 + 1).cast("int"))
+    text = F.when(k % 4 == 0, F.concat(F.lower(word), F.lit("!! "))).when(k % 4 == 1, F.concat(F.lit(' "'), word, F.lit('"'))).when(k % 4 == 2, F.concat(word, F.lit(" "), word)).otherwise(F.concat(F.left(word, F.lit(2)), F.lit("-"), F.substr(word, F.lit(3))))
+    rows = L.table(spark, d, "part").select(k.alias("block_no"), text.alias("text"))
+    return R.routed(rows, R.SOUNDS).select("block_no", "text", "sound")
+
+
 def ai_index(spark, d):
     return R.numbered(R.routed(L.blocks(spark, d), WORDS)).select("chapter_id", "page_no", "block_no", "ai_index")
 
@@ -50,6 +60,13 @@ def font_roles(spark, d):
     return rows.select("page_id", "line_no", R.font_role(n, F.col("y2") - F.col("y1") + n * 30, F.col("is_bold"), F.col("is_italic")).alias("role"))
 
 
+def font_files(spark, d):
+    """The font file of each role where two of four files are there."""
+    rows = font_roles(spark, d)
+    files = {"normal": "f/n.ttf", "bold": "f/b.ttf", "italic": "f/i.ttf", "sfx": "f/s.ttf"}
+    return rows.select("page_id", "line_no", R.font_file(F.col("role"), files, ["f/n.ttf", "f/s.ttf"]).alias("font"))
+
+
 def typeset_filter(spark, d):
     rows = L.text_lines(spark, d)
     h = F.col("y2") - F.col("y1")
@@ -162,9 +179,12 @@ _REPLIES = r"""WITH r AS (
 ), fx_lines2 AS (SELECT *, list_transform(list_filter(string_split(reply, chr(10)), lambda v: trim(v) <> '' AND NOT contains(v, '130495848')), lambda v: """ + _answer("v") + r""") AS plain FROM fx_found
 ), fx_verified AS (SELECT *, CASE WHEN len(answers) = expected THEN answers WHEN len(plain) = expected THEN plain END AS got FROM fx_lines2)"""
 
-QUERIES = {f.__name__: f for f in (sfx_route, ai_index, reattach, lone_word_pages, domain_dispatch, target_union, font_roles, typeset_filter, batch_outer, batch_inner, prompt_text, merge_groups, clean_answers, extract_answers, verify_answers, fallback_chain, ai_log_json, ai_output_json)}
+QUERIES = {f.__name__: f for f in (sfx_route, sound_words, ai_index, reattach, lone_word_pages, domain_dispatch, target_union, font_roles, font_files, typeset_filter, batch_outer, batch_inner, prompt_text, merge_groups, clean_answers, extract_answers, verify_answers, fallback_chain, ai_log_json, ai_output_json)}
 _WORDS = r"len(list_filter(regexp_split_to_array(raw_text, '\s+'), lambda w: w <> ''))"
 ORACLE = {
+    "sound_words": """WITH w AS (SELECT p_partkey AS block_no, ['BAM', 'DROP', 'SHOCKED', 'SIGH', 'SLAP', 'SPRING', 'UHH', 'WHOOSH', 'HELLO'][p_partkey % 9 + 1] AS w, ['DUAG', 'JATUH', 'KAGET', 'HAHH', 'PLAK', 'SPRING', 'EHH', 'WUSSS', NULL][p_partkey % 9 + 1] AS s FROM part)
+SELECT block_no, CASE block_no % 4 WHEN 0 THEN lower(w) || '!! ' WHEN 1 THEN ' "' || w || '"' WHEN 2 THEN w || ' ' || w ELSE left(w, 2) || '-' || substr(w, 3) END AS text, CASE WHEN block_no % 4 <> 2 THEN s END AS sound FROM w""",
+    "font_files": L.with_views("fx_lines") + f" SELECT page_id, line_no, CASE WHEN {_WORDS} <= 1 AND y2 - y1 + {_WORDS} * 30 > 50 THEN 'f/s.ttf' ELSE 'f/n.ttf' END AS font FROM fx_lines",
     "sfx_route": _ROUTED + " SELECT chapter_id, page_no, block_no, text, sound FROM fx_routed",
     "ai_index": _ROUTED + " SELECT chapter_id, page_no, block_no, ai_index FROM fx_numbered",
     "reattach": _ROUTED + " SELECT chapter_id, page_no, block_no, coalesce(sound, CASE WHEN length(text) > 5 THEN 'T:' || lower(text) END, text) AS translated FROM fx_numbered",

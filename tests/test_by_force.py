@@ -151,3 +151,20 @@ def test_separator_is_the_settings_own():
     from panelspark.config import Settings
 
     assert Settings().separator == X.SEPARATOR
+
+
+def test_large_images_are_read_on_a_grid(spark):
+    r = np.random.default_rng(9)
+    rgb = np.where((np.arange(100) % 4 == 0)[:, None], r.integers(0, 60, (100, 3)), r.integers(180, 255, (100, 3)))
+    rows = [(1, k // 10, k % 10, *map(int, rgb[k])) for k in range(100)]
+    pixels = spark.createDataFrame(rows, "img_id long, y int, x int, r int, gr int, b int").repartition(3)
+    got = raster.colors(pixels, most=25).first()
+    some = np.array([c[3:] for c in rows if c[1] % 4 == 0 and c[2] % 4 == 0])
+    want = raster.color_pair(some)
+    assert (got.text_rgb, got.stroke_rgb) == tuple(",".join(map(str, c)) for c in want) and len(some) == 9
+
+
+def test_counter_generator_gives_the_published_numbers():
+    source = raster.Mixer(1234567)
+    assert [source.bits() for _ in range(3)] == [6457827717110365317, 3203168211198807973, 9817491932198370423]
+    assert all(0 <= raster.Mixer(s).unit() < 1 for s in range(50))
