@@ -23,8 +23,9 @@ from pyspark.sql import types as T
 from panelspark.llm.common import buckets, keyed, sliced, tidied
 from panelspark.llm.repeats import bucket_of, covered, repeated_windows, with_hits, word_hashes
 
-#: Pieces in one automaton. A larger group has several, and every piece is streamed through all of them.
-SHARD = 20_000
+#: Pieces in one automaton. A larger group has several, and every piece is streamed through all of them. Words of pieces
+#: in a shard, about.
+SHARD, SHARD_WORDS = 20_000, 1 << 20
 
 
 class SuffixAutomaton:
@@ -158,7 +159,8 @@ def _shards(window: int, gram: int) -> Callable:
 
 def _resolver(window: int, gram: int) -> Callable[[DataFrame, list[bytes], int], DataFrame]:
     def resolve(parts: DataFrame, _: list[bytes], volume: int) -> DataFrame:
-        return parts.mapInArrow(tidied(_pieces(window, buckets(parts.sparkSession))), _PIECES).groupBy("bucket").applyInArrow(_shards(window, gram), "gram long, cls long, mask binary")
+        n = max(buckets(parts.sparkSession), -(-volume // SHARD_WORDS))
+        return parts.mapInArrow(tidied(_pieces(window, n)), _PIECES).groupBy("bucket").applyInArrow(_shards(window, gram), "gram long, cls long, mask binary")
 
     return resolve
 
