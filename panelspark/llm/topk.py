@@ -150,7 +150,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
     shards = rows.select("_id", "_vec").mapInArrow(_blocks(SHARD_ROWS), _BLOCK).where(F.lit(n > 0))
     lane = F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int").alias("lane")
     shards = shards.select(every(max(1, n), "q"), lane, F.lit(1).alias("kind"), "block", "ids", "dims", "cells")
-    met = blocks.unionByName(shards).repartition(min(width, lanes * max(1, n)), "q", "lane").sortWithinPartitions("q", "lane", "kind", "block")
+    met = blocks.unionByName(shards).repartitionById(min(width, lanes * max(1, n)), F.col("q") * lanes + F.col("lane")).sortWithinPartitions("q", "lane", "kind", "block")
     found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -166,7 +166,7 @@ def write_warc(pages: DataFrame, folder: str, shards: int, roll_bytes: int = 1 <
     marked = marked.withColumn("_revisit", F.col("_keep").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_keep"))).withColumn("_refers", F.when(F.col("_revisit"), F.col("_keep")))
     # the digest splits ranges of rows without an id; a record that stands in the table many times over makes one range large
     bounds = _bounds(rows.select(_sort_key(F.col("_digest")).alias("_key")), shards)
-    ranged = marked.withColumn("_shard", _range_of(bounds)(_sort_key(F.col("_digest")))).repartition(shards, "_shard").sortWithinPartitions("_shard", "_id", "_digest", "_url")
+    ranged = marked.withColumn("_shard", _range_of(bounds)(_sort_key(F.col("_digest")))).repartitionById(shards, "_shard").sortWithinPartitions("_shard", "_id", "_digest", "_url")
     told = materialize(ranged.select("_shard", "_id", "_url", "_payload", "_refers", "_revisit").mapInArrow(_writer(folder, roll_bytes, level), _MANIFEST), "manifest", 500)
     drop_table(groups)
     return _commit(spark, told, folder)
