@@ -12,7 +12,7 @@ def cluster_boxes(lines: DataFrame, max_size_ratio: float = 1.3, max_gap_px: flo
     """(page_id, line_no, cluster, rank, block_no) of (page_id, line_no, x1, y1, x2, y2[, angle]); a missing angle is 0."""
     rows = lines if "angle" in lines.columns else lines.withColumn("angle", F.lit(0.0))
     rule = bubbles.MergeRule(max_size_ratio, max_gap_px, max_gap_ratio, max_overlap_ratio, max_angle_diff_deg, center_ratio)
-    return bubbles.ranked(bubbles.member_order(rows, bubbles.clusters(rows, rule=rule)))
+    return bubbles.ranked(bubbles.members(rows, rule=rule))
 
 
 def analyze(pixels: DataFrame, italic_threshold_deg: float = 10.0, bold_stroke_ratio: float = 0.15, bold_ink_density: float = 0.40) -> DataFrame:

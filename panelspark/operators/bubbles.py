@@ -105,6 +105,11 @@ def _propagated(pairs: DataFrame) -> DataFrame:
 
 def clusters(lines: DataFrame, page_lines: int = PAGE_LINES, rule: MergeRule = MergeRule()) -> DataFrame:
     """(page_id, line_no, cluster): the least line of each line's cluster; lines without a link stand alone."""
+    return members(lines, page_lines, rule).select("page_id", "line_no", "cluster")
+
+
+def members(lines: DataFrame, page_lines: int = PAGE_LINES, rule: MergeRule = MergeRule()) -> DataFrame:
+    """All columns of the lines with their cluster and, for the order inside it, their centre ``cy``."""
     pairs = edges(lines, rule)
     sizes = lines.groupBy("page_id").agg((F.count("*") > page_lines).alias("long"))
     # whether a page is long is looked up once for all lines, not for pairs
@@ -115,13 +120,8 @@ def clusters(lines: DataFrame, page_lines: int = PAGE_LINES, rule: MergeRule = M
     closed = short.groupBy("page_id").applyInArrow(_closed, schema)
     if some_long:
         closed = closed.unionByName(_propagated(materialize(pairs.join(long_pages, "page_id", "left_semi"), "pairs")))
-    return lines.select("page_id", "line_no").join(closed, ["page_id", "line_no"], "left").withColumn("cluster", F.coalesce("cluster", "line_no"))
-
-
-def member_order(lines: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Lines with their cluster, in reading order: by centre, ties by line."""
-    center = (F.col("y1") + F.col("y2")) / 2
-    return lines.join(labelled, ["page_id", "line_no"]).withColumn("cy", center)
+    labelled = lines.join(closed, ["page_id", "line_no"], "left")
+    return labelled.withColumns({"cluster": F.coalesce("cluster", "line_no"), "cy": (F.col("y1") + F.col("y2")) / 2})
 
 
 def bubbles(members: DataFrame) -> DataFrame:

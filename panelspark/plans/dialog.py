@@ -39,8 +39,7 @@ def connected_components(spark, d):
 
 
 def _members(spark, d):
-    lines = B.written_lines(L.text_lines(spark, d))
-    return B.member_order(lines, B.clusters(lines))
+    return B.members(B.written_lines(L.text_lines(spark, d)))
 
 
 def bubble_order(spark, d):
