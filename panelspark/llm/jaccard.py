@@ -11,7 +11,7 @@ twice. Shingles that share these bits can only keep a document in, so no link is
 Equal sets are one node, and copies are never expanded into pairs. Nodes that share signatures, directly or over
 others, are gathered into clusters, each set sent once, and compared there by their whole sets. A cluster beyond a
 bound of work is not gathered: its signatures' nodes are first compared to one of them; then, where a signature
-still has several components, nodes of different components are compared, which finds every link that could join two.
+still has several components, its nodes are compared in blocks, which finds every link that could join two.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ WORDS, PERCENT, BLOCK = 5, 75, 400_000
 SINGLE, PARTS = 63, 0.4
 #: Comparisons of a node with a shingle that one task makes for a cluster; cells of a dense block.
 WORK, CELLS = 1 << 31, 1 << 24
-#: Sets that the rows of one file are about.
-FILE_SETS = 2000
+#: Sets that the rows of one file are about; nodes in a block of a signature whose cluster no task holds.
+FILE_SETS, BLOCK_NODES = 2000, 512
 _U = np.uint64
 
 
@@ -295,29 +295,6 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(tidied(_linked(percent)), "a binary, b binary")
 
 
-def _across(percent: int) -> Callable:
-    """Pairs of one signature's nodes from different components, whose sizes allow a link."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(set(zip(*(table.column(c).to_pylist() for c in ("sig", "n", "node", "root")))))
-        pairs, i = set(), 0
-        while i < len(rows):
-            j = i
-            while j < len(rows) and rows[j][0] == rows[i][0]:
-                j += 1
-            for x in range(i, j):
-                for y in range(x + 1, j):
-                    if percent * rows[y][1] > 100 * rows[x][1]:
-                        break
-                    if rows[x][3] != rows[y][3]:
-                        pairs.add((min(rows[x][2], rows[y][2]), max(rows[x][2], rows[y][2])))
-            i = j
-        a, b = zip(*pairs) if pairs else ((), ())
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    return run
-
-
 def cluster_roots(nodes: list[bytes], sets: list[np.ndarray], percent: int = PERCENT) -> list[bytes]:
     """The least node of each node's component, from comparing all pairs of sets by their shared shingles."""
     g = len(nodes)
@@ -369,16 +346,38 @@ def _clustered(percent: int) -> Callable:
     return run
 
 
+def _in_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that join all linked nodes of each signature's (sig, node, n, root), though not every link.
+
+    A signature's nodes are dealt into blocks by size and hash. Linked sizes differ by a factor that puts them into the
+    same or the next class of sizes, so each block meets those of its class and the next; two blocks are one task's small
+    cluster. Blocks that are all one component already are left out. No pair of nodes is written but links."""
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.001 * 100 / percent))).alias("class")
+    rows = rows.select("sig", "node", "root", size_class)
+    parts = rows.groupBy("sig", "class").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("parts"))
+    placed = rows.join(parts, ["sig", "class"]).select("sig", "class", "node", "root", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    blocks = parts.select("sig", "class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    other = blocks.select(F.col("sig").alias("sig2"), F.col("class").alias("class2"), F.col("part").alias("part2"))
+    meets = (F.col("sig") == F.col("sig2")) & (((F.col("class") == F.col("class2")) & (F.col("part") <= F.col("part2"))) | (F.col("class") + 1 == F.col("class2")))
+    both = blocks.join(other, meets).withColumn("task", F.xxhash64("sig", "class", "part", "class2", "part2"))
+    sides = both.select("task", "sig", "class", "part").unionByName(both.select("task", "sig", F.col("class2").alias("class"), F.col("part2").alias("part"))).distinct()
+    held = placed.join(sides, ["sig", "class", "part"]).select("task", "node", "root")
+    open_tasks = held.groupBy("task").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("task")
+    met = held.join(open_tasks, "task").select("task", "node").distinct().join(sets.select("node", "shingles"), "node")
+    found = met.groupBy("task").applyInArrow(_clustered(percent), "node binary, root binary")
+    return found.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
+
+
 def _large_cluster_roots(kept: DataFrame, first: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, root) of clusters that no task holds."""
     links = materialize(verified(first, sets, percent), "links")
     roots = materialize(components(links), "roots")
     rooted = kept.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
     several = rooted.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("sig")
-    n = buckets(kept.sparkSession)
-    rest = rooted.join(several, "sig").withColumn("bucket", F.pmod("sig", F.lit(n))).groupBy("bucket").applyInArrow(_across(percent), "a binary, b binary").distinct()
-    more = materialize(verified(rest, sets, percent).unionByName(links), "links")
-    drop_table(links)
+    rest = materialize(rooted.join(several, "sig"), "open")
+    more = materialize(_in_blocks(rest, sets, percent).unionByName(links), "links")
+    for table in (links, rest, roots):
+        drop_table(table)
     return components(more)
 
 

@@ -35,12 +35,44 @@ def by_force(rows):
     return Counter((d, len(s), least.get(find(i))) for i, ((d, _), s) in enumerate(zip(rows, sets)))
 
 
-@pytest.mark.parametrize("work", [jaccard.WORK, 0])
-def test_components_by_brute_force(documents, document_list, work):
+@pytest.mark.parametrize(("work", "block"), [(jaccard.WORK, 512), (0, 512), (0, 2)])
+def test_components_by_brute_force(documents, document_list, monkeypatch, work, block):
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", block)
     got = Counter((r["_id"], r["n"], r["component"]) for r in jaccard.join_similar(documents, work=work).collect())
     assert got == by_force(document_list)
 
 
+def test_blocks_join_what_a_signature_links(spark, monkeypatch):
+    """Sets under one signature, of sizes at the limit and beyond, are joined as all pairs would join them."""
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 4)
+    r = np.random.default_rng(7)
+    base, sets = r.integers(0, 1 << 62, 64).astype(np.uint64), {}
+    for k in range(40):
+        n = int(r.integers(3, 64))
+        own = np.concatenate((base[:n], r.integers(0, 1 << 62, int(r.integers(0, 6))).astype(np.uint64)))
+        sets[f"{k:02d}".encode()] = np.sort(own)
+    rows = spark.createDataFrame([(5, k, len(v), k) for k, v in sets.items()], "sig long, node binary, n long, root binary")
+    table = spark.createDataFrame([(k, v.tobytes()) for k, v in sets.items()], "node binary, shingles binary")
+    found = [(bytes(x.a), bytes(x.b)) for x in jaccard._in_blocks(rows, table, 75).collect()]
+    label = {k: k for k in sets}
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    def joined(pairs):
+        label.update({k: k for k in sets})
+        for a, b in pairs:
+            x, y = find(a), find(b)
+            label[max(x, y)] = min(x, y)
+        return {k: find(k) for k in sets}
+
+    linked = lambda a, b: 175 * len(np.intersect1d(a, b)) >= 75 * (len(a) + len(b))
+    want = joined((a, b) for a in sets for b in sets if a < b and linked(sets[a], sets[b]))
+    assert joined(found) == want and len(set(want.values())) < 30
+
+
 def test_empty_table(no_documents):
     assert jaccard.join_similar(no_documents).collect() == []
 
