@@ -35,7 +35,9 @@ class MergeRule:
 
 
 def kept_lines(lines: DataFrame) -> DataFrame:
-    cleaned = lines.withColumn("text", clean_line(F.col("raw_text")))
+    """Lines with their cleaned ``text``, without noise and empty ones. The text is generated, not projected: a filter on a
+    projected column would be written out in terms of the raw text and clean it once for each mention."""
+    cleaned = lines.select("*", F.explode(F.array(clean_line(F.col("raw_text")))).alias("text"))
     return cleaned.where(~is_noise(F.col("text")) & (F.col("text") != ""))
 
 
