@@ -1,69 +1,38 @@
-"""Order-dependent folds: each row's place depends on all before it in its group.
-
-Groups are dealt by key and sorted, then streamed through a small state, so that a group of any length needs the
-memory of one row. A fold is sequential by nature: one group is one task's work, but never one row or one array.
-"""
+"""Packing folds: each row's pack depends on all before it in its group. They are chains of pack starts (see ``chains``)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
-
-
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], values: list[str], start: Callable[[], object], step: Callable, out: str) -> DataFrame:
-    """df with a column ``out`` (long): ``step(state, *values)`` returns (state, result) for each row in order."""
+from pyspark.sql import functions as F
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, state = object(), None
-        for batch in batches:
-            results = []
-            for key, row in zip(zip(*(batch.column(k).to_pylist() for k in keys)), zip(*(batch.column(v).to_pylist() for v in values))):
-                if key != last:
-                    last, state = key, start()
-                state, got = step(state, *row)
-                results.append(got)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(results, pa.int64())], [*batch.schema.names, out])
+from panelspark.operators import chains
 
-    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return dealt.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.LongType())]))
+_KEYS = ["chapter_id"]
 
 
 def outer_batches(texts: DataFrame, most_chars: int = 1000, most_items: int = 25) -> DataFrame:
     """batch_no: a batch closes before a text that would exceed the characters, or when it is full."""
-
-    def step(state: tuple[int, int, int], size: int | None) -> tuple[tuple[int, int, int], int]:
-        batch, chars, items = state
-        size = size or 0
-        if items and (chars + size > most_chars or items >= most_items):
-            batch, chars, items = batch + 1, 0, 0
-        return (batch, chars + size, items + 1), batch
-
-    return ordered_fold(texts, ["chapter_id"], ["pos", "text"], ["n"], lambda: (0, 0, 0), step, "batch_no")
+    short = chains.is_short(texts, _KEYS)
+    rows = chains.placed(texts, _KEYS, ["pos", "text"], "n", short)
+    return _numbered(texts, rows, chains.limited(rows, _KEYS, most_chars, most_chars, most_items, "n", short), short)
 
 
 def inner_batches(texts: DataFrame, most_chars: int = 1500, mark: int = 9) -> DataFrame:
-    """batch_no within requests: each text but the first after a flush costs its separator too."""
-
-    def step(state: tuple[int, int, bool], size: int | None) -> tuple[tuple[int, int, bool], int]:
-        batch, chars, any_yet = state
-        size = size or 0
-        if chars + size + mark > most_chars:
-            return (batch + any_yet, size, True), batch + any_yet
-        return (batch, chars + size + mark, True), batch
-
-    return ordered_fold(texts, ["chapter_id"], ["pos", "text"], ["n"], lambda: (0, 0, False), step, "batch_no")
+    """batch_no within requests: each text costs its separator too, but for the first after a flush."""
+    short = chains.is_short(texts, _KEYS)
+    rows = chains.placed(texts.withColumn("_cost", F.coalesce("n", F.lit(0)) + mark), _KEYS, ["pos", "text"], "_cost", short)
+    # the separator that a batch's first text does not cost is room; a chapter's first text costs it
+    steps = chains.limited(rows, _KEYS, most_chars + mark, most_chars, most_chars // mark + 2, "_cost", short)
+    return _numbered(texts, rows, steps, short)
 
 
 def merge_groups(images: DataFrame, target: int = 8000) -> DataFrame:
     """group_no: images are stacked, scaled to the group's first width, until their heights reach the target."""
+    short = chains.is_short(images, _KEYS)
+    rows = chains.placed(images, _KEYS, ["idx"], short=short)
+    scaled = lambda first, x: (x["h"] * F.try_divide(first["w"].cast("double"), x["w"])).cast("long")
+    return _numbered(images, rows, chains.filled(rows, _KEYS, target, scaled, ["w", "h"], short), short, "group_no")
 
-    def step(state: tuple[int, int, int], w: int, h: int) -> tuple[tuple[int, int, int], int]:
-        group, total, first = state
-        first = first or w
-        total += int(h * (first / w))
-        return ((group + 1, 0, 0) if total >= target else (group, total, first)), group
 
-    return ordered_fold(images, ["chapter_id"], ["idx"], ["w", "h"], lambda: (0, 0, 0), step, "group_no")
+def _numbered(given: DataFrame, rows: DataFrame, steps: DataFrame, short: bool, out: str = "batch_no") -> DataFrame:
+    return chains.numbered(rows, chains.reached(steps, _KEYS, short=short), _KEYS, out).select(*given.columns, out)

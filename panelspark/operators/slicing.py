@@ -1,12 +1,12 @@
-"""Slicing of tall strips at calm rows. One strip is one image and fits a task; strips are dealt by page."""
+"""Slicing of tall strips at calm rows, as a chain of slices: each row's cut follows from the rows ahead of it."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.operators import chains
+
 #: Target, least and greatest height of a slice, rows of a gap, reach of the near search.
 TARGET, LEAST, MOST, GAP, REACH = 1300, 600, 1800, 25, 150
 STD, EDGE, MARGIN = 3.5, 0.015, 25
@@ -31,46 +31,43 @@ def forbidden_rows(lines: DataFrame) -> DataFrame:
     return spread.distinct()
 
 
-def cut_strip(std: np.ndarray, edge: np.ndarray, forbidden: np.ndarray) -> list[tuple[int, int, str]]:
-    """(start, stop, how) of each slice of a strip."""
-    h = len(std)
-    if h <= MOST:
-        return [(0, h, "whole")]
-    safe = (std < STD) & (edge < EDGE) & ~forbidden
-    run = np.concatenate(([0], np.cumsum(safe)))
-    ok = np.flatnonzero(run[GAP:] - run[:-GAP] == GAP)
-    score = 100 * edge + std + 1e6 * forbidden
-    out, start = [], 0
-
-    def last_gap(lo: int, hi: int) -> int | None:
-        if hi - lo < GAP:
-            return None
-        k = np.searchsorted(ok, hi - GAP, "right") - 1
-        return int(ok[k]) + GAP // 2 if k >= 0 and ok[k] > lo else None
-
-    while h - start > MOST:
-        aim = min(start + TARGET, h)
-        up, down = max(start + LEAST, aim - REACH), min(start + MOST, aim + REACH)
-        for how, lo, hi in (("near", up, down), ("up", start + LEAST, up), ("down", down, min(start + MOST, h))):
-            cut = last_gap(lo, hi)
-            if cut is not None:
-                break
-        else:
-            lo, hi = min(start + TARGET, h - 1), min(start + MOST, h)
-            how, cut = "force", lo + int(np.argmin(score[lo:hi]))
-        out.append((start, cut, how))
-        start = cut
-    return [*out, (start, h, "tail")]
-
-
-def _sliced(table: pa.Table) -> pa.Table:
-    order = np.argsort(table.column("y").to_numpy())
-    std, edge, bad = (table.column(c).to_numpy(zero_copy_only=False)[order] for c in ("row_std", "edge_density", "forbidden"))
-    cuts = cut_strip(std, edge, bad.astype(bool))
-    page = [table.column("page_id")[0].as_py()] * len(cuts)
-    return pa.table({"page_id": pa.array(page, pa.int64()), "part": pa.array(range(len(cuts)), pa.int32()), "y1": pa.array([c[0] for c in cuts], pa.int64()), "y2": pa.array([c[1] for c in cuts], pa.int64()), "how": pa.array([c[2] for c in cuts])})
+def cuts(rows: DataFrame) -> DataFrame:
+    """(page_id, place, next, how) of every row: where a slice ends that starts there, and by which rule.
+
+    All rules look at a bounded stretch ahead, so rows are dealt by page and block, each block with the rows behind it that it
+    looks at. The last gap of a stretch is the running last gap at the stretch's end. The least of a fixed stretch of rows is
+    the lesser of two running minima, one to the end of a piece and one from the start of the next."""
+    near = chains.ahead(rows.select("page_id", F.col("y").cast("long").alias("place"), "row_std", "edge_density", "forbidden"), "place", MOST + 1)
+    block = Window.partitionBy("page_id", "block")
+    order = block.orderBy("place")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    span = MOST - TARGET
+    piece = Window.partitionBy("page_id", "block", F.floor(F.col("place") / span))
+    running = lambda by: F.min("score").over(piece.orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    score = F.struct((100 * F.col("edge_density") + F.col("row_std") + F.when(F.col("forbidden"), 1e6).otherwise(0.0)).alias("score"), "place")
+    safe = is_safe(F.col("row_std"), F.col("edge_density"), F.col("forbidden")).cast("int")
+    near = near.withColumns({"safe": safe, "score": score})
+    near = near.withColumn("from_here", running(F.desc("place"))).withColumn("to_here", running(F.asc("place"))).drop("row_std", "edge_density", "forbidden", "score")
+    near = near.withColumns({"run": F.sum("safe").over(upto), "end": F.max("place").over(block) + 1, "goes_on": F.lead("place", MOST).over(order)})
+    gap = F.lead("run", GAP - 1).over(order) - F.col("run") + F.col("safe") == GAP
+    near = near.withColumn("gap", F.when(gap, F.col("place")))
+    near = near.withColumn("last", F.max("gap").over(upto))
+
+    def last_gap(low: int, high: int) -> Column:
+        """The middle of the last gap that starts after ``low`` and ends by ``high`` rows ahead."""
+        found = F.lead("last", high - GAP).over(order)
+        return F.when(found > F.col("place") + low, found + GAP // 2)
+
+    up, down = TARGET - REACH, TARGET + REACH
+    ways = {"near": last_gap(up, down), "up": last_gap(LEAST, up), "down": last_gap(down, MOST), "force": F.least(F.lead("from_here", TARGET).over(order), F.lead("to_here", MOST - 1).over(order))["place"]}
+    near = near.withColumns(ways).where("is_own")
+    how = F.coalesce(*(F.when(F.col(w).isNotNull(), F.lit(w)) for w in ways))
+    last = F.col("goes_on").isNull()
+    return near.select("page_id", "place", F.when(last, F.col("end")).otherwise(F.coalesce(*ways)).alias("next"), F.when(last, F.when(F.col("place") == 0, "whole").otherwise("tail")).otherwise(how).alias("how"))
 
 
 def slices(rows: DataFrame) -> DataFrame:
-    """(page_id, part, y1, y2, how): slices that tile each strip. A strip of no more than 1800 rows stays whole."""
-    return rows.groupBy("page_id").applyInArrow(_sliced, "page_id long, part int, y1 long, y2 long, how string")
+    """(page_id, part, y1, y2, how): slices that tile each strip, whose rows are numbered from 0. A strip of no more than
+    1800 rows stays whole."""
+    found = chains.reached(cuts(rows), ["page_id"], 0, chains.is_short(rows, ["page_id"]), ["how"])
+    return found.select("page_id", F.col("k").cast("int").alias("part"), F.col("place").alias("y1"), F.col("next").alias("y2"), "how")

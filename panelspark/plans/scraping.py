@@ -54,17 +54,27 @@ def chapter_info(spark, d):
 
 
 def encoded_pages(spark, d):
-    """Lists of page images, scrambled with a key that stands in the text, in base64 in a page, with an encoded script."""
-    rows = L.table(spark, d, "supplier").select(F.col("s_suppkey").alias("page_id"), F.concat(F.lit("https://a.example/"), F.col("s_suppkey").cast("string"), F.lit("/1.jpg, ,https://a.example/"), F.col("s_name"), F.lit("/3.jpg")).alias("list"))
+    """Lists of page images in landed pages: scrambled with a key that stands in the text, closed with NULs, encrypted, in base64;
+    the key and the vector stand in an encoded script file. Some pages have no list, some a script that has not landed."""
+    k = F.col("page_id").cast("string")
+    rows = L.table(spark, d, "pages").where("page_id is not null").withColumn("list", F.concat(F.lit("https://a.example/"), k, F.lit("/1.jpg, ,"), F.coalesce(F.split("url", ",")[0], F.lit("")), F.lit("/3.jpg")))
     chars, n = F.split("list", ""), F.length("list")
     swapped = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(chars, F.when((i % 2 == 0) & (i + 3 < n), i + 3).when((i % 2 == 1) & (i >= 3), i - 3).otherwise(i))), "")
-    packed = F.replace(F.base64(F.encode(F.concat(F.left(swapped, F.lit(2)), F.lit("3"), F.substr(swapped, F.lit(3))), "utf-8")), F.lit("\r\n"), F.lit(""))
-    source = "k=str.charAt(2)+str.charAt( 2 );"
-    codes = "q".join(str(ord(c)) for c in source)
+    plain = F.encode(F.concat(F.left(swapped, F.lit(2)), F.lit("3"), F.substr(swapped, F.lit(3))), "utf-8")
+    size = F.octet_length(plain)
+    plain = F.concat(plain, F.unhex(F.repeat(F.lit("00"), (16 - size % 16) % 16)))
+    key, iv = F.unhex(F.left(F.sha2(F.concat(F.lit("k"), k), 256), F.lit(32))), F.unhex(F.left(F.sha2(F.concat(F.lit("v"), k), 256), F.lit(32)))
+    sealed = F.aes_encrypt(plain, key, F.lit("CBC"), F.lit("PKCS"), iv)  # vector, text, one block of padding
+    packed = F.replace(F.base64(F.substring(sealed, 17, F.octet_length(plain))), F.lit("\r\n"), F.lit(""))
+    variable = lambda name, x: F.concat(F.lit(f'var {name} = CryptoJS.enc.Hex.parse("'), F.lower(F.hex(x)), F.lit('");'))
+    source = F.concat(F.lit("k=str.charAt(2)+str.charAt( 2 );"), variable("key", key), variable("iv", iv))
+    codes = F.array_join(F.transform(F.split(source, ""), lambda c: F.ascii(c).cast("string")), "q")
     head, tail = H.SCRIPT_MARGINS
-    script = F.lit(H.SCRIPT_HEAD + "x" * (head - len(H.SCRIPT_HEAD)) + codes + "z" * tail)
-    html = F.when(F.col("page_id") % 7 == 0, F.lit("<script>var other='1'</script>")).otherwise(F.concat(F.lit("<p>t</p><script>var imgsrcs = '"), packed, F.lit("';</script>")))
-    return H.encoded_pages(rows.select("page_id", html.alias("html"), script.alias("script")))
+    script = F.concat(F.lit(H.SCRIPT_HEAD + "x" * (head - len(H.SCRIPT_HEAD))), codes, F.lit("z" * tail))
+    page = F.concat(F.coalesce("html", F.lit("")), F.lit("<script>var other='1'</script><script src='/js/x.js'></script><script src='/js/"), k, F.lit("/chapter.js?v=1'></script>"))
+    html = F.when(F.col("page_id") % 7 == 0, page).otherwise(F.concat(page, F.lit("<p>t</p><script>var imgsrcs = '"), packed, F.lit("';</script>")))
+    scripts = rows.where(F.col("page_id") % 5 != 1).select(F.concat(F.lit(f"{_SITE}/js/"), k, F.lit("/chapter.js?v=1")).alias("url"), script.alias("script"))
+    return H.encoded_pages(rows.select("page_id", F.lit(f"{_SITE}/c/1").alias("url"), html.alias("html")), scripts)
 
 
 def script_variables(spark, d):
@@ -108,8 +118,8 @@ SELECT page_id, pos, CASE k % 4 WHEN 1 THEN 'https://reader.example.org/chapter/
 SELECT page_id, pos, CASE k % 3 WHEN 0 THEN 'https://example.org/i/' || k || '.jpg' ELSE 'https://cdn.example.net/' || k || '.png' END AS url FROM s WHERE k % 3 <> 2""",
     "chapter_info": """SELECT CAST(n_nationkey AS BIGINT) AS page_id, CASE WHEN n_nationkey % 3 <= 1 OR n_nationkey % 2 = 0 THEN n_name ELSE 'Unknown Title' END AS title,
        CASE n_nationkey % 3 WHEN 0 THEN 'Part ' || n_nationkey || ': end' WHEN 1 THEN 'c' || n_nationkey ELSE 'Unknown Chapter' END AS chapter_name FROM nation""",
-    "encoded_pages": """SELECT s_suppkey AS page_id, CAST(0 AS INT) AS index, 'https://a.example/' || s_suppkey || '/1.jpg' AS url FROM supplier WHERE s_suppkey % 7 <> 0
-UNION ALL SELECT s_suppkey, 2, 'https://a.example/' || s_name || '/3.jpg' FROM supplier WHERE s_suppkey % 7 <> 0""",
+    "encoded_pages": """SELECT page_id, CAST(0 AS INT) AS index, 'https://a.example/' || page_id || '/1.jpg' AS url FROM pages WHERE page_id % 7 <> 0 AND page_id % 5 <> 1
+UNION ALL SELECT page_id, 2, trim(coalesce(split_part(url, ',', 1), '') || '/3.jpg') FROM pages WHERE page_id % 7 <> 0 AND page_id % 5 <> 1""",
     "script_variables": "SELECT item_id, text AS key, true AS no_iv, CAST(item_id % 9 AS INT) AS cols FROM benchmark",
     "url_parts": r"SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS host, regexp_extract(url, '://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(trim(regexp_extract(url, '://[^/?#]+([^?#]*)', 1), '/'), '([^/]*)$', 1) AS slug, url_encode(url) AS encoded FROM pages",
     "chapter_list_json": """WITH n AS (SELECT n_regionkey, lower(replace(n_name, ' ', '-')) AS slug, CASE WHEN n_nationkey % 4 <> 0 THEN n_name END AS name FROM nation)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelspark import api, config, storage
 from panelspark.functions import text as X
-from panelspark.operators import archive, bubbles, folds, kernels, layout, raster, routing, slicing
+from panelspark.operators import archive, bubbles, folds, kernels, layout, raster, routing
 from panelspark.sources import files, html, registry
 
 LINE = "page_id long, line_no int, raw_text string, x1 int, y1 int, x2 int, y2 int, angle double, is_italic boolean, is_bold boolean"
@@ -112,15 +112,6 @@ def test_two_colours():
     assert raster.color_pair(noise) == raster.color_pair(noise)
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.integers(1, 6000), st.integers(0, 5))
-def test_slices_tile_the_strip(h, seed):
-    r = np.random.default_rng(seed)
-    cuts = slicing.cut_strip(np.where(r.random(h) < 0.9, 1.0, 9.0), np.zeros(h), r.random(h) < 0.01)
-    assert cuts[0][0] == 0 and cuts[-1][1] == h and all(a[1] == b[0] for a, b in zip(cuts, cuts[1:]))
-    assert all(b - a <= 1800 for a, b, _ in cuts)
-
-
 @settings(max_examples=60, deadline=None)
 @given(st.text("ab cde", max_size=60), st.integers(20, 200), st.integers(9, 40))
 def test_wrap_keeps_all_letters(text, width, size):
@@ -354,3 +345,34 @@ def test_scratch_tables_are_deleted(spark):
     storage.drop_table(kept)
     with pytest.raises(Exception, match="kept"):
         kept.count()
+
+
+# decryption
+
+
+def test_decryption_gives_the_published_vectors(spark):
+    """The CBC examples of NIST SP 800-38A for keys of 128, 192 and 256 bits."""
+    text = "6bc1bee22e409f96e93d7e117393172aae2d8a571e03ac9c9eb76fac45af8e5130c81c46a35ce411e5fbc1191a0a52eff69f2445df4f9b17ad2b417be66c3710"
+    sealed = {
+        "2b7e151628aed2a6abf7158809cf4f3c": "7649abac8119b246cee98e9b12e9197d5086cb9b507219ee95db113a917678b273bed6b8e3c1743b7116e69e222295163ff1caa1681fac09120eca307586e1a7",
+        "8e73b0f7da0e6452c810f32b809079e562f8ead2522c6b7b": "4f021db243bc633d7178183a9fa071e8b4d9ada9ad7dedf4e5e738763f69145a571b242012fb7ae07fa9baac3df102e008b0e27988598881d920a9e64f5615cd",
+        "603deb1015ca71be2b73aef0857d77811f352c073b6108d72d9810a30914dff4": "f58c4c04d6e5f1ba779eabfb5f7bfbd69cfc4e967edb808d679f777bc6702c7d39f23369a9d9bacfa530e26304231461b2eb05e2c39be9fcda6c19078c6a9d1b",
+    }
+    iv = "000102030405060708090a0b0c0d0e0f"
+    rows = [(key, iv, x[: 32 * n], text[: 32 * n]) for key, x in sealed.items() for n in (1, 2, 4)]
+    rows += [("2b7e", iv, "00" * 16, None), (rows[0][0], "00", "00" * 16, None), (rows[0][0], iv, "00" * 15, None), (rows[0][0], iv, "", None), (None, iv, "00" * 16, None), (rows[0][0], iv, None, None)]
+    df = spark.createDataFrame(rows, "k string, v string, x string, want string")
+    got = df.select(F.lower(F.hex(html.decrypted_bytes(F.unhex("x"), F.unhex("k"), F.unhex("v")))).alias("got"), "want").collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
+def test_encoded_pages_find_their_scripts(spark):
+    key, iv = "2b7e151628aed2a6abf7158809cf4f3c", "000102030405060708090a0b0c0d0e0f"
+    sealed = spark.sql(f"SELECT base64(substring(aes_encrypt(concat(encode('a.jpg,,b.jpg', 'utf-8'), x'00000000'), unhex('{key}'), 'CBC', 'PKCS', unhex('{iv}')), 17, 16))").first()[0]
+    script = f'var key = CryptoJS.enc.Hex.parse("{key}");var iv = CryptoJS.enc.Hex.parse("{iv}");'
+    lists = f"<script>var imgsrcs = '{sealed}';</script>"
+    file = '<script src="/j/chapter.js"></script>'
+    pages = [(1, file + lists), (2, lists + "<script src='/j/chapter.js'></script><script src='/j/other/chapter.js'></script>"), (3, lists), (4, file), (5, lists + '<script src="/gone/chapter.js"></script>'), (6, lists + '<script src="/keyless/chapter.js"></script>'), (7, file + "<script>imgsrcs</script>" + lists), (8, None)]
+    scripts = spark.createDataFrame([("https://h/j/chapter.js", script), ("https://h/j/chapter.js", script), ("https://h/keyless/chapter.js", "var iv"), ("https://h/none/chapter.js", None)], "url string, script string")
+    got = html.encoded_pages(spark.createDataFrame([(i, "https://h/p", x) for i, x in pages], "page_id long, url string, html string"), scripts).collect()
+    assert sorted(tuple(r) for r in got) == [(p, i, u) for p in (1, 2) for i, u in ((0, "a.jpg"), (2, "b.jpg"))]
