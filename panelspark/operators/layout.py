@@ -1,4 +1,4 @@
-"""Layout estimates: font size by bisection, padding, greedy word wrap with shrinking. Widths follow a fixed advance."""
+"""Layout estimates: font size by bisection, padding, greedy word wrap with shrinking over a table of character widths."""
 
 from __future__ import annotations
 
@@ -8,8 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelspark.functions import text as X
+
 #: Advance and line height in font sizes, usable share of a box, halvings.
 ADVANCE, LEADING, USABLE, HALVINGS = 0.52, 1.2, 0.95, 64
+#: In thousandths of a font size: the advance of a character that the width table lacks, and the height of a capital.
+USUAL, CAPITAL = 520, 700
 
 
 @F.pandas_udf(T.DoubleType())
@@ -39,46 +43,85 @@ def padding(size: Column, stroke: Column) -> Column:
     return F.greatest(size * 0.3 + size * stroke, F.lit(15.0))
 
 
-def wrapped(text: str, width: float, size: int) -> list[str]:
-    """Greedy lines; a word wider than a line is cut at the longest prefix that fits with its hyphen, one character at least."""
-    room = max(1, int(width * USABLE / (ADVANCE * size)))
-    out, line = [], ""
-    for word in text.split():
-        while True:
-            if len(line) + bool(line) + len(word) <= room:
-                line += " " * bool(line) + word
-                break
-            if line:
-                out.append(line)
-                line = ""
-            if len(word) <= room:
-                line = word
-                break
-            head = max(1, room - 1)
-            out.append(word[:head] + "-")
-            word = word[head:]
-    return [*out, line] if line else out
-
-
-def fitted(text: str, box_w: float, box_h: float, start: int) -> tuple[int, list[str]]:
-    """(size, lines): the first size from ``start`` down, above 8, at which the lines fit the box; else the last tried."""
-    words, size, lines = text.split(), start, []
-    while size > 8:
-        gap = int(size * 0.45) + size * 0.7
-        if len(words) <= 1:
-            lines, stroke = words, max(2, int(size * 0.08))
-            if not words or (len(words[0]) * ADVANCE * size + 2 * stroke <= box_w * 1.5 and gap + 2 * stroke <= box_h * 1.2):
-                break
-            size -= 2
-        else:
-            lines = wrapped(text, box_w, size)
-            if len(lines) * gap <= box_h * USABLE:
-                break
-            size -= 1
-    return size, lines
-
-
-@F.pandas_udf(T.StructType([T.StructField("size", T.IntegerType()), T.StructField("lines", T.ArrayType(T.StringType()))]))
-def fit_text(text: pd.Series, box_w: pd.Series, box_h: pd.Series, start: pd.Series) -> pd.DataFrame:
-    got = [fitted(t or "", w, h, int(s)) for t, w, h, s in zip(text, box_w, box_h, start)]
-    return pd.DataFrame({"size": pd.Series([g[0] for g in got], dtype="int32"), "lines": [g[1] for g in got]})
+def advance_of(char: Column, widths: list[int]) -> Column:
+    """A character's advance in thousandths of the font size, by its code point; ``USUAL`` where the table has none."""
+    return F.coalesce(F.get(F.array(*map(F.lit, widths)), F.ascii(char)), F.lit(USUAL)) if widths else F.lit(USUAL)
+
+
+def measured(word: Column, widths: list[int]) -> Column:
+    """(word, upto): upto[k] is the advance of the first k characters."""
+    upto = F.aggregate(F.split(word, ""), F.array(F.lit(0)), lambda a, c: F.array_append(a, F.element_at(a, -1) + advance_of(c, widths)))
+    return F.struct(word.alias("word"), upto.alias("upto"))
+
+
+def wrapped(words: Column, size: Column, room: Column, widths: list[int]) -> Column:
+    """The lines of ``measured`` words in a room in thousandths of a pixel. A word goes on the line while it fits. One wider than
+    the room starts a line of its own and is cut at its longest beginnings that fit with a hyphen, one character at least;
+    what is left of it goes on as a word does."""
+    blank, hyphen = advance_of(F.lit(" "), widths), advance_of(F.lit("-"), widths)
+    empty = F.array().cast("array<string>")
+
+    def pieces(x: Column) -> Column:
+        upto = lambda k: F.get(x["upto"], k)
+        size_of = F.size(x["upto"]) - 1
+
+        def cut(a: Column, j: Column) -> Column:
+            fits = (upto(size_of) - upto(a["at"])) * size <= room
+            next_fits = (upto(j + 1) - upto(a["at"]) + hyphen) * size <= room
+            piece = F.concat(F.substring(x["word"], a["at"] + 1, j - a["at"]), F.lit("-"))
+            return F.when(fits | next_fits, a).otherwise(F.struct(j.alias("at"), F.array_append(a["lines"], piece).alias("lines")))
+
+        return F.aggregate(F.when(size_of > 1, F.sequence(F.lit(1), size_of - 1)).otherwise(F.array().cast("array<int>")), F.struct(F.lit(0).alias("at"), empty.alias("lines")), cut)
+
+    def closed(a: Column) -> Column:
+        return F.when(a["line"].isNull(), a["lines"]).otherwise(F.array_append(a["lines"], a["line"]))
+
+    state = lambda lines, line, width: F.struct(lines.alias("lines"), line.cast("string").alias("line"), width.cast("int").alias("width"))
+
+    def step(a: Column, x: Column) -> Column:
+        whole = F.element_at(x["upto"], -1)
+        broken = F.transform(F.array(pieces(x)), lambda p: state(F.concat(closed(a), p["lines"]), F.substring(x["word"], p["at"] + 1, F.length(x["word"])), whole - F.get(x["upto"], p["at"])))[0]
+        new = F.when(a["line"].isNotNull() & ((a["width"] + blank + whole) * size <= room), state(a["lines"], F.concat(a["line"], F.lit(" "), x["word"]), a["width"] + blank + whole)).otherwise(state(closed(a), x["word"], whole))
+        return F.when(whole * size > room, broken).otherwise(new)
+
+    return F.aggregate(words, state(empty, F.lit(None), F.lit(0)), step, closed)
+
+
+def gap_of(size: Column) -> Column:
+    """Distance of lines: the height of a capital and 0.45 of the size, cut to whole pixels."""
+    return size * (CAPITAL / 1000) + (size * 0.45).cast("int")
+
+
+def fit_text(text: Column, box_w: Column, box_h: Column, start: Column, widths: list[int]) -> Column:
+    """(size, lines): the first size from ``start`` down, above 8, at which the lines fit the box.
+
+    More than one word: sizes fall by one and, if none fits, the last one's lines stay. One word: sizes fall by two, it may
+    exceed the box somewhat, and there is no line if none fits. Without words there is no line. Sizes at which the words'
+    plain length already needs too many lines are passed over unwrapped."""
+    room = box_w * (USABLE * 1000)
+    hyphen = advance_of(F.lit("-"), widths)
+    result = lambda size, lines, done: F.struct(size.cast("int").alias("size"), lines.alias("lines"), done.alias("done"))
+    none = F.array().cast("array<string>")
+
+    def all_of(words: Column) -> Column:
+        total = F.aggregate(words, F.lit(0), lambda a, x: a + F.element_at(x["upto"], -1))
+        widest = max([USUAL, *widths])
+
+        def one(a: Column, size: Column) -> Column:
+            stroke = F.greatest(F.lit(2), (size * 0.08).cast("int"))
+            fits = (total * size / 1000 + 2 * stroke <= box_w * 1.5) & (gap_of(size) + 2 * stroke <= box_h * 1.2)
+            return F.when(a["done"], a).when(fits, result(size, F.array(words[0]["word"]), F.lit(True))).otherwise(result(size - 2, none, F.lit(False)))
+
+        def many(a: Column, size: Column) -> Column:
+            most = F.floor(box_h * USABLE / gap_of(size))
+            hopeless = ((widest + hyphen) * size <= room) & (total * size > room * most) & (size > 9)
+            tried = F.transform(F.array(wrapped(words, size, room, widths)), lambda lines: result(F.when(F.size(lines) * gap_of(size) <= box_h * USABLE, size).otherwise(size - 1), lines, F.size(lines) * gap_of(size) <= box_h * USABLE))[0]
+            return F.when(a["done"], a).when(hopeless, result(size - 1, none, F.lit(False))).otherwise(tried)
+
+        sizes = lambda by: F.when(start > 8, F.sequence(start, F.least(start, F.lit(9)), F.lit(-by))).otherwise(F.array().cast("array<int>"))
+        first = result(start, none, F.lit(False))
+        found = F.when(F.size(words) == 0, first).when(F.size(words) == 1, F.aggregate(sizes(2), first, one)).otherwise(F.aggregate(sizes(1), first, many))
+        return F.struct(found["size"].alias("size"), found["lines"].alias("lines"))
+
+    words = F.transform(X.words(F.coalesce(text, F.lit(""))), lambda w: measured(w, widths))
+    return F.transform(F.array(words), all_of)[0]

@@ -94,9 +94,14 @@ def safe_padding(spark, d):
     return rows.select("page_id", "line_no", stroke.alias("stroke"), F.round(Y.padding(size, stroke), 6).alias("padding"))
 
 
+#: A width table by rule for the characters up to U+017F: what it lacks has the usual advance.
+WIDTHS = [340 + 60 * (code % 7) for code in range(0x180)]
+
+
 def word_wrap(spark, d):
     rows = L.text_lines(spark, d).where("raw_text <> ''")
-    got = Y.fit_text("raw_text", (F.col("x2") - F.col("x1")).cast("double"), (F.col("y2") - F.col("y1")).cast("double") * 3, F.lit(40))
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id", "line_no")
+    got = Y.fit_text(F.col("raw_text"), (F.col("x2") - F.col("x1")).cast("double"), (F.col("y2") - F.col("y1")).cast("double") * 3, F.lit(40), WIDTHS)
     return rows.select("page_id", "line_no", got.alias("f")).select("page_id", "line_no", F.col("f.size").alias("font_size"), F.size("f.lines").alias("n_lines"), F.array_join("f.lines", "\n").alias("text"))
 
 
@@ -157,5 +162,40 @@ SELECT img_id, CASE WHEN n < 16 THEN 0 ELSE deg END AS slant FROM k WHERE k = 1"
 ) SELECT page_id, line_no, round(r.best, 6) AS font_size FROM s""",
     "safe_padding": _LINE + r""", s AS (SELECT page_id, line_no, y2 - y1 + line_no % 120 AS f, len(list_filter(regexp_split_to_array(raw_text, '\s+'), lambda w: w <> '')) <= 1 AS one FROM fx_lines),
 k AS (SELECT *, CAST(CASE WHEN one THEN greatest(2, trunc(f * 0.08::DOUBLE)) ELSE greatest(1, trunc(f * 0.05::DOUBLE)) END AS INT) AS stroke FROM s) SELECT page_id, line_no, stroke, round(greatest(f * 0.3::DOUBLE + f * stroke, 15.0::DOUBLE), 6) AS padding FROM k""",
+    "word_wrap": L.with_views("fx_lines", recursive=True) + r""", l AS (
+  SELECT page_id, line_no, list_filter(regexp_split_to_array(raw_text, '\s+'), lambda w: w <> '') AS ws, (x2 - x1)::DOUBLE AS w, (y2 - y1)::DOUBLE * 3 AS h FROM fx_lines WHERE raw_text <> ''
+), c AS (
+  SELECT page_id, line_no, k, word, list_transform(range(0, length(word) + 1), lambda n: coalesce(list_sum(list_transform(string_split(left(word, n), ''), lambda x: CASE WHEN x = '' THEN 0 WHEN unicode(x) < 384 THEN 340 + 60 * (unicode(x) % 7) ELSE 520 END)), 0)::BIGINT) AS upto
+  FROM (SELECT page_id, line_no, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM l)
+), u AS (SELECT page_id, line_no, sum(upto[len(upto)]) AS total FROM c GROUP BY page_id, line_no),
+s AS ( -- a line is no longer than the room, as two characters always fit; sizes at which the words alone need too many lines are left out
+  SELECT z.* FROM (SELECT page_id, line_no, w * 950 AS room, h, len(ws) AS n, unnest(range(9, 41)) AS size FROM l WHERE len(ws) > 1) z JOIN u ON z.page_id = u.page_id AND z.line_no = u.line_no
+  WHERE z.size = 9 OR total * z.size <= room * floor(h * 0.95::DOUBLE / (z.size * 0.7::DOUBLE + trunc(z.size * 0.45::DOUBLE)))
+), r AS (
+  SELECT page_id, line_no, size, 1::BIGINT AS k, 0::BIGINT AS p, []::VARCHAR[] AS lines, NULL::VARCHAR AS line, 0::BIGINT AS width, room, n FROM s
+  UNION ALL
+  SELECT page_id, line_no, size, CASE WHEN cut IS NULL THEN k + 1 ELSE k END, CASE WHEN cut IS NULL THEN 0 ELSE p + cut END,
+         CASE WHEN cut IS NOT NULL THEN list_append(CASE WHEN line IS NULL THEN lines ELSE list_append(lines, line) END, substr(word, p + 1, cut) || '-')
+              WHEN p > 0 OR line IS NULL OR (width + 580 + rest) * size <= room THEN lines ELSE list_append(lines, line) END,
+         CASE WHEN cut IS NOT NULL THEN NULL WHEN p > 0 OR line IS NULL OR (width + 580 + rest) * size > room THEN substr(word, p + 1) ELSE line || ' ' || word END,
+         CASE WHEN cut IS NOT NULL THEN 0 WHEN p > 0 OR line IS NULL OR (width + 580 + rest) * size > room THEN rest ELSE width + 580 + rest END, room, n
+  FROM (
+    SELECT r.*, c.word, c.upto[len(c.upto)] - c.upto[r.p + 1] AS rest,
+           CASE WHEN (c.upto[len(c.upto)] - c.upto[r.p + 1]) * r.size > r.room AND length(c.word) - r.p > 1
+                THEN greatest(1, len(list_filter(range(1, length(c.word) - r.p), lambda i: (c.upto[r.p + i + 1] - c.upto[r.p + 1] + 520) * r.size <= r.room))) END AS cut
+    FROM r JOIN c ON r.page_id = c.page_id AND r.line_no = c.line_no AND r.k = c.k
+  )
+), t AS (
+  SELECT s.page_id, s.line_no, s.size, list_append(r.lines, r.line) AS lines, len(r.lines) + 1 AS m, (len(r.lines) + 1) * (s.size * 0.7::DOUBLE + trunc(s.size * 0.45::DOUBLE)) <= s.h * 0.95::DOUBLE AS fits
+  FROM s JOIN r ON s.page_id = r.page_id AND s.line_no = r.line_no AND s.size = r.size AND r.k = s.n + 1
+), best AS (SELECT page_id, line_no, coalesce(max(size) FILTER (WHERE fits), 9) AS size, bool_or(fits) AS fits FROM t GROUP BY page_id, line_no),
+one AS (
+  SELECT l.page_id, l.line_no, c.word, max(z.size) FILTER (WHERE c.upto[len(c.upto)] * z.size / 1000 + 2 * greatest(2, trunc(z.size * 0.08::DOUBLE)) <= l.w * 1.5::DOUBLE
+           AND z.size * 0.7::DOUBLE + trunc(z.size * 0.45::DOUBLE) + 2 * greatest(2, trunc(z.size * 0.08::DOUBLE)) <= l.h * 1.2::DOUBLE) AS size
+  FROM l JOIN c ON l.page_id = c.page_id AND l.line_no = c.line_no, (SELECT unnest(range(10, 41, 2)) AS size) z WHERE len(l.ws) = 1 GROUP BY ALL
+)
+SELECT b.page_id, b.line_no, CAST(CASE WHEN b.fits THEN b.size ELSE 8 END AS INT) AS font_size, CAST(t.m AS INT) AS n_lines, array_to_string(t.lines, chr(10)) AS text FROM best b JOIN t ON b.page_id = t.page_id AND b.line_no = t.line_no AND b.size = t.size
+UNION ALL SELECT page_id, line_no, CAST(coalesce(size, 8) AS INT), CASE WHEN size IS NULL THEN 0 ELSE 1 END, CASE WHEN size IS NULL THEN '' ELSE word END FROM one
+UNION ALL SELECT page_id, line_no, 40, 0, '' FROM l WHERE len(ws) = 0""",
     "geometry": _LINE + ", g AS (SELECT *, (x2 - x1)::DOUBLE AS dx, angle * 2 AS dy, (y2 - y1)::DOUBLE AS h FROM fx_lines) SELECT page_id, line_no, round(degrees(atan2(dy, dx)), 6) AS tilt, round((sqrt((dy / 4) * (dy / 4) + h * h) + sqrt((dy / 4) * (dy / 4) + (h + 1) * (h + 1))) / 2, 6) AS true_height, CAST(greatest(0, trunc(x1 / 2)) AS INT) AS left, CAST(least(400, trunc(x2 / 2)) AS INT) AS right, CAST(floor((x1 - x2) / 2) AS INT) AS shift FROM g",
 }

@@ -108,20 +108,6 @@ def test_color_pair_is_a_stable_split(spark):
         assert np.abs(rgb[near].mean(axis=0) - text).max() <= 0.51 and np.abs(rgb[~near].mean(axis=0) - other).max() <= 0.51
 
 
-def test_word_wrap(spark):
-    lines = {(r.page_id, r.line_no): r for r in L.text_lines(spark, SMALL).where("raw_text <> ''").collect()}
-    rows = imaging.word_wrap(spark, SMALL).collect()
-    assert {(r.page_id, r.line_no) for r in rows} == set(lines)
-    for r in rows[:400]:
-        line = lines[r.page_id, r.line_no]
-        width, words = line.x2 - line.x1, line.raw_text.split()
-        out = r.text.split("\n") if words else []
-        assert r.n_lines == len(out) and (len(words) == 1 or layout.wrapped(line.raw_text, width, max(9, r.font_size)) == out)
-        joined = "".join(x[:-1] if x.endswith("-") and not any(w.endswith("-") for w in words) else x + " " for x in out)
-        if not any("-" in w for w in words):
-            assert joined.split() == words
-
-
 def test_chapter_archives(spark):
     want = {}
     for r in L.image_info(spark, SMALL).collect():

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -112,11 +114,56 @@ def test_two_colours():
     assert raster.color_pair(noise) == raster.color_pair(noise)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.text("ab cde", max_size=60), st.integers(20, 200), st.integers(9, 40))
-def test_wrap_keeps_all_letters(text, width, size):
-    got = "".join(layout.wrapped(text, width, size)).replace("-", "").replace(" ", "")
-    assert got == text.replace(" ", "")
+def slow_lines(text, room, size, widths):
+    """Greedy lines, letter by letter."""
+    wide = lambda x: sum(widths[ord(c)] if ord(c) < len(widths) else layout.USUAL for c in x) * size
+    lines, line = [], ""
+    for word in text.split():
+        if wide(word) <= room:
+            both = f"{line} {word}" if line else word
+            if wide(both) <= room:
+                line = both
+            else:
+                lines, line = [*lines, line], word
+            continue
+        lines, line = ([*lines, line] if line else lines), ""
+        while wide(word) > room and len(word) > 1:
+            n = max((i for i in range(1, len(word)) if wide(word[:i] + "-") <= room), default=1)
+            lines, word = [*lines, word[:n] + "-"], word[n:]
+        line = word
+    return [*lines, line] if line else lines
+
+
+def slow_fit(text, w, h, start, widths):
+    words, size, lines = text.split(), start, []
+    if not words:
+        return start, []
+    while size > 8:
+        gap = size * 0.7 + int(size * 0.45)
+        if len(words) == 1:
+            stroke = max(2, int(size * 0.08))
+            wide = sum(widths[ord(c)] if ord(c) < len(widths) else layout.USUAL for c in words[0])
+            if wide * size / 1000 + 2 * stroke <= w * 1.5 and gap + 2 * stroke <= h * 1.2:
+                return size, words
+            size -= 2
+            continue
+        lines = slow_lines(text, w * 950.0, size, widths)
+        if len(lines) * gap <= h * 0.95:
+            break
+        size -= 1
+    return size, lines
+
+
+def test_text_is_fitted_like_letter_by_letter(spark):
+    r = random.Random(8)
+    widths = [r.choice([250, 400, 520, 900]) for _ in range(256)]
+    rows = [("", 50.0, 20.0, 30), ("one", 50.0, 40.0, 30), ("enormouslylongword", 10.0, 9.0, 12), ("a b", 1.0, 1.0, 9), ("a b", 100.0, 100.0, 8), ("word", 10.0, 10.0, 7), (None, 9.0, 9.0, 20), ("中文字 字", 30.0, 60.0, 25)]
+    for _ in range(250):
+        text = "".join(r.choice(["a", "b", "W", "i", " ", " ", "é", "\t", "-", "ß"]) for _ in range(r.randrange(0, 70)))
+        rows.append((text, float(r.randrange(1, 300)), float(r.randrange(1, 150)), r.randrange(7, 45)))
+    df = spark.createDataFrame(rows, "t string, w double, h double, s int").repartition(4)
+    for x in df.select("*", layout.fit_text(F.col("t"), F.col("w"), F.col("h"), F.col("s"), widths).alias("f")).collect():
+        assert (x.f["size"], x.f["lines"]) == slow_fit(x.t or "", x.w, x.h, x.s, widths), x
 
 
 def test_html_of_bad_pages():
