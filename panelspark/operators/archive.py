@@ -1,37 +1,144 @@
-"""Archives and logs: zip files of a chapter's members, and JSON logs, as binary or text columns for any writer."""
+"""Archives and logs of any length: a file is a table of segments in order, made by all tasks, and a sink that keeps the order.
+
+A zip file is the members' own headers and data, one after another, then a directory that says where each begins. Members are
+deflated as rows. Where each begins is a running sum over the members' sizes alone, and the directory is made of those sums, so
+that no task holds an archive. Large archives have the wide form of the directory.
+"""
 
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
+import zlib
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from panelspark.operators import chains
+from panelspark.storage import materialize
+
+#: Fixed values of the format: flag of names in UTF-8, method, date (1980-01-01), bytes of a member's header without its name,
+#: members and bytes from which on the wide form is needed, and what the narrow form then says.
+UTF8_NAMES, DEFLATED, DATE, LOCAL, WIDE_ROWS, WIDE, ELSEWHERE = 0x800, 8, 0x21, 30, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF
+
+
+def little_endian(x: Column, n: int) -> Column:
+    """The n low bytes of a whole number, lowest first."""
+    return F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(x.cast("long"), 8 * i).bitwiseAND(F.lit(255))), 2, "0") for i in range(n))))
+
+
+def _fields(*pairs: tuple[object, int]) -> Column:
+    return F.concat(*(little_endian(x if isinstance(x, Column) else F.lit(x), n) for x, n in pairs))
+
+
+def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):  # one member at a time is in memory twice
+            row = batch.slice(k, 1)
+            squeeze = zlib.compressobj(6, zlib.DEFLATED, -15)
+            data = squeeze.compress(row.column("content")[0].as_py() or b"") + squeeze.flush()
+            yield pa.RecordBatch.from_arrays([*row.columns, pa.array([data], pa.binary())], [*row.schema.names, "data"])
+
+
+def segments(members: DataFrame) -> DataFrame:
+    """(chapter_id, start, bytes) of (chapter_id, name, content): each chapter's archive, cut into its members and the parts of
+    its directory, in order of ``start``. Members stand in order of their names, with fixed times, so that equal
+    input gives equal bytes; names that repeat stay. A null content is empty; chapters without members have no archive."""
+    rows = members.select("chapter_id", F.coalesce(F.col("name"), F.lit("")).alias("name"), F.col("content").cast("binary").alias("content"), F.monotonically_increasing_id().alias("row"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("data", T.BinaryType())])
+    packed = rows.mapInArrow(_deflated, schema)
+    empty = F.to_binary(F.lit(""), F.lit("utf-8"))
+    packed = materialize(packed.select("chapter_id", "row", "name", F.crc32(F.coalesce("content", empty)).alias("crc"), F.coalesce(F.octet_length("content"), F.lit(0)).alias("size"), F.octet_length("data").alias("packed"), "data"), "packed")
+    name = F.encode("name", "utf-8")
+    length = F.octet_length(name)
+    about = packed.drop("data").withColumn("span", LOCAL + length + F.col("packed"))
+    placed = materialize(chains.placed(about, ["chapter_id"], ["name", "row"], "span", chains.is_short(about, ["chapter_id"])), "members")
+    common = ((UTF8_NAMES, 2), (DEFLATED, 2), (0, 2), (DATE, 2), (F.col("crc"), 4), (F.col("packed"), 4), (F.col("size"), 4), (length, 2))
+    local = F.concat(_fields((0x04034B50, 4), (20, 2), *common, (0, 2)), name, F.col("data"))
+    own = chains.joined(placed, packed.select("chapter_id", "row", "data"), ["chapter_id"], on=[("row", "row")])
+    first = own.select("chapter_id", F.col("before").alias("start"), local.alias("bytes"))
+
+    far = F.col("before") >= WIDE
+    narrow = lambda x: F.when(x >= WIDE, ELSEWHERE).otherwise(x)
+    wide = F.when(far, _fields((1, 2), (8, 2), (F.col("before"), 8))).otherwise(empty)
+    entry = F.concat(_fields((0x02014B50, 4), (45, 2), (F.when(far, 45).otherwise(20), 2), *common), _fields((F.when(far, 12).otherwise(0), 2), (0, 2), (0, 2), (0, 2), (0, 4), (narrow(F.col("before")), 4)), name, wide)
+    entries = placed.select("chapter_id", "place", "span", entry.alias("bytes")).withColumn("long", F.octet_length("bytes"))
+    listed = chains.placed(entries.withColumnRenamed("place", "of"), ["chapter_id"], ["of"], "long", chains.is_short(entries, ["chapter_id"]))
+    ends = entries.groupBy("chapter_id").agg(F.count("*").alias("n"), F.sum("span").alias("at"), F.sum("long").alias("listed"))
+    second = chains.joined(listed.select("chapter_id", "before", "bytes"), ends, ["chapter_id"]).select("chapter_id", (F.col("before") + F.col("at")).alias("start"), "bytes")
+
+    n, at, size = F.col("n"), F.col("at"), F.col("listed")
+    large = (n >= WIDE_ROWS) | (at >= WIDE) | (size >= WIDE)
+    record = _fields((0x06064B50, 4), (44, 8), (45, 2), (45, 2), (0, 4), (0, 4), (n, 8), (n, 8), (size, 8), (at, 8))
+    finder = _fields((0x07064B50, 4), (0, 4), (at + size, 8), (1, 4))
+    rows = F.when(n >= WIDE_ROWS, ELSEWHERE & 0xFFFF).otherwise(n)
+    closing = _fields((0x06054B50, 4), (0, 2), (0, 2), (rows, 2), (rows, 2), (narrow(size), 4), (narrow(at), 4), (0, 2))
+    third = ends.select("chapter_id", (at + size).alias("start"), F.concat(F.when(large, F.concat(record, finder)).otherwise(empty), closing).alias("bytes"))
+    return first.unionByName(second).unionByName(third)
+
+
+def archives(members: DataFrame) -> DataFrame:
+    """(chapter_id, archive): the segments of each chapter joined, for archives that fit a row."""
+    return segments(members).groupBy("chapter_id").agg(F.expr("listagg(bytes) WITHIN GROUP (ORDER BY start)").alias("archive"))
+
+
+def read_archives(archived: DataFrame) -> DataFrame:
+    """(chapter_id, pos, name, content) of (chapter_id, archive), in the directory's order, checksums verified. A null archive
+    has no members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chapter, data in zip(batch.column("chapter_id"), batch.column("archive")):
+                if not data.is_valid:
+                    continue
+                with zipfile.ZipFile(io.BytesIO(data.as_py())) as z:
+                    for pos, info in enumerate(z.infolist()):
+                        yield pa.RecordBatch.from_arrays([pa.array([chapter.as_py()], batch.schema.field("chapter_id").type), pa.array([pos], pa.int64()), pa.array([info.filename]), pa.array([z.read(info)], pa.binary())], ["chapter_id", "pos", "name", "content"])
+
+    kind = archived.schema["chapter_id"].dataType.simpleString()
+    return archived.select("chapter_id", "archive").mapInArrow(run, f"chapter_id {kind}, pos long, name string, content binary")
+
+
+def log_lines(rows: DataFrame, key: str, index: str, text: str) -> DataFrame:
+    """(key, start, line) of a JSON array of texts for each key, by ``index`` from 0 without gaps: an entry is a line of its own,
+    the brackets belong to the first and the last line. A null text is null."""
+    last = rows.groupBy(key).agg(F.max(index).alias("last"))
+    met = chains.joined(rows.select(key, F.col(index).alias("start"), F.col(text).alias("entry")), last, [key])
+    told = F.to_json(F.array(F.col("entry")), {"ignoreNullFields": "false"})
+    line = F.concat(F.when(F.col("start") == 0, "[\n").otherwise(""), F.lit("    "), F.substring(told, 2, F.length(told) - 2), F.when(F.col("start") == F.col("last"), "\n]").otherwise(","), F.lit("\n"))
+    return met.select(key, "start", line.alias("line"))
 
-#: Members in one archive; a longer chapter has several, so that no task holds an unbounded one.
-MEMBERS = 500
 
+def write_ordered(rows: DataFrame, key: str, folder: str) -> DataFrame:
+    """Write (key, start, ...) as files that follow one another, and return the manifest (key, file, first, last, n_rows).
 
-def zip_bytes(names: list[str], contents: list[bytes]) -> bytes:
-    """A deflated archive with members in name order and fixed times, so that equal input gives equal bytes."""
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, data in sorted(zip(names, contents)):
-            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data, zipfile.ZIP_DEFLATED)
-    return out.getvalue()
+    Rows are range-sorted by key and start, so that a key of any length has as many files as it needs and short ones share
+    one. The manifest is written last: what is not in it is not part of the sink, whatever tasks were tried twice."""
+    spark = rows.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    data = f"{folder}/data-{uuid.uuid4().hex}"
+    rows.repartitionByRange(width, key, "start").sortWithinPartitions(key, "start").write.parquet(data)
+    files = spark.read.schema(rows.schema).parquet(data).groupBy(key, F.col("_metadata.file_path").alias("file")).agg(F.min("start").alias("first"), F.max("start").alias("last"), F.count("*").alias("n_rows"))
+    files.write.mode("append").parquet(f"{folder}/manifest")
+    return read_manifest(spark, folder)
 
 
-def _zipped(table: pa.Table) -> pa.Table:
-    data = zip_bytes(table.column("name").to_pylist(), table.column("content").to_pylist())
-    return pa.table({"chapter_id": table.column("chapter_id").slice(0, 1), "part": table.column("part").slice(0, 1), "n_members": pa.array([table.num_rows], pa.int64()), "archive": pa.array([data], pa.binary())})
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/manifest")
 
 
-def archives(members: DataFrame, per_archive: int = MEMBERS) -> DataFrame:
-    """(chapter_id, part, n_members, archive) of (chapter_id, idx, name, content). Empty chapters have none."""
-    parted = members.withColumn("part", F.floor(F.col("idx") / per_archive))
-    kind = members.schema["chapter_id"].dataType.simpleString()
-    return parted.select("chapter_id", "part", "name", "content").groupBy("chapter_id", "part").applyInArrow(_zipped, f"chapter_id {kind}, part long, n_members long, archive binary")
+def read_ordered(spark: SparkSession, folder: str, key: str, what: str) -> DataFrame:
+    """(key, what): the sink's rows of each key joined in order, for keys whose text or bytes fit a row."""
+    manifest = read_manifest(spark, folder)
+    files = [r["file"] for r in manifest.select("file").distinct().collect()]  # as many as the writer had tasks
+    rows = spark.read.parquet(*files) if files else None
+    if rows is None:
+        return manifest.select(key, F.lit(None).cast("string").alias(what))
+    return rows.groupBy(key).agg(F.expr(f"listagg({what}) WITHIN GROUP (ORDER BY start)").alias(what))
 
 
 def write_pages(rows: DataFrame, folder: str) -> None:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import text as X
+from panelspark.storage import materialize
 
 #: Sound words and their translations.
 SOUNDS = {"DROP": "JATUH", "BAM": "DUAG", "WHOOSH": "WUSSS", "SLAP": "PLAK", "SIGH": "HAHH", "UHH": "EHH", "SPRING": "SPRING", "SHOCKED": "KAGET"}
@@ -79,6 +83,19 @@ def typeset_kept(words: Column, line_height: Column, angle: Column, estimate: Co
     return ~tilted & (estimate <= 120) & (box_w >= 6) & (box_h >= 6)
 
 
-def first_verified(replies: list[Column], expected: Column, source: Column) -> Column:
-    """The first reply whose answers match in number; the source texts if none does."""
-    return F.coalesce(*(X.verified_answers(r, expected) for r in replies), source)
+def attempted(units: DataFrame, key: str, attempts: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """(key, attempt, answers) of (key, expected, source): the answers of the first attempt, from 1, whose reply has as many as
+    expected; the source's texts, with a null attempt, where none has.
+
+    An attempt is a function of the units that are still open, with columns (key, reply) as its result. What it replies is
+    written before it is judged: an attempt may be a paid call, and is made once for each unit that all before it
+    left open. Units without a reply stay open; of several replies to one unit the first that is verified, by text, counts."""
+    left, done = units.select(key, "expected", "source"), []
+    for number, attempt in enumerate(attempts, 1):
+        replies = materialize(attempt(left).select(key, "reply"), "replies")
+        judged = left.join(replies, key).withColumn("answers", X.verified_answers(F.col("reply"), F.col("expected"))).where("answers is not null")
+        judged = materialize(judged.groupBy(key).agg(F.min_by("answers", "reply").alias("answers")), "answers")
+        done.append(judged.select(key, F.lit(number).alias("attempt"), "answers"))
+        left = materialize(left.join(judged, key, "left_anti"), "open")
+    done.append(left.select(key, F.lit(None).cast("int").alias("attempt"), F.col("source").alias("answers")))
+    return reduce(DataFrame.unionByName, done)

@@ -47,9 +47,9 @@ def default_projection(spark, d):
 
 
 def chapter_archives(spark, d):
-    """Each chapter's page names as a zip; its size and checksum stand for the bytes."""
-    rows = L.image_info(spark, d).select("chapter_id", "idx", F.concat(F.lit("page_"), X.zero_filled(F.col("idx")), F.lit(".txt")).alias("name"), F.concat_ws("x", "w", "h").cast("binary").alias("content"))
-    return K.archives(rows).select("chapter_id", "part", "n_members", F.crc32("archive").alias("crc32"))
+    """Each chapter's page names as one zip, read back."""
+    rows = L.image_info(spark, d).select("chapter_id", F.concat(F.lit("page_"), X.zero_filled(F.col("idx")), F.lit(".txt")).alias("name"), F.concat_ws("x", "w", "h").cast("binary").alias("content"))
+    return K.read_archives(K.archives(rows)).select("chapter_id", "pos", "name", F.decode("content", "utf-8").alias("content"))
 
 
 def _quads(spark, d):
@@ -121,6 +121,8 @@ SELECT page_id, pos, CAST(10 + pos AS INT) AS low, CAST(40 + pos AS INT) AS high
     "failed_pages": """WITH p AS (SELECT regexp_extract(url, '://([^/?#]+)', 1) AS host, len(regexp_extract_all(html, '<a href="([^"]+)"', 1)) AS n FROM pages WHERE trim(url) <> '') SELECT host, count(*) AS n_pages, CAST(sum(n) AS BIGINT) AS n_links FROM p WHERE n > 0 GROUP BY host""",
     "mask_union": L.with_views("fx_tiles") + " SELECT img_id, CAST(sum(CASE WHEN g < 100 OR abs(x - y) <= 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_masked FROM fx_tiles GROUP BY img_id",
     "dark_counts": L.with_views("fx_tiles") + " SELECT img_id, count(*) FILTER (WHERE g <= 128) AS dark, count(*) FILTER (WHERE g > 128) AS light, CAST(sum(g) AS BIGINT) AS weighted FROM fx_tiles GROUP BY img_id",
+    "chapter_archives": L.with_views("fx_images") + """, n AS (SELECT chapter_id, 'page_' || CASE WHEN idx < 1000 THEN lpad(idx::VARCHAR, 3, '0') ELSE idx::VARCHAR END || '.txt' AS name, w || 'x' || h AS content FROM fx_images)
+SELECT chapter_id, row_number() OVER (PARTITION BY chapter_id ORDER BY name) - 1 AS pos, name, content FROM n""",
     "ocr_polygons": L.with_views("fx_lines") + """, q AS (SELECT *, page_id + line_no AS k, x1 * 2.0::DOUBLE - 90 AS ax, y1 * 2.0::DOUBLE + 0.5::DOUBLE AS ay, x2 * 2.0::DOUBLE AS bx, y1 * 2.0::DOUBLE + angle * 2 AS b_y, x2 * 2.0::DOUBLE + 1 AS cx, y2 * 2.0::DOUBLE + angle * 2 AS cy, x1 * 2.0::DOUBLE AS dx, y2 * 2.0::DOUBLE AS dy FROM fx_lines)
 SELECT page_id, line_no AS pos, CAST(greatest(0, trunc(least(ax, bx, cx, dx) / 2)) AS INT) AS x1, CAST(greatest(0, trunc(least(ay, b_y, cy, dy) / 2)) AS INT) AS y1,
        CAST(least(500, trunc(greatest(ax, bx, cx, dx) / 2)) AS INT) AS x2, CAST(least(2000, trunc(greatest(ay, b_y, cy, dy) / 2)) AS INT) AS y2, round(degrees(atan2(b_y - ay, bx - ax)), 6) AS angle,

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import text as X
-from panelspark.operators import folds, routing as R
+from panelspark.operators import archive as K, folds, routing as R
 from panelspark.sources import landed as L
+from panelspark.storage import new_folder
 
 #: The event types stand for sound words here.
 WORDS = {"CLICK": "KLIK", "ERROR": "GALAT"}
@@ -128,24 +129,34 @@ def verify_answers(spark, d):
 
 
 def fallback_chain(spark, d):
-    late = F.array_join(F.transform("source", lambda t: F.upper(t)), f"\n{X.SEPARATOR}\n")
-    second = F.when(F.col("chapter_id") % 2 == 0, late)
-    return _replies(spark, d).select("chapter_id", F.posexplode(R.first_verified([F.col("reply"), second], F.col("expected"), F.col("source"))).alias("k", "answer"))
+    """Four attempts: the main service twice, then two others, each with an answer for some chapters only."""
+    units = _replies(spark, d)
+    joined = lambda x: F.array_join(x, f"\n{X.SEPARATOR}\n")
+    main = units.select("chapter_id", "reply")
+
+    def some(rest: int, change):
+        told = units.select("chapter_id", joined(F.transform("source", change)).alias("reply"))
+        return lambda left: left.where(F.col("chapter_id") % 4 == rest).select("chapter_id").join(told, "chapter_id")
+
+    attempts = [lambda left: left.select("chapter_id").join(main, "chapter_id"), some(0, F.upper), some(1, F.lower), some(2, lambda t: F.concat(F.lit("T "), t))]
+    return R.attempted(units, "chapter_id", attempts).select("chapter_id", "attempt", F.posexplode("answers").alias("k", "answer"))
+
+
+def _log(spark, d, entry):
+    """A chapter's log: the queue in order as a JSON array, written to files that follow one another, and read back."""
+    rows = R.numbered(R.routed(L.blocks(spark, d), WORDS)).where("sound is null").select("chapter_id", "ai_index", entry.alias("entry"))
+    folder = new_folder(spark, "log")
+    K.write_ordered(K.log_lines(rows, "chapter_id", "ai_index", "entry"), "chapter_id", folder)
+    return K.read_ordered(spark, folder, "chapter_id", "line").withColumnRenamed("line", "log")
 
 
 def ai_log_json(spark, d):
-    """A chapter's input log: the queue in order as a JSON array, in parts of 1,000 entries so that none is unbounded."""
-    rows = R.numbered(R.routed(L.blocks(spark, d), WORDS)).where("sound is null").withColumn("part", F.floor(F.col("ai_index") / 1000))
-    ordered = F.array_sort(F.collect_list(F.struct("ai_index", "text")))
-    return rows.groupBy("chapter_id", "part").agg(F.to_json(F.transform(ordered, lambda m: m["text"])).alias("log"))
+    return _log(spark, d, F.col("text"))
 
 
 def ai_output_json(spark, d):
-    """A chapter's output log: the answers in the queue's order, in the same parts as the input log."""
-    rows = R.numbered(R.routed(L.blocks(spark, d), WORDS)).where("sound is null").withColumn("part", F.floor(F.col("ai_index") / 1000))
-    answers = rows.select("chapter_id", "part", "ai_index", F.concat(F.lit("T:"), F.lower("text")).alias("answer"))
-    ordered = F.array_sort(F.collect_list(F.struct("ai_index", "answer")))
-    return answers.groupBy("chapter_id", "part").agg(F.to_json(F.transform(ordered, lambda m: m["answer"])).alias("log"))
+    """The answers in the queue's order."""
+    return _log(spark, d, F.concat(F.lit("T:"), F.lower("text")))
 
 
 _ROUTED = L.with_views("fx_blocks") + """, fx_routed AS (SELECT *, CASE text WHEN 'CLICK' THEN 'KLIK' WHEN 'ERROR' THEN 'GALAT' END AS sound FROM fx_blocks),
@@ -179,6 +190,7 @@ _REPLIES = r"""WITH r AS (
 ), fx_lines2 AS (SELECT *, list_transform(list_filter(string_split(reply, chr(10)), lambda v: trim(v) <> '' AND NOT contains(v, '130495848')), lambda v: """ + _answer("v") + r""") AS plain FROM fx_found
 ), fx_verified AS (SELECT *, CASE WHEN len(answers) = expected THEN answers WHEN len(plain) = expected THEN plain END AS got FROM fx_lines2)"""
 
+_LOG = " SELECT chapter_id, '[' || chr(10) || string_agg('    ' || to_json({x})::VARCHAR, ',' || chr(10) ORDER BY ai_index) || chr(10) || ']' || chr(10) AS log FROM fx_numbered WHERE sound IS NULL GROUP BY chapter_id"
 QUERIES = {f.__name__: f for f in (sfx_route, sound_words, ai_index, reattach, lone_word_pages, domain_dispatch, target_union, font_roles, font_files, typeset_filter, batch_outer, batch_inner, prompt_text, merge_groups, clean_answers, extract_answers, verify_answers, fallback_chain, ai_log_json, ai_output_json)}
 _WORDS = r"len(list_filter(regexp_split_to_array(raw_text, '\s+'), lambda w: w <> ''))"
 ORACLE = {
@@ -212,7 +224,7 @@ SELECT chapter_id, idx, group_no, scaled_h, CAST(coalesce(sum(scaled_h) OVER (PA
     "clean_answers": "WITH t AS (SELECT conv_id AS chapter_id, turn AS pos, CASE turn % 3 WHEN 0 THEN (turn + 1)::VARCHAR || ') ' || text WHEN 1 THEN ' Terjemahan: ' || text ELSE 'Note: ' || text END AS raw FROM conversations) SELECT chapter_id, pos, " + _answer("raw") + " AS answer FROM t",
     "extract_answers": _REPLIES + " SELECT chapter_id, CAST(generate_subscripts(answers, 1) - 1 AS INT) AS k, unnest(answers) AS answer FROM fx_found",
     "verify_answers": _REPLIES + " SELECT chapter_id, got IS NOT NULL AS verified, CAST(coalesce(len(got), -1) AS INT) AS n_answers FROM fx_verified",
-    "fallback_chain": _REPLIES + ", z AS (SELECT chapter_id, coalesce(got, CASE WHEN chapter_id % 2 = 0 THEN list_transform(source, lambda v: upper(replace(" + _STRIP.format(x="v") + ", 'ß', 'SS'))) END, source) AS a FROM fx_verified) SELECT chapter_id, CAST(generate_subscripts(a, 1) - 1 AS INT) AS k, unnest(a) AS answer FROM z",
-    "ai_output_json": _ROUTED + " SELECT chapter_id, ai_index // 1000 AS part, to_json(list('T:' || lower(text) ORDER BY ai_index))::VARCHAR AS log FROM fx_numbered WHERE sound IS NULL GROUP BY chapter_id, ai_index // 1000",
-    "ai_log_json": _ROUTED + " SELECT chapter_id, ai_index // 1000 AS part, to_json(list(text ORDER BY ai_index))::VARCHAR AS log FROM fx_numbered WHERE sound IS NULL GROUP BY chapter_id, ai_index // 1000",
+    "fallback_chain": _REPLIES + ", c AS (SELECT *, list_transform(source, lambda v: " + _answer("v") + ") AS own FROM fx_verified), z AS (SELECT chapter_id, CASE WHEN got IS NOT NULL THEN 1 WHEN chapter_id % 4 < 3 THEN chapter_id % 4 + 2 END AS attempt, CASE WHEN got IS NOT NULL THEN got WHEN chapter_id % 4 = 0 THEN list_transform(source, lambda v: upper(replace(" + _STRIP.format(x="v") + ", 'ß', 'SS'))) WHEN chapter_id % 4 = 1 THEN list_transform(source, lambda v: lower(" + _STRIP.format(x="v") + ")) WHEN chapter_id % 4 = 2 THEN list_transform(source, lambda v: " + _STRIP.format(x="'T ' || v") + ") ELSE source END AS a FROM c) SELECT chapter_id, CAST(attempt AS INT) AS attempt, CAST(generate_subscripts(a, 1) - 1 AS INT) AS k, unnest(a) AS answer FROM z",
+    "ai_output_json": _ROUTED + _LOG.format(x="'T:' || lower(text)"),
+    "ai_log_json": _ROUTED + _LOG.format(x="text"),
 }

@@ -1,14 +1,12 @@
 """Queries that SQL cannot express, against slow versions of their rules over whole small tables."""
 
-import io
 import math
-import zipfile
 
 import numpy as np
 import pytest
 
 from panelspark.functions import text as X
-from panelspark.operators import archive, kernels, layout, raster
+from panelspark.operators import kernels, raster
 from panelspark.plans import imaging, kernels as plans, records
 from panelspark.sources import landed as L
 
@@ -108,18 +106,6 @@ def test_color_pair_is_a_stable_split(spark):
         assert np.abs(rgb[near].mean(axis=0) - text).max() <= 0.51 and np.abs(rgb[~near].mean(axis=0) - other).max() <= 0.51
 
 
-def test_chapter_archives(spark):
-    want = {}
-    for r in L.image_info(spark, SMALL).collect():
-        want.setdefault((r.chapter_id, r.idx // archive.MEMBERS), {})[f"page_{r.idx:03d}.txt"] = f"{r.w}x{r.h}".encode()
-    got = {(r.chapter_id, r.part): (r.n_members, r.crc32) for r in records.chapter_archives(spark, SMALL).collect()}
-    assert set(got) == set(want) and all(got[k][0] == len(v) for k, v in want.items())
-    name, part = next(iter(want))
-    data = archive.zip_bytes(list(want[name, part]), list(want[name, part].values()))
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        assert z.namelist() == sorted(want[name, part]) and {n: z.read(n) for n in z.namelist()} == want[name, part]
-
-
 def test_whole_image_queries(spark, strips):
     active = {(r.img_id, r.y): (r.row_std, r.edge_density) for r in plans.row_activity(spark, SMALL).collect()}
     assert len(active) == sum(map(len, strips.values()))
