@@ -2,8 +2,9 @@
 
 Method: every participant of a dialogue is once the assistant. For each of them the whole dialogue is
 rendered, their turns as assistant, those of others as users by name, with the character spans of the
-assistant's own words as the training mask. It is all DataFrame functions. A dialogue is rendered in parts of
-a fixed range of turns, so that one endless dialogue is not gathered in one task.
+assistant's own words as the training mask. It is all DataFrame functions. A dialogue is a table of segments, one for each
+turn, whose starts are a running sum; an endless dialogue is range-sorted over many tasks, and its starts are sums
+within a range plus those of earlier ranges.
 """
 
 from __future__ import annotations
@@ -11,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Turns in one part.
-PART = 256
+from panelspark.operators import chains
 
 
 def _clean(x: Column) -> Column:
@@ -20,29 +20,35 @@ def _clean(x: Column) -> Column:
     return F.replace(x, F.lit("<|"), F.lit("< |"))
 
 
-def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", part_turns: int = PART) -> DataFrame:
-    """(conv_id, speaker, part, n_turns, text, mask): for every participant, the dialogue from their side.
+def segments(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """(conv_id, speaker, pos, start, text, mask): for every participant and turn, the turn as rendered from their side.
 
     Participants are the dialogue's non-null roles but ``system``, whose turns stay system turns. A turn is
-    ``<|assistant|>``, ``<|user:NAME|>`` or ``<|system|>``, a line break, the text, ``<|end|>`` and a line break.
-    ``mask`` lists the spans "start-stop" of the assistant's words and end marks, in characters of ``text``. Turns
-    are ordered by turn, role and text; ties and repeated rows stay. A null text is empty; a null role is the user
-    ``unknown``; turns without number come last, dealt over parts by content. A dialogue without participant
-    has no perspective and gives no row. An empty table gives none."""
+    ``<|assistant|>``, ``<|user:NAME|>`` or ``<|system|>``, a line break, the text, ``<|end|>`` and a line break. ``pos`` counts from 1,
+    ``start`` is the turn's place in the whole text, in characters. ``mask`` is the span "start-stop" of the assistant's words
+    and end mark in the whole text, null for others' turns. Turns are ordered by turn, role and text; those without number
+    come last; ties and repeated rows stay. A null text is empty; a null role is the user ``unknown``. A dialogue without
+    participant has no perspective and gives no row. An empty table gives none; other columns are ignored."""
     role, turn = F.col(role_col).cast("string"), F.col(turn_col).cast("long")
-    rows = turns.select(F.col(conv_col).alias("conv_id"), turn.alias("turn"), F.coalesce(role, F.lit("unknown")).alias("role"), role.isNotNull().alias("named"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    spread = F.lit(1 << 40) + F.pmod(F.xxhash64("role", "text"), F.lit(1 << 20))
-    rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / part_turns), spread))
+    rows = turns.select(F.col(conv_col).alias("conv_id"), turn.isNull().alias("late"), turn.alias("turn"), F.coalesce(role, F.lit("unknown")).alias("role"), role.isNotNull().alias("named"), _clean(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("words"))
     people = rows.where("named and role <> 'system'").select("conv_id", F.col("role").alias("speaker")).distinct()
-    last = F.lit((1 << 63) - 1)
-    parts = rows.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("turn", last).alias("turn"), "role", _clean(F.col("text")).alias("text")))).alias("turns"))
-    both = parts.join(people, parts["conv_id"].eqNullSafe(people["conv_id"])).select(parts["conv_id"], "speaker", "part", "turns")
-    head = lambda m: F.when(m["role"] == F.col("speaker"), F.lit("<|assistant|>\n")).when(m["role"] == "system", F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user:"), _clean(m["role"]), F.lit("|>\n")))
-    both = both.withColumn("made", F.transform("turns", lambda m: F.struct(head(m).alias("head"), F.concat(m["text"], F.lit("<|end|>\n")).alias("body"), (m["role"] == F.col("speaker")).alias("own"))))
-    both = both.withColumn("sizes", F.transform("made", lambda m: F.length(m["head"]) + F.length(m["body"])))
-    start = F.transform("sizes", lambda x, i: F.aggregate(F.slice("sizes", 1, i), F.lit(0), lambda a, b: a + b))
-    spans = F.filter(F.transform(F.arrays_zip("made", start.alias("start")), lambda z: F.when(z["made"]["own"], F.concat((z["start"] + F.length(z["made"]["head"])).cast("string"), F.lit("-"), (z["start"] + F.length(z["made"]["head"]) + F.length(z["made"]["body"]) - 1).cast("string")))), lambda x: x.isNotNull())
-    return both.select("conv_id", "speaker", "part", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("made", lambda m: F.concat(m["head"], m["body"])), "").alias("text"), F.array_join(spans, ";").alias("mask"))
+    both = chains.joined(rows, people, ["conv_id"])
+    own = F.col("role") == F.col("speaker")
+    head = F.when(own, F.lit("<|assistant|>\n")).when(F.col("role") == "system", F.lit("<|system|>\n")).otherwise(F.concat(F.lit("<|user:"), _clean(F.col("role")), F.lit("|>\n")))
+    both = both.withColumn("head", F.length(head)).withColumn("text", F.concat(head, F.col("words"), F.lit("<|end|>\n"))).withColumn("size", F.length("text"))
+    key, order = ["conv_id", "speaker"], ["late", "turn", "role", "words"]
+    placed = chains.placed(both, key, order, "size", chains.is_short(both, key))
+    span = F.concat((F.col("before") + F.col("head")).cast("string"), F.lit("-"), (F.col("before") + F.col("size") - 1).cast("string"))
+    return placed.select(*key, F.col("place").alias("pos"), F.col("before").alias("start"), "text", F.when(own, span).alias("mask"))
+
+
+def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """(conv_id, speaker, n_turns, text, mask): the ``segments`` of each perspective joined in order, whatever their
+    number; ``mask`` lists the spans. A dialogue that does not fit a row has to be read as segments."""
+    said = segments(turns, conv_col, turn_col, role_col, text_col)
+    whole = F.expr("listagg(text) WITHIN GROUP (ORDER BY pos)")
+    spans = F.coalesce(F.expr("listagg(mask, ';') WITHIN GROUP (ORDER BY pos)"), F.lit(""))
+    return said.groupBy("conv_id", "speaker").agg(F.count("*").alias("n_turns"), whole.alias("text"), spans.alias("mask"))
 
 
 def op8_chat(spark, sf_dir: str) -> DataFrame:
@@ -52,22 +58,22 @@ def op8_chat(spark, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH t AS (
-  SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS body, CAST(floor(turn / 256) AS BIGINT) AS part FROM conversations
+  SELECT conv_id, turn, role, replace(coalesce(text, ''), '<|', '< |') AS body FROM conversations
 ), s AS (
   SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'
 ), m AS (
-  SELECT t.conv_id, speaker, part, turn, role, body,
+  SELECT t.conv_id, speaker, turn, role, body,
          CASE WHEN role = speaker THEN '<|assistant|>' || chr(10) WHEN role = 'system' THEN '<|system|>' || chr(10)
               ELSE '<|user:' || role || '|>' || chr(10) END AS head,
-         row_number() OVER (PARTITION BY t.conv_id, speaker, part ORDER BY turn, role, body) AS k
+         row_number() OVER (PARTITION BY t.conv_id, speaker ORDER BY turn, role, body) AS k
   FROM t JOIN s ON t.conv_id = s.conv_id
 ), o AS (
   SELECT *, head || body || '<|end|>' || chr(10) AS seg,
-         coalesce(sum(length(head) + length(body) + 8) OVER (PARTITION BY conv_id, speaker, part ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift
+         coalesce(sum(length(head) + length(body) + 8) OVER (PARTITION BY conv_id, speaker ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift
   FROM m
 )
-SELECT conv_id, speaker, part, CAST(count(*) AS BIGINT) AS n_turns, string_agg(seg, '' ORDER BY k) AS text,
+SELECT conv_id, speaker, CAST(count(*) AS BIGINT) AS n_turns, string_agg(seg, '' ORDER BY k) AS text,
        coalesce(string_agg(CAST(CAST(shift + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(shift + length(head) + length(body) + 7 AS BIGINT) AS VARCHAR), ';' ORDER BY k)
                 FILTER (WHERE role = speaker), '') AS mask
-FROM o GROUP BY conv_id, speaker, part
+FROM o GROUP BY conv_id, speaker
 """

@@ -6,8 +6,10 @@ others' bounds to sum to less than the score to beat, are essential and are scor
 probed only for vectors whose score so far can, with the bounds of what is left, still reach that score. The score to beat
 is the k-th best so far: a task meets its shards one after another and carries each query's list on. Tasks' lists are merged.
 
-Queries are dealt into blocks and shards into lanes. A task for a block and a lane gets the block once, then the lane's
-shards as a stream, so that it holds one shard at a time.
+Shards stay where they are read: no vector is shuffled. Queries are packed into blocks, and blocks go to all tasks in passes of
+a bounded size; a task streams its vectors, one shard at a time, past the pass's queries, and reports the best of each.
+What is shuffled is these lists. A pass reads the vectors once more, so there are as many readings as the queries fill
+passes, and the driver holds one pass at a time.
 """
 
 from __future__ import annotations
@@ -16,14 +18,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import materialize, sliced
 
-#: Vectors in a shard and queries in a block.
-SHARD_ROWS, QUERY_ROWS = 4096, 1024
+#: Vectors in a shard and queries in a block; bytes of queries in a pass.
+SHARD_ROWS, QUERY_ROWS, PASS_BYTES = 4096, 1024, 32 << 20
 _BLOCK = "block long, ids binary, dims int, cells binary"
 
 
@@ -108,24 +110,18 @@ class Lists:
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, n)), pa.array(np.concatenate([b[0] for b in self.best])), pa.array(np.concatenate([b[1] for b in self.best]))], ["query_id", "vec_id", "score"])
 
 
-def _search(k: int) -> Callable:
-    """Rows sorted by block and lane: the block's queries, then the lane's shards."""
+def _search(blocks: Broadcast, k: int) -> Callable:
+    """The task's vectors against all of a pass's queries: the best of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, lists = None, None
-        for batch in sliced(batches, 1):
-            q, lane, kind, _, ids, dims, cells = (batch.column(c)[0].as_py() for c in ("q", "lane", "kind", "block", "ids", "dims", "cells"))
-            if (q, lane) != at:
-                if lists is not None:
-                    yield lists.told()
-                at, lists = (q, lane), None
-            if kind == 0:
-                lists = Lists(ids, dims, cells, k)
-            elif lists is not None:
-                n = np.frombuffer(ids, "<i8")
-                lists.meet(n, np.frombuffer(cells, "<i8").reshape(len(n), dims))
-        if lists is not None:
-            yield lists.told()
+        lists = [Lists(*b, k) for b in blocks.value]
+        for batch in _blocks(SHARD_ROWS)(batches):
+            ids, dims, cells = (batch.column(c)[0].as_py() for c in ("ids", "dims", "cells"))
+            n = np.frombuffer(ids, "<i8")
+            for one in lists:
+                one.meet(n, np.frombuffer(cells, "<i8").reshape(len(n), dims))
+        for one in lists:
+            yield one.told()
 
     return run
 
@@ -138,22 +134,23 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str =
     An empty table, or no query, gives no row."""
     spark = vectors.sparkSession
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).alias("_vec"), is_query.alias("_is_query"))
-    asked = rows.where("_is_query").select("_id", "_vec")
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    queries = materialize(asked.dropDuplicates(["_id", "_vec"]).repartition(min(width, max(1, asked.count() // QUERY_ROWS)), "_id").mapInArrow(_blocks(QUERY_ROWS), _BLOCK), "queries")
-    # only numbers of blocks pass through one window; the blocks are joined to them
-    numbers = queries.select("block", (F.row_number().over(Window.orderBy("block")) - 1).alias("q"))
-    n = queries.count()
-    lanes = max(1, -(-width // max(1, n)))
-    every = lambda count, name: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
-    blocks = queries.join(numbers, "block").select("q", every(lanes, "lane"), F.lit(0).alias("kind"), "block", "ids", "dims", "cells")
-    shards = rows.select("_id", "_vec").mapInArrow(_blocks(SHARD_ROWS), _BLOCK).where(F.lit(n > 0))
-    lane = F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int").alias("lane")
-    shards = shards.select(every(max(1, n), "q"), lane, F.lit(1).alias("kind"), "block", "ids", "dims", "cells")
-    met = blocks.unionByName(shards).repartitionById(min(width, lanes * max(1, n)), F.col("q") * lanes + F.col("lane")).sortWithinPartitions("q", "lane", "kind", "block")
-    found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    asked = rows.where("_is_query").select("_id", "_vec").dropDuplicates(["_id", "_vec"])
+    queries = materialize(asked.mapInArrow(_blocks(QUERY_ROWS), _BLOCK), "queries")
+    # only numbers and sizes of blocks pass through one window
+    upto = F.sum(F.octet_length("ids") + F.octet_length("cells")).over(Window.orderBy("block"))
+    numbers = queries.select("block", F.floor(upto / PASS_BYTES).cast("int").alias("turn"))
+    turns = sorted(r["turn"] for r in numbers.select("turn").distinct().collect())
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = spark.createDataFrame([], "query_id long, vec_id long, score long, rank int")
+    for turn in turns:
+        part = queries.join(numbers.where(F.col("turn") == turn), "block").select("ids", "dims", "cells").collect()
+        sent = spark.sparkContext.broadcast([(bytes(r["ids"]), r["dims"], bytes(r["cells"])) for r in part])
+        met = rows.select("_id", "_vec").mapInArrow(_search(sent, k), "query_id long, vec_id long, score long")
+        met = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        found = found.unionByName(materialize(met, "found") if len(turns) > 1 else met)
+    if len(turns) > 1:  # an id that repeats with other vectors may be in two passes
+        found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op10_topk(spark, sf_dir: str) -> DataFrame:

@@ -151,7 +151,11 @@ def test_warc_empty(spark):
 # top-k
 
 
-def test_top_k_by_brute_force(spark):
+@pytest.mark.parametrize("size", [32 << 20, 3000])
+def test_top_k_by_brute_force(spark, monkeypatch, size):
+    """In one pass and in several."""
+    monkeypatch.setattr(topk, "PASS_BYTES", size)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 2 if size < 9999 else 1024)
     r = np.random.default_rng(2)
     vectors = [(i, r.integers(-9, 9, 70 if i % 5 else 64).tolist()) for i in range(300)] + [(300, None), (301, [2**40] * 64), (302, []), (None, [1]), (7, [5] * 64)]
     df = spark.createDataFrame(vectors, "vec_id long, _vec array<long>").repartition(5)
@@ -178,8 +182,8 @@ def test_chat_edges(spark):
     rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|end|>"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", None), (1, None, None, "late"), (2, 0, "system", "alone"), (None, 0, "ann", "x")]
     got = chat.rotate(spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, speaker int")).collect()
     assert {(r["conv_id"], r["speaker"]) for r in got} == {(1, "ann"), (1, "bob"), (None, "ann")}
-    ann = next(r for r in got if r["conv_id"] == 1 and r["speaker"] == "ann" and r["part"] == 0)
-    assert ann["text"] == "<|system|>\nrules<|end|>\n" + "<|assistant|>\nhi < |end|><|end|>\n" * 2 + "<|user:bob|>\n<|end|>\n" and ann["n_turns"] == 4
+    ann = next(r for r in got if r["conv_id"] == 1 and r["speaker"] == "ann")
+    assert ann["text"] == "<|system|>\nrules<|end|>\n" + "<|assistant|>\nhi < |end|><|end|>\n" * 2 + "<|user:bob|>\n<|end|>\n<|user:unknown|>\nlate<|end|>\n" and ann["n_turns"] == 5
     assert [ann["text"][int(a) : int(b)] for a, b in (s.split("-") for s in ann["mask"].split(";"))] == ["hi < |end|><|end|>"] * 2
     assert sum(r["n_turns"] for r in got if r["speaker"] == "bob") == 5
 

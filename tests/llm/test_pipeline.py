@@ -13,8 +13,7 @@ from test_repeats import kept_by_force
 
 import corpus_pipeline as P
 from panelspark import storage
-from panelspark.llm import decontaminate, language, packing, quality
-from panelspark.llm.chat import rotate
+from panelspark.llm import chat, decontaminate, language, packing, quality
 from panelspark.llm.packing import tokenizer_at
 
 SMALL = "/root/testdata/sf0.001"
@@ -152,16 +151,20 @@ def test_leaks_by_brute_force(spark):
     assert {x.doc_id: x.found for x in found.collect()} == want
 
 
-def test_chat_in_parts(spark):
-    turns = [(1, i, "ab"[i % 2], f"t{i}") for i in range(600)] + [(2, None, "a", "x"), (2, None, "b", "y"), (3, 0, "system", "s")]
-    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("speaker", F.lit("own"))
-    got = rotate(rows).collect()
-    first = sorted(((r.part, r.n_turns) for r in got if r.conv_id == 1 and r.speaker == "a"))
-    assert first == [(0, 256), (1, 256), (2, 88)] and sum(r.n_turns for r in got if r.conv_id == 2) == 4 and not [r for r in got if r.conv_id == 3]
-    for r in got:
-        spans = [tuple(map(int, s.split("-"))) for s in r.mask.split(";") if s]
-        assert all(r.text[a:b].endswith("<|end|>") for a, b in spans)
-    assert rotate(rows.limit(0)).collect() == []
+def test_endless_dialogues(spark, monkeypatch):
+    """Any number of turns is one row, also where all lack a number and where a dialogue is spread over tasks."""
+    monkeypatch.setattr(chat.chains, "SHORT", 100)
+    turns = [(1, i, "ab"[i % 2], f"t{i}") for i in range(600)] + [(2, None, "abc"[i % 3], f"y{i % 7}") for i in range(500)] + [(3, 0, "system", "s"), (None, 1, "a", "x")]
+    rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("speaker", F.lit("own")).repartition(4)
+    got = {(r.conv_id, r.speaker): r for r in chat.rotate(rows).collect()}
+    assert {k: r.n_turns for k, r in got.items()} == {(1, "a"): 600, (1, "b"): 600, (2, "a"): 500, (2, "b"): 500, (2, "c"): 500, (None, "a"): 1}
+    for (conv, who), r in got.items():
+        mine = sorted((t is None, t or 0, role, x) for c, t, role, x in turns if c == conv)
+        want = "".join(f"<|{'assistant' if role == who else 'user:' + role}|>\n{x}<|end|>\n" for _, _, role, x in mine)
+        assert r.text == want
+        spans = [tuple(map(int, s.split("-"))) for s in r.mask.split(";")]
+        assert [r.text[a:b] for a, b in spans] == [f"{x}<|end|>" for _, _, role, x in mine if role == who]
+    assert chat.rotate(rows.limit(0)).collect() == []
 
 
 def test_packing_keeps_own_columns_out(spark, documents):
