@@ -6,7 +6,8 @@ walked in order by WAND, whole blocks are skipped when their maxima cannot reach
 whose score reaches the given share of the score that the item has with itself is retrieved. A retrieved item
 counts only if the passage holds enough of its question and of its answer, word run by word run.
 
-Test items are few and each executor has them all, after a check of their size; the corpus is only streamed.
+The corpus is only streamed. Items up to a bound of bytes are one index that each executor has whole; beyond it they are dealt
+into shards of about half that size, with the counts and lengths of all items, and the documents are streamed once for each.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.llm import hashing as H
-from panelspark.llm.common import groups_of, mapped, text_buffer
+from panelspark.llm.common import groups_of, mapped, materialize, text_buffer
 from panelspark.llm.repeats import word_hashes
 
 #: BM25's constants; the share of an item's own score that retrieves it; words in a compared run of a question and
 #: of an answer; the share of runs of each that must be found; items in a block; blocks in the first bound; bytes
-#: of items that are sent to executors.
+#: of items that are sent to executors at a time.
 K1, B, SHARE, QUESTION_RUN, ANSWER_RUN, OVERLAP, BLOCK, COARSE, MOST_BYTES = 1.2, 0.75, 0.6, 3, 2, 0.5, 4, 64, 64 << 20
 
 
@@ -69,10 +71,22 @@ def runs(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+@dataclass
+class Whole:
+    """What an index of some items has to know of all: their number, mean and greatest length, and for the terms of these
+    items, in order, in how many items they are."""
+
+    n: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    counts: np.ndarray
+
+
 class Index:
     """Impacts of terms in items: BM25, divided by the item's own score, so that one threshold fits all items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: Whole | None = None):
         items = sorted((i, t) for i, t in items)
         held = [(i, _words(t), split_item(t)) for i, t in items]
         held = [x for x in held if len(x[1])]
@@ -85,7 +99,11 @@ class Index:
         counts = [np.unique(x[1], return_counts=True) for x in held]
         self.terms, frequency = np.unique(np.concatenate([c[0] for c in counts]), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0))
         n, mean = len(held), float(np.mean(self.lengths)) if held else 1.0
-        idf = np.log(1 + (n - frequency + 0.5) / (frequency + 0.5))
+        of_all = n
+        if whole is not None and held:
+            of_all, mean, self.longest = whole.n, whole.mean, whole.longest
+            frequency = whole.counts[np.searchsorted(whole.terms, self.terms)]
+        idf = np.log(1 + (of_all - frequency + 0.5) / (frequency + 0.5))
         postings: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for d, (t, c) in enumerate(counts):
             at = np.searchsorted(self.terms, t)
@@ -157,15 +175,15 @@ class Index:
 _INDEX: dict[str, Index] = {}
 
 
-def index_of(key: str, items: list[tuple[int, str]]) -> Index:
+def index_of(key: str, items: list[tuple[int, str]], whole: Whole | None = None) -> Index:
     """A worker's index of these items: made once, not once for each task. Only the last is held."""
     if key not in _INDEX:
         _INDEX.clear()
-        _INDEX[key] = Index(items)
+        _INDEX[key] = Index(items, whole)
     return _INDEX[key]
 
 
-def _finder(items: list[tuple[int, str]], share: float) -> Callable[[pa.Array], list[pa.Array]]:
+def _finder(items: list[tuple[int, str]], share: float, whole: Whole | None = None) -> Callable[[pa.Array], list[pa.Array]]:
     told = hashlib.blake2b(repr(items).encode()).hexdigest()
 
     def passages(index: Index, v: np.ndarray, wb: np.ndarray) -> Iterator[tuple[int, int, int, list[int]]]:
@@ -191,7 +209,7 @@ def _finder(items: list[tuple[int, str]], share: float) -> Callable[[pa.Array],
                 yield int(doc[p]), a, b, terms.tolist()
 
     def find(texts: pa.Array) -> list[pa.Array]:
-        index = index_of(told, items)
+        index = index_of(told, items, whole)
         data, bounds = text_buffer(texts)
         found: list[dict[int, float]] = [{} for _ in range(len(texts))]
         for i, j in groups_of(bounds) if index.longest else ():
@@ -214,14 +232,49 @@ def find_leaks(docs: DataFrame, items: DataFrame, share: float = SHARE, text_col
     item's own score. They take the place of columns of those names.
 
     Null or empty texts hold no item; null or empty items, or items without id, are found nowhere. Equal items are
-    all found. Repeated documents are judged each. An empty table of either kind finds nothing. Items together
-    must be smaller than 64 MB, which is checked, since every executor gets them."""
+    all found. Repeated documents are judged each. An empty table of either kind finds nothing. Items of over ``MOST_BYTES``
+    together are searched shard by shard; what is found does not depend on their number."""
     some = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null and t is not null")
     size = some.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    if size > MOST_BYTES:
-        raise ValueError(f"test items have {size} bytes; at most {MOST_BYTES} are sent to executors")
-    told = [(r["i"], r["t"]) for r in some.collect()]
-    return mapped(docs, text_col, _finder(told, share), [T.StructField(out[0], T.ArrayType(T.LongType())), T.StructField(out[1], T.DoubleType())])
+    new = [T.StructField(out[0], T.ArrayType(T.LongType())), T.StructField(out[1], T.DoubleType())]
+    if size <= MOST_BYTES:
+        told = [(r["i"], r["t"]) for r in some.collect()]
+        return mapped(docs, text_col, _finder(told, share), new)
+    return _by_shards(docs, some, -(-2 * size // MOST_BYTES), share, text_col, new)
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, term, length): each item's distinct terms, and on the first of them its number of words."""
+    for batch in batches:
+        for shard, text in zip(batch.column("shard").to_pylist(), batch.column("t").to_pylist()):
+            words = _words(text)
+            terms = np.unique(words)
+            length = np.zeros(len(terms), np.int64)
+            length[:1] = len(words)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), shard, np.int64)), pa.array(terms.view(np.int64)), pa.array(length)], ["shard", "term", "length"])
+
+
+def _by_shards(docs: DataFrame, some: DataFrame, shards: int, share: float, text_col: str, new: list[T.StructField]) -> DataFrame:
+    some = materialize(some.withColumn("shard", F.pmod(F.xxhash64("i", "t"), F.lit(shards))), "items")
+    terms = materialize(some.mapInArrow(_terms, "shard long, term long, length long"), "terms")
+    lengths = terms.where("length > 0").agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.max("length").alias("longest")).first()
+    counts = materialize(terms.groupBy("term").agg(F.count("*").alias("n")), "counts")
+    items, best = (f.name for f in new)
+    rest = [c for c in docs.columns if c not in (items, best)]
+    found = docs.select(*rest).withColumns({items: F.array().cast("array<bigint>"), best: F.lit(0.0)})
+    more = ["_shard_items", "_shard_best"]
+    while set(more) & set(rest):
+        more = [m + "_" for m in more]
+    for shard in range(shards):
+        told = [(r["i"], r["t"]) for r in some.where(F.col("shard") == shard).collect()]
+        own = counts.join(terms.where(F.col("shard") == shard).select("term").distinct(), "term").toPandas()
+        term = own["term"].to_numpy().view(np.uint64)
+        order = np.argsort(term)
+        whole = Whole(lengths["n"], float(lengths["mean"] or 1.0), lengths["longest"] or 0, term[order], own["n"].to_numpy()[order])
+        here = mapped(found, text_col, _finder(told, share, whole), [T.StructField(more[0], new[0].dataType), T.StructField(more[1], new[1].dataType)])
+        # written, so that the driver holds one shard
+        found = materialize(here.select(*rest, F.sort_array(F.concat(items, more[0])).alias(items), F.greatest(best, more[1]).alias(best)), "found")
+    return found
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

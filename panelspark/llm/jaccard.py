@@ -2,8 +2,8 @@
 
 Method: PartEnum signatures. Sets are put in size bands. In a band the shingle domain is dealt into parts by
 hash; a signature is one part's content. Two sets of sizes a and b with similarity t differ in at most
-(1 - t) / (1 + t) * (a + b) shingles, hence in that many parts, so similar sets of one band share nearly all of
-their other signatures. Each set keeps only as many of its rarest signatures as still leave one in common.
+(1 - t) / (1 + t) * (a + b) shingles, hence in that many parts, and there are more parts, so similar sets of one band share
+all of their other signatures; a part without shingles has a signature as well. Each set keeps only as many of its rarest signatures as still leave one in common.
 
 Not all documents need signatures: three quarters of a linked set's shingles also occur in its partner. A first pass
 counts all shingles, in hash buckets and as 40 bits of their hashes, and leaves out documents of which too few occur
@@ -226,8 +226,8 @@ def signatures(shingles: np.ndarray, percent: int = PERCENT) -> list[np.ndarray]
         part = ((shingles >> _U(20)) % _U(parts)).astype(np.int64)
         total = np.zeros(parts, _U)
         np.add.at(total, part, H.mix(shingles))
-        used = np.flatnonzero(np.bincount(part, minlength=parts))
-        out.append(H.mix((total[used] ^ mark) + H.mix(used.astype(_U) + mark)))
+        # a part that both lack is equal content too, else few parts in use would be no guarantee
+        out.append(H.mix((total ^ mark) + H.mix(np.arange(parts, dtype=_U) + mark)))
     return out
 
 

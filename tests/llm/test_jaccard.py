@@ -91,6 +91,21 @@ def test_similar_sets_share_a_kept_signature():
                 assert prefix(a) & prefix(b)
 
 
+def test_sets_in_few_parts_still_share_a_signature():
+    """Hashes that put all shingles into one part: what both lack is then all that is equal."""
+    r = np.random.default_rng(8)
+    for n in (70, 100, 127, 200, 250, 1000):
+        band = n.bit_length() - 1
+        parts = int(jaccard.PARTS * ((2 << band) - 1))
+        low = lambda k: (np.uint64(parts) * r.integers(0, 1 << 30, k).astype(np.uint64) + np.uint64(3)) << np.uint64(20)  # noqa: B023, E731
+        a = np.unique(low(n))
+        b = np.unique(np.concatenate((a[: len(a) * 6 // 7], low(len(a) // 8))))
+        if len(a).bit_length() != len(b).bit_length():
+            continue
+        prefix = lambda x: {int(s) for s in np.sort(jaccard.signatures(x)[0])[: jaccard.differences(len(x), 75) + 1]}
+        assert len(np.unique((a >> np.uint64(20)) % np.uint64(parts))) == 1 and prefix(a) & prefix(b)
+
+
 def test_support_is_counted_exactly():
     r = np.random.default_rng(2)
     for n_buckets in (1, 8, 300):

@@ -250,12 +250,28 @@ def test_leaks(spark, documents, no_documents, document_list):
     assert len(got) == len(document_list) and [r["_items"] for r in got if r["_items"]] == [[1, 5]]
     assert decontaminate.find_leaks(no_documents, items).collect() == []
     assert all(r["_items"] == [] for r in decontaminate.find_leaks(documents, items.where("item_id > 99")).collect())
-    with pytest.raises(ValueError, match="bytes"):
-        old, decontaminate.MOST_BYTES = decontaminate.MOST_BYTES, 10
-        try:
-            decontaminate.find_leaks(documents, items)
-        finally:
-            decontaminate.MOST_BYTES = old
+
+
+def test_leaks_do_not_depend_on_shards(spark, monkeypatch):
+    """Items beyond the bound are searched shard by shard, with the statistics of all."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randrange(2, 6)))
+    items = [(i, " ".join(word() for _ in range(r.randrange(9, 30))) + ". " + word() + " " + word()) for i in range(60)] + [(60, ""), (None, "a b"), (61, None)]
+    docs = []
+    for d in range(90):
+        parts = [word() for _ in range(r.randrange(0, 150))]
+        for _, t in r.sample(items[:60], r.choice((0, 0, 1, 2))):
+            at = r.randrange(len(parts) + 1)
+            words = t.split()
+            parts[at:at] = words if d % 3 else words[: len(words) * 3 // 4] + words[-2:]
+        docs.append((d, " ".join(parts) if d else None, "x"))
+    df = spark.createDataFrame(docs, "doc_id long, text string, _shard_items string").repartition(3)
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    whole = {x["doc_id"]: (x["_items"], round(x["_best"], 9), x["_shard_items"]) for x in decontaminate.find_leaks(df, tests).collect()}
+    assert sum(bool(v[0]) for v in whole.values()) > 30
+    monkeypatch.setattr(decontaminate, "MOST_BYTES", 900)
+    got = decontaminate.find_leaks(df, tests)
+    assert {x["doc_id"]: (x["_items"], round(x["_best"], 9), x["_shard_items"]) for x in got.collect()} == whole
 
 
 @settings(max_examples=60, deadline=None)
