@@ -1,15 +1,17 @@
 """Raster operators over pixels in long form (img_id, y, x, g), and kernels that need a whole small image.
 
-Aggregations stay in SQL form: their partial sums are small whatever the number of pixels. Kernels (distance
-transform, two-colour means) are recursive over an image's pixels and run on one image at a time as arrays.
+Aggregations stay in SQL form: their partial sums are small whatever the number of pixels.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Shear angles tried in degrees, least ink, percentile and style limits.
 ANGLES, LEAST_INK, PERCENTILE, ITALIC_DEG, BOLD_RATIO, BOLD_DENSITY = range(-24, 25), 16, 0.60, 10, 0.15, 0.40
@@ -70,38 +72,38 @@ def row_stats(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("edge", edge).groupBy("img_id", "y").agg(F.stddev_pop("g").alias("row_std"), (F.count_if("edge") / F.count("*")).alias("edge_density"))
 
 
-def distances(inside: np.ndarray) -> np.ndarray:
-    """Chamfer distance (1 straight, square root of 2 diagonal) of ink to the nearest background pixel of the image;
-    the border is no background. Both passes go over rows; what runs along a row is a running minimum."""
-    h, w = inside.shape
-    far = np.float32(h + w)
-    d = np.where(inside, far, 0).astype(np.float32)
-    ramp, diagonal = np.arange(w, dtype=np.float32), np.float32(2**0.5)
-    for image, start in ((d, 1), (d[::-1, ::-1], 1)):
-        for y in range(h):
-            row = image[y]
-            if y >= start:
-                up = image[y - 1]
-                best = np.minimum(row, up + 1)
-                best[1:] = np.minimum(best[1:], up[:-1] + diagonal)
-                best[:-1] = np.minimum(best[:-1], up[1:] + diagonal)
-                row[:] = best
-            row[:] = np.minimum.accumulate(row - ramp) + ramp
-    return d
-
-
-def _strokes(table: pa.Table) -> pa.Table:
-    y, x, h, w = (table.column(c).to_numpy() for c in ("y", "x", "h", "w"))
-    grid = np.zeros((int(h.max()), int(w.max())), bool)
-    grid[y, x] = True
-    ordered = np.sort(distances(grid)[grid])
-    k = min(int(len(ordered) * PERCENTILE), len(ordered) - 1)
-    return pa.table({"img_id": pa.array([table.column("img_id")[0].as_py()], pa.int64()), "stroke": pa.array([2.0 * float(ordered[k])], pa.float64())})
+def ink_distances(inked: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(img_id, y, x, straight, diagonal) of ink: the steps of a shortest way to the nearest pixel without ink, where a diagonal
+    step is as long as the square root of 2; the border is no background.
+
+    In each row the nearest background pixel is a running maximum from either side. Of all rows only those can be nearer
+    that are no farther up or down than that pixel, so a pixel looks at as many rows as its stroke is wide, not at all."""
+    rows = inked.select("img_id", "y", "x", F.lit(True).alias("ink"))
+    grid = sizes.select("img_id", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("y"), "w", "h")
+    grid = grid.select("img_id", "y", "h", "w", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("x"))
+    all_ = grid.join(rows, ["img_id", "y", "x"], "left").withColumn("bare", F.when(F.col("ink").isNull(), F.col("x")))
+    row = Window.partitionBy("img_id", "y").orderBy("x")
+    left = F.col("x") - F.max("bare").over(row.rowsBetween(Window.unboundedPreceding, 0))
+    right = F.min("bare").over(Window.partitionBy("img_id", "y").orderBy(F.desc("x")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("x")
+    across = all_.withColumn("across", F.least(left, right)).select("img_id", "y", "x", "h", "w", "ink", "across")
+    reach = F.coalesce("across", F.col("h") + F.col("w"))
+    look = across.where("ink").select("img_id", "y", "x", F.explode(F.sequence(F.greatest(F.lit(0), F.col("y") - reach), F.least(F.col("h") - 1, F.col("y") + reach))).alias("row"))
+    near = across.where("across is not null").select("img_id", F.col("y").alias("row"), "x", "across")
+    met = look.join(near, ["img_id", "row", "x"])
+    up = F.abs(F.col("y") - F.col("row"))
+    way = F.struct((F.greatest("across", up) - F.least("across", up) + F.least("across", up) * F.lit(2**0.5)).alias("far"), (F.greatest("across", up) - F.least("across", up)).alias("straight"), F.least("across", up).alias("diagonal"))
+    return met.groupBy("img_id", "y", "x").agg(F.min(way).alias("way")).select("img_id", "y", "x", "way.straight", "way.diagonal")
 
 
 def stroke_width(inked: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(img_id, stroke): twice the 60th index percentile of ink distances. One image at a time is one array."""
-    return inked.join(sizes, "img_id").groupBy("img_id").applyInArrow(_strokes, "img_id long, stroke double")
+    """(img_id, stroke): twice the 60th index percentile of ink distances. They are counted by length first: there are few
+    lengths, however many pixels."""
+    far = F.col("straight") + F.col("diagonal") * F.lit(2**0.5)
+    counts = ink_distances(inked, sizes).groupBy("img_id", far.alias("far")).agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("img_id").orderBy("far").rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("n").over(Window.partitionBy("img_id"))
+    place = F.least((total * PERCENTILE).cast("long"), total - 1)
+    return counts.withColumns({"upto": upto, "place": place}).where("upto > place").groupBy("img_id").agg((2 * F.min("far")).alias("stroke"))
 
 
 def styles(pixels: DataFrame, italic_deg: float = ITALIC_DEG, bold_ratio: float = BOLD_RATIO, bold_density: float = BOLD_DENSITY) -> DataFrame:
@@ -132,57 +134,65 @@ class Mixer:
         return (self.bits() >> 11) / (1 << 53)
 
 
-def two_means(rgb: np.ndarray, seed: int = 42, rounds: int = 40, restarts: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
-    """(centres, labels, inertia) of the best of some restarts of two-means with distance-weighted starts."""
-    best: tuple[np.ndarray, np.ndarray, float] | None = None
-    source = Mixer(seed)
-    for _ in range(restarts):
-        first = rgb[int(source.unit() * len(rgb))]
-        gap = ((rgb - first) ** 2).sum(axis=1)
-        total = gap.sum()
-        second = rgb[int(np.searchsorted(np.cumsum(gap), source.unit() * total, "right").clip(0, len(rgb) - 1))] if total > 0 else first
-        centres = np.stack((first, second)).astype(np.float64)
-        for _ in range(rounds):
-            off = ((rgb[:, None] - centres[None]) ** 2).sum(axis=2)
-            label = off.argmin(axis=1)
-            new = centres.copy()
-            for k in (0, 1):
-                new[k] = rgb[label == k].mean(axis=0) if (label == k).any() else rgb[off.min(axis=1).argmax()]
-            moved = np.abs(new - centres).max()
-            centres = new
+def starts(restart: int) -> tuple[int, float]:
+    """The whole number that chooses a restart's first pixel and the share of the squared distances that chooses its second."""
+    source = Mixer(Mixer.ADD ^ ((restart + 1) * Mixer.ONE))
+    return source.bits(), source.unit()
+
+
+def two_means(rgb: np.ndarray, rounds: int = 40, restarts: int = 3) -> tuple[np.ndarray, list[int]]:
+    """(centres, pixels of each) of the best of some restarts of two-means over pixels in order. The first centre is chosen by
+    number, the second by share of the squared distances to the first; a mean that has no pixel is set to the one farthest from
+    its own. Restarts that are equal to a thousandth are equal, so that the order of sums does not matter."""
+    best: tuple[float, np.ndarray, list[int]] | None = None
+    for restart in range(max(1, restarts)):
+        bits, share = starts(restart)
+        first = rgb[bits % len(rgb)]
+        upto = np.cumsum(((rgb - first) ** 2).sum(axis=1))
+        second = rgb[min(int(np.searchsorted(upto, upto[-1] * share)), len(rgb) - 1)] if upto[-1] > 0 else first
+        centres, counts, inertia = np.stack((first, second)), [0, 0], 0.0
+        for _ in range(max(1, rounds)):
+            off = ((rgb[None] - centres[:, None]) ** 2).sum(axis=2)
+            label, near = off[0] > off[1], off.min(axis=0)
+            means = [rgb[label == k].mean(axis=0) if (label == k).any() else rgb[near.argmax()] for k in (False, True)]
+            counts, inertia = [max(1, int((label == k).sum())) for k in (False, True)], round(float(near.sum()), 3)
+            moved = np.abs(np.stack(means) - centres).sum()
+            centres = np.stack(means)
             if moved < 0.01:
                 break
-        off = ((rgb[:, None] - centres[None]) ** 2).sum(axis=2)
-        label, inertia = off.argmin(axis=1), float(off.min(axis=1).sum())
-        if best is None or inertia < best[2]:
-            best = centres, label, inertia
+        if best is None or inertia < best[0]:
+            best = inertia, centres, counts
     assert best is not None
-    return best
+    return best[1], best[2]
 
 
 def color_pair(rgb: np.ndarray, rounds: int = 40, restarts: int = 3, contrast: float = 50.0) -> tuple[list[int], list[int]]:
     """(text colour, stroke colour): the rarer mean is the text's; black on white where both are too near or few pixels."""
-    if len(rgb) < 3:
-        return [0, 0, 0], [255, 255, 255]
-    centres, label, _ = two_means(rgb.astype(np.float64), rounds=rounds, restarts=restarts)
-    counts = np.bincount(label, minlength=2)
-    text = 0 if counts[0] <= counts[1] else 1
-    pair = np.floor(centres + 0.5).clip(0, 255).astype(int)
-    if np.abs(pair[0] - pair[1]).sum() < contrast:
-        return [0, 0, 0], [255, 255, 255]
-    return pair[text].tolist(), pair[1 - text].tolist()
-
-
-def _colors(table: pa.Table, *limits: float) -> pa.Table:
-    order = np.lexsort((table.column("x").to_numpy(), table.column("y").to_numpy()))
-    rgb = np.stack([table.column(c).to_numpy() for c in ("r", "gr", "b")], axis=1)[order]
-    text, stroke = color_pair(rgb, *limits)
-    return pa.table({"img_id": pa.array([table.column("img_id")[0].as_py()], pa.int64()), "text_rgb": pa.array([",".join(map(str, text))]), "stroke_rgb": pa.array([",".join(map(str, stroke))])})
+    if len(rgb) >= 3:
+        centres, counts = two_means(rgb.astype(np.float64), rounds, restarts)
+        pair = np.floor(centres + 0.5).clip(0, 255).astype(int)
+        if np.abs(pair[0] - pair[1]).sum() >= contrast:
+            text = 0 if counts[0] <= counts[1] else 1
+            return pair[text].tolist(), pair[1 - text].tolist()
+    return [0, 0, 0], [255, 255, 255]
 
 
 def colors(pixels: DataFrame, most: int = 20_000, rounds: int = 40, restarts: int = 3, contrast: float = 50.0) -> DataFrame:
-    """(img_id, text_rgb, stroke_rgb) of (img_id, y, x, r, gr, b). Images of more than ``most`` pixels are read on a
-    grid of that stride in both directions, which is the operator's own rule."""
+    """(img_id, text_rgb, stroke_rgb) of (img_id, y, x, r, gr, b).
+
+    Images of more than ``most`` pixels are read on a grid of that stride in both directions, which is the operator's own
+    rule: so an image is one row with an array of less than twice ``most`` pixels, and rows come in Arrow batches. Two-means
+    as a fold of Catalyst gives the same pairs and takes several times as long."""
     n = pixels.groupBy("img_id").agg(F.greatest(F.lit(1), F.floor(F.count("*") / most)).alias("stride"))
     some = pixels.join(n, "img_id").where((F.col("y") % F.col("stride") == 0) & (F.col("x") % F.col("stride") == 0))
-    return some.groupBy("img_id").applyInArrow(lambda table: _colors(table, rounds, restarts, contrast), "img_id long, text_rgb string, stroke_rgb string")
+    rows = some.groupBy("img_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "r", "gr", "b"))).alias("points"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = batch.column("points")
+            flat, ends = points.flatten(), np.asarray(points.offsets) - points.offsets[0].as_py()
+            rgb = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("r", "gr", "b")], axis=1) if len(flat) else np.zeros((0, 3))
+            pairs = [color_pair(rgb[a:b], rounds, restarts, contrast) for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("img_id"), *(pa.array([",".join(map(str, p[k])) for p in pairs], pa.string()) for k in (0, 1))], ["img_id", "text_rgb", "stroke_rgb"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["img_id"], T.StructField("text_rgb", T.StringType()), T.StructField("stroke_rgb", T.StringType())]))

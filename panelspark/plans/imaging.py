@@ -121,6 +121,10 @@ fx_otsu AS (SELECT img_id, g AS threshold FROM (SELECT img_id, g, row_number() O
   FROM fx_cum WHERE total > wb) WHERE k = 1),
 fx_ink AS (SELECT t.img_id, y, x FROM fx_tiles t JOIN (SELECT t.img_id, threshold, count(*) FILTER (WHERE g <= threshold) <= count(*) // 2 AS dark FROM fx_tiles t JOIN fx_otsu o ON t.img_id = o.img_id GROUP BY t.img_id, threshold) o
   ON t.img_id = o.img_id WHERE (g <= threshold) = dark)"""
+_STROKE = _OTSU + """, fx_bare AS (SELECT t.img_id, t.y, t.x FROM fx_tiles t ANTI JOIN fx_ink i ON t.img_id = i.img_id AND t.y = i.y AND t.x = i.x),
+fx_far AS (SELECT i.img_id, i.y, i.x, min(greatest(abs(i.y - b.y), abs(i.x - b.x)) - least(abs(i.y - b.y), abs(i.x - b.x)) + least(abs(i.y - b.y), abs(i.x - b.x)) * sqrt(2::DOUBLE)) AS d
+  FROM fx_ink i JOIN fx_bare b ON i.img_id = b.img_id GROUP BY ALL),
+fx_stroke AS (SELECT img_id, 2 * list_sort(list(d))[least(CAST(trunc(count(*) * 0.6::DOUBLE) AS INT), count(*) - 1) + 1] AS stroke FROM fx_far GROUP BY img_id)"""
 _LINE = L.with_views("fx_lines")
 
 QUERIES = {f.__name__: f for f in (gray_histogram, otsu, ink_bbox_density, longest_run, slant, row_stats, stroke_width, style_flags, color_pair, grayscale, safe_gap, forbidden_rows, smart_slice, stacked_offsets, archive_members, font_size, safe_padding, word_wrap, geometry)}
@@ -133,6 +137,34 @@ ORACLE = {
 s AS (SELECT img_id, deg, sum(c * c) AS score, sum(c) AS n FROM c GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY score DESC, deg) AS k FROM s)
 SELECT img_id, CASE WHEN n < 16 THEN 0 ELSE deg END AS slant FROM k WHERE k = 1""",
     "row_stats": L.with_views("fx_tiles") + ", e AS (SELECT *, coalesce(abs(g - lag(g) OVER (PARTITION BY img_id, y ORDER BY x)) > 50, false) AS e FROM fx_tiles) SELECT img_id, y, round(stddev_pop(g), 6) AS row_std, round(count(*) FILTER (WHERE e)::DOUBLE / count(*), 9) AS edge_density FROM e GROUP BY img_id, y",
+    "color_pair": L.with_views("fx_tiles", recursive=True) + ", seeds(k, bits, share) AS (VALUES " + ", ".join(f"({k}, {R.starts(k)[0]}::HUGEINT, {R.starts(k)[1]!r}::DOUBLE)" for k in range(3)) + """),
+p AS (SELECT a.img_id, a.y * 8 + a.x AS spot, a.g::DOUBLE AS r, b.g::DOUBLE AS gr, c.g::DOUBLE AS b FROM fx_tiles a
+  JOIN fx_tiles b ON a.img_id = b.img_id AND b.y * 8 + b.x = (a.y * 8 + a.x + 21) % 64 JOIN fx_tiles c ON a.img_id = c.img_id AND c.y * 8 + c.x = (a.y * 8 + a.x + 42) % 64),
+one AS (SELECT p.*, k, share FROM p, seeds WHERE spot = CAST(bits % 64 AS INT)),
+gap AS (SELECT one.img_id, one.k, one.share, p.spot, p.r, p.gr, p.b, sum((p.r - one.r) ** 2 + (p.gr - one.gr) ** 2 + (p.b - one.b) ** 2) OVER w AS upto, sum((p.r - one.r) ** 2 + (p.gr - one.gr) ** 2 + (p.b - one.b) ** 2) OVER (PARTITION BY one.img_id, one.k) AS total
+  FROM one JOIN p ON one.img_id = p.img_id WINDOW w AS (PARTITION BY one.img_id, one.k ORDER BY p.spot)),
+two AS (SELECT img_id, k, arg_min(r, spot) AS r, arg_min(gr, spot) AS gr, arg_min(b, spot) AS b FROM gap WHERE upto >= total * share AND total > 0 GROUP BY img_id, k),
+m AS (
+  SELECT one.img_id, one.k, 0 AS n, one.r AS ar, one.gr AS ag, one.b AS ab, two.r AS br, two.gr AS bg, two.b AS bb, 0::HUGEINT AS na, 0::HUGEINT AS nb, 0::DOUBLE AS inertia, false AS done FROM one JOIN two ON one.img_id = two.img_id AND one.k = two.k
+  UNION ALL
+  SELECT img_id, k, n + 1, nar, nag, nab, nbr, nbg, nbb, ca, cb, s, abs(nar - ar) + abs(nag - ag) + abs(nab - ab) + abs(nbr - br) + abs(nbg - bg) + abs(nbb - bb) < 0.01 FROM (
+    SELECT img_id, k, n, ar, ag, ab, br, bg, bb, sum(f) AS ca, sum(1 - f) AS cb, sum(least(da, db)) AS s, sum(r * f) / sum(f) AS nar, sum(gr * f) / sum(f) AS nag, sum(b * f) / sum(f) AS nab,
+           sum(r * (1 - f)) / sum(1 - f) AS nbr, sum(gr * (1 - f)) / sum(1 - f) AS nbg, sum(b * (1 - f)) / sum(1 - f) AS nbb
+    FROM (SELECT m.*, p.r, p.gr, p.b, da, db, CASE WHEN da <= db THEN 1 ELSE 0 END AS f FROM m JOIN p ON m.img_id = p.img_id AND NOT m.done AND m.n < 40,
+          LATERAL (SELECT (p.r - ar) ** 2 + (p.gr - ag) ** 2 + (p.b - ab) ** 2 AS da, (p.r - br) ** 2 + (p.gr - bg) ** 2 + (p.b - bb) ** 2 AS db))
+    GROUP BY img_id, k, n, ar, ag, ab, br, bg, bb)
+), last AS (SELECT *, row_number() OVER (PARTITION BY img_id, k ORDER BY n DESC) AS z FROM m), best AS (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY round(inertia, 3), k) AS y FROM last WHERE z = 1),
+c AS (SELECT img_id, [floor(ar + 0.5::DOUBLE)::INT, floor(ag + 0.5::DOUBLE)::INT, floor(ab + 0.5::DOUBLE)::INT] AS a, [floor(br + 0.5::DOUBLE)::INT, floor(bg + 0.5::DOUBLE)::INT, floor(bb + 0.5::DOUBLE)::INT] AS b, na <= nb AS first FROM best WHERE y = 1),
+d AS (SELECT *, abs(a[1] - b[1]) + abs(a[2] - b[2]) + abs(a[3] - b[3]) >= 50 AS fine FROM c)
+SELECT i.img_id, CASE WHEN fine THEN array_to_string(CASE WHEN first THEN a ELSE b END, ',') ELSE '0,0,0' END AS text_rgb, CASE WHEN fine THEN array_to_string(CASE WHEN first THEN b ELSE a END, ',') ELSE '255,255,255' END AS stroke_rgb
+FROM (SELECT DISTINCT img_id FROM fx_tiles) i LEFT JOIN d ON i.img_id = d.img_id""",
+    "stroke_width": _STROKE + " SELECT img_id, round(stroke, 4) AS stroke FROM fx_stroke",
+    "style_flags": _STROKE + """, a AS (SELECT CAST(unnest(range(-24, 25)) AS INT) AS deg), c AS (SELECT img_id, deg, CAST(trunc(x + tan(radians(deg)) * y) AS INT) AS col, count(*) AS c FROM fx_ink, a GROUP BY ALL),
+s AS (SELECT img_id, deg, sum(c * c) AS score FROM c GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY score DESC, deg) AS k FROM s),
+b AS (SELECT img_id, count(*) AS n, count(*)::DOUBLE / greatest((max(y) - min(y) + 1) * (max(x) - min(x) + 1), 1) AS density FROM fx_ink GROUP BY img_id),
+r AS (SELECT DISTINCT img_id, y FROM fx_ink), i AS (SELECT img_id, y - row_number() OVER (PARTITION BY img_id ORDER BY y) AS island FROM r), l AS (SELECT img_id, max(n) AS line FROM (SELECT img_id, island, count(*) AS n FROM i GROUP BY ALL) GROUP BY img_id)
+SELECT t.img_id, coalesce(b.n >= 16 AND abs(k.deg) >= 10, false) AS is_italic, coalesce(b.n >= 16 AND (CASE WHEN l.line > 1 THEN z.stroke / l.line ELSE 0 END >= 0.15::DOUBLE OR b.density >= 0.4::DOUBLE), false) AS is_bold
+FROM (SELECT DISTINCT img_id FROM fx_tiles) t LEFT JOIN b ON t.img_id = b.img_id LEFT JOIN k ON t.img_id = k.img_id AND k.k = 1 LEFT JOIN l ON t.img_id = l.img_id LEFT JOIN fx_stroke z ON t.img_id = z.img_id""",
     "grayscale": L.with_views("fx_tiles") + " SELECT img_id, y, x, CAST(round(0.299::DOUBLE * g + 0.587::DOUBLE * (255 - g) + 0.114::DOUBLE * x) AS INT) AS gray FROM fx_tiles",
     "safe_gap": L.with_views("fx_rows") + ", w AS (SELECT *, min(CASE WHEN row_std < 3.5 AND edge_density < 0.015 AND NOT forbidden THEN 1 ELSE 0 END) OVER f AS m, count(*) OVER f AS c FROM fx_rows WINDOW f AS (PARTITION BY page_id ORDER BY y ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING)) SELECT page_id, y FROM w WHERE m = 1 AND c = 25",
     "forbidden_rows": _LINE + ", p AS (SELECT page_id, max(y2) AS h FROM fx_lines GROUP BY page_id), r AS (SELECT DISTINCT l.page_id, unnest(range(greatest(0, y1 - 25), least(h, y2 + 25))) AS y FROM fx_lines l JOIN p ON l.page_id = p.page_id) SELECT page_id, count(*) AS n_rows, CAST(min(y) AS INT) AS first, CAST(max(y) AS INT) AS last FROM r GROUP BY page_id",

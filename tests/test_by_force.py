@@ -94,18 +94,6 @@ def test_style_flags(spark, tiles):
         assert got[k] == (abs(slant) >= 10, ratio >= 0.15 or density >= 0.4)
 
 
-def test_color_pair_is_a_stable_split(spark):
-    rows = imaging.color_pair(spark, SMALL).collect()
-    assert len(rows) == L.table(spark, SMALL, "embeddings").count()
-    r = np.random.default_rng(3)
-    for _ in range(30):
-        rgb = np.concatenate((r.normal(60, 9, (r.integers(3, 40), 3)), r.normal(190, 9, (r.integers(3, 40), 3)))).clip(0, 255).astype(int)
-        text, other = (np.array(c) for c in raster.color_pair(rgb))
-        near = np.abs(rgb - text).sum(axis=1) < np.abs(rgb - other).sum(axis=1)
-        assert near.sum() <= len(rgb) - near.sum()
-        assert np.abs(rgb[near].mean(axis=0) - text).max() <= 0.51 and np.abs(rgb[~near].mean(axis=0) - other).max() <= 0.51
-
-
 def test_whole_image_queries(spark, strips):
     active = {(r.img_id, r.y): (r.row_std, r.edge_density) for r in plans.row_activity(spark, SMALL).collect()}
     assert len(active) == sum(map(len, strips.values()))
@@ -125,17 +113,6 @@ def test_separator_is_the_settings_own():
     assert Settings().separator == X.SEPARATOR
 
 
-def test_large_images_are_read_on_a_grid(spark):
-    r = np.random.default_rng(9)
-    rgb = np.where((np.arange(100) % 4 == 0)[:, None], r.integers(0, 60, (100, 3)), r.integers(180, 255, (100, 3)))
-    rows = [(1, k // 10, k % 10, *map(int, rgb[k])) for k in range(100)]
-    pixels = spark.createDataFrame(rows, "img_id long, y int, x int, r int, gr int, b int").repartition(3)
-    got = raster.colors(pixels, most=25).first()
-    some = np.array([c[3:] for c in rows if c[1] % 4 == 0 and c[2] % 4 == 0])
-    want = raster.color_pair(some)
-    assert (got.text_rgb, got.stroke_rgb) == tuple(",".join(map(str, c)) for c in want) and len(some) == 9
-
-
 def test_counter_generator_gives_the_published_numbers():
     source = raster.Mixer(1234567)
     assert [source.bits() for _ in range(3)] == [6457827717110365317, 3203168211198807973, 9817491932198370423]

@@ -90,28 +90,71 @@ def test_uniform_and_sparse_images(spark):
     assert {tuple(r) for r in raster.styles(pixels).collect()} == {(1, False, False), (2, False, False)}
 
 
-def test_chamfer_distance_by_brute_force():
+def test_ink_distances_by_brute_force(spark):
+    """Thick strokes, a row and a column without background, shapes at the border."""
     r = np.random.default_rng(3)
-    inside = r.random((9, 11)) < 0.8
-    inside[4, 5] = False
-    want = np.where(inside, np.float32(99), 0)
-    for _ in range(40):
-        padded = np.pad(want, 1, constant_values=99)
-        for dy in (0, 1, 2):
-            for dx in (0, 1, 2):
-                step = 1.0 if (dy == 1) != (dx == 1) else 2**0.5
-                if (dy, dx) != (1, 1):
-                    want = np.minimum(want, padded[dy : dy + 9, dx : dx + 11] + step)
-    assert np.allclose(raster.distances(inside), want, atol=1e-4)
-
-
-def test_two_colours():
-    dark, light = [[10, 20, 30]] * 5, [[200, 210, 220]] * 20
-    assert raster.color_pair(np.array(dark + light)) == ([10, 20, 30], [200, 210, 220])
-    assert raster.color_pair(np.array([[9, 9, 9]] * 30)) == ([0, 0, 0], [255, 255, 255])
-    assert raster.color_pair(np.array([[9, 9, 9]] * 2)) == ([0, 0, 0], [255, 255, 255])
-    noise = np.random.default_rng(1).integers(0, 255, (200, 3))
-    assert raster.color_pair(noise) == raster.color_pair(noise)
+    images = [r.random((9, 11)) < 0.8, r.random((12, 7)) < 0.97, np.pad(np.ones((9, 9), bool), 1), np.eye(6, dtype=bool) | True]
+    images[3][2:4, :] = False
+    rows = [(k, int(y), int(x)) for k, g in enumerate(images) for y, x in zip(*np.nonzero(g))]
+    sizes = spark.createDataFrame([(k, *g.shape) for k, g in enumerate(images)], "img_id long, h int, w int")
+    got = {(d.img_id, d.y, d.x): d.straight + d.diagonal * 2**0.5 for d in raster.ink_distances(spark.createDataFrame(rows, "img_id long, y int, x int"), sizes).collect()}
+    assert set(got) == set(rows)
+    for k, y, x in rows:
+        ways = [(abs(a - y), abs(b - x)) for a, b in zip(*np.nonzero(~images[k]))]
+        assert abs(got[k, y, x] - min(max(w) - min(w) + min(w) * 2**0.5 for w in ways)) < 1e-9
+
+
+def slow_colors(rgb, most_rounds=40):
+    """(text colour, stroke colour) by loops over pixels."""
+    rgb = np.asarray(rgb, float)
+    if len(rgb) < 3:
+        return [0, 0, 0], [255, 255, 255]
+    best = None
+    for restart in range(3):
+        bits, share = raster.starts(restart)
+        one = rgb[bits % len(rgb)]
+        gap = np.cumsum(((rgb - one) ** 2).sum(axis=1))
+        if gap[-1] == 0:
+            return [0, 0, 0], [255, 255, 255]
+        centers = [one, rgb[np.flatnonzero(gap >= gap[-1] * share)[0]]]
+        for _ in range(most_rounds):
+            off = np.stack([((rgb - c) ** 2).sum(axis=1) for c in centers])
+            label, near = off.argmin(axis=0), off.min(axis=0)
+            new = [rgb[label == k].mean(axis=0) if (label == k).any() else rgb[near.argmax()] for k in (0, 1)]
+            counts, inertia = [max(1, int((label == k).sum())) for k in (0, 1)], round(near.sum(), 3)
+            moved = sum(np.abs(a - b).sum() for a, b in zip(new, centers))
+            centers = new
+            if moved < 0.01:
+                break
+        if best is None or inertia < best[0]:
+            best = inertia, centers, counts
+    _, centers, counts = best
+    pair = [np.floor(c + 0.5).astype(int).tolist() for c in centers]
+    if sum(abs(a - b) for a, b in zip(*pair)) < 50:
+        return [0, 0, 0], [255, 255, 255]
+    return (pair[0], pair[1]) if counts[0] <= counts[1] else (pair[1], pair[0])
+
+
+def test_two_colours(spark):
+    r = np.random.default_rng(3)
+    images = [[[10, 20, 30]] * 5 + [[200, 210, 220]] * 20, [[9, 9, 9]] * 30, [[9, 9, 9]] * 2, [[0, 0, 0], [255, 255, 255], [255, 255, 255]], [[5, 5, 5]] * 3 + [[9, 9, 9]]]
+    images += [np.concatenate((r.normal(60, 9, (r.integers(3, 40), 3)), r.normal(190, 9, (r.integers(3, 40), 3)))).clip(0, 255).astype(int).tolist() for _ in range(12)]
+    images += [r.integers(0, 255, (r.integers(3, 90), 3)).tolist() for _ in range(12)]
+    rows = [(k, i // 7, i % 7, *p) for k, image in enumerate(images) for i, p in enumerate(image)]
+    got = {x.img_id: (x.text_rgb, x.stroke_rgb) for x in raster.colors(spark.createDataFrame(rows, "img_id long, y int, x int, r int, gr int, b int").repartition(3)).collect()}
+    for k, image in enumerate(images):
+        assert got[k] == tuple(",".join(map(str, c)) for c in slow_colors(image)), k
+
+
+def test_large_images_are_read_on_a_grid(spark):
+    r = np.random.default_rng(9)
+    rgb = np.where((np.arange(100) % 4 == 0)[:, None], r.integers(0, 60, (100, 3)), r.integers(180, 255, (100, 3)))
+    rows = [(1, k // 10, k % 10, *map(int, rgb[k])) for k in range(100)]
+    pixels = spark.createDataFrame(rows, "img_id long, y int, x int, r int, gr int, b int").repartition(3)
+    got = raster.colors(pixels, most=25).first()
+    some = np.array([c[3:] for c in rows if c[1] % 4 == 0 and c[2] % 4 == 0])
+    want = slow_colors(some)
+    assert (got.text_rgb, got.stroke_rgb) == tuple(",".join(map(str, c)) for c in want) and len(some) == 9
 
 
 def slow_lines(text, room, size, widths):
