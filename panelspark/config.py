@@ -66,3 +66,11 @@ class Recognizer:
         own = mapping.get("Global", {})
         rest = {k: dict(v) for k, v in mapping.items() if k != "Global"} | {"Global": {k: v for k, v in own.items() if k not in known}}
         return cls(**{k: v for k, v in own.items() if k in known}, sections=rest)
+
+    @classmethod
+    def read(cls, spark, path: str) -> Recognizer:
+        """From a YAML file in any store that Spark reads. An empty file gives the defaults."""
+        import yaml
+
+        text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+        return cls.of(yaml.safe_load(text) or {})

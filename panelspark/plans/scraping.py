@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.sources import html as H, landed as L
+from panelspark.sources import html as H, landed as L, registry
 
 _SITE, _READER = "https://example.org", "reader.example.org"
 
@@ -23,6 +23,13 @@ def page_links(spark, d):
     return H.links(L.table(spark, d, "pages"))
 
 
+def site_chapters(spark, d):
+    """The chapters that landed pages list, read by the site of each url; the sites are found in their package."""
+    pages = L.table(spark, d, "pages")
+    sites = registry.discover("panelspark.sources.sites")
+    return sites.read("chapter_list", pages.select("page_id", "url"), lambda urls: urls.join(pages.select("page_id", "html"), "page_id"))
+
+
 def chapter_links(spark, d):
     """Listed links with and without target and span; a link deeper inside is not listed."""
     k, name = F.col("s_suppkey").cast("string"), F.col("s_name")
@@ -104,12 +111,14 @@ def codecs(spark, d):
     return rows.select("item_id", F.length(packed).alias("base64_length"), F.decode(F.unbase64(packed), "utf-8").alias("decoded"), F.octet_length(F.unhex(F.hex("text"))).alias("n_bytes"), F.get(F.regexp_extract_all("text", F.lit(r"([A-Z]\w+)"), F.lit(1)), F.lit(0)).alias("first_name"))
 
 
-QUERIES = {f.__name__: f for f in (page_links, chapter_links, chapter_table, page_images, chapter_info, encoded_pages, script_variables, url_parts, chapter_list_json, codecs)}
+QUERIES = {f.__name__: f for f in (page_links, site_chapters, chapter_links, chapter_table, page_images, chapter_info, encoded_pages, script_variables, url_parts, chapter_list_json, codecs)}
 _PART = "SELECT s_nationkey AS page_id, s_suppkey AS k, trim(s_name) AS s_name"
-ORACLE = {
-    "page_links": """WITH h AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS href, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS name FROM pages),
+_LINKS = """WITH h AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS href, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS name FROM pages),
 l AS (SELECT page_id, url, unnest(href) AS href, unnest(name) AS name, CAST(generate_subscripts(href, 1) - 1 AS INT) AS pos FROM h)
-SELECT page_id, pos, regexp_extract(url, '^[a-z]+://[^/?#]+') || replace(href, '&amp;', '&') AS url, coalesce(nullif(trim(replace(name, '&amp;', '&')), ''), 'Unknown_Chapter') AS name FROM l WHERE href <> ''""",
+SELECT page_id, pos, regexp_extract(url, '^[a-z]+://[^/?#]+') || replace(href, '&amp;', '&') AS url, coalesce(nullif(trim(replace(name, '&amp;', '&')), ''), 'Unknown_Chapter') AS name FROM l WHERE href <> ''"""
+ORACLE = {
+    "page_links": _LINKS,
+    "site_chapters": f"SELECT l.* FROM ({_LINKS}) l JOIN pages p ON l.page_id = p.page_id WHERE contains(lower(p.url), 'example.net') OR contains(lower(p.url), 'example.org')",
     "chapter_links": f"""WITH s AS ({_PART}, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INT) AS pos FROM supplier WHERE s_suppkey % 5 <> 2)
 SELECT page_id, pos, 'https://example.org/c/' || k AS url, CASE WHEN k % 5 = 1 THEN 'Unknown_Chapter' ELSE s_name END AS name FROM s WHERE k % 5 <> 0""",
     "chapter_table": f"""WITH s AS ({_PART}, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INT) AS pos FROM supplier)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import importlib
+import pkgutil
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -60,3 +63,22 @@ class Registry:
         pages = landed(dispatched(urls, [(d, s.name) for d, s in self.domains.items()]).where(F.col("module").isNotNull()))
         parts = [getattr(s, what)(pages.where(F.col("module") == s.name)) for s in known if getattr(s, what) is not None]
         return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], SHAPES[what]))
+
+
+def discover(package: str) -> Registry:
+    """A registry of all modules of a package, in order of their names. A module is a site of its own name: ``DOMAINS`` are its
+    domains, functions named as in SHAPES what it can read. One without domains, or that cannot be imported, is left out with
+    a warning, so that a broken site does not take the others along."""
+    found = Registry()
+    for name in sorted(m.name for m in pkgutil.iter_modules(importlib.import_module(package).__path__) if not m.name.startswith("_")):
+        try:
+            module = importlib.import_module(f"{package}.{name}")
+        except Exception as e:  # whatever a site's own code raises
+            warnings.warn(f"the site {name} cannot be loaded: {e}", stacklevel=2)
+            continue
+        domains = tuple(getattr(module, "DOMAINS", ()))
+        if not domains:
+            warnings.warn(f"the site {name} names no domain", stacklevel=2)
+            continue
+        found.add(Site(name, domains, **{what: getattr(module, what) for what in SHAPES if hasattr(module, what)}))
+    return found

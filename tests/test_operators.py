@@ -466,3 +466,31 @@ def test_encoded_pages_find_their_scripts(spark):
     scripts = spark.createDataFrame([("https://h/j/chapter.js", script), ("https://h/j/chapter.js", script), ("https://h/keyless/chapter.js", "var iv"), ("https://h/none/chapter.js", None)], "url string, script string")
     got = html.encoded_pages(spark.createDataFrame([(i, "https://h/p", x) for i, x in pages], "page_id long, url string, html string"), scripts).collect()
     assert sorted(tuple(r) for r in got) == [(p, i, u) for p in (1, 2) for i, u in ((0, "a.jpg"), (2, "b.jpg"))]
+
+
+def test_sites_are_discovered(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "found_sites"
+    folder.mkdir()
+    (folder / "__init__.py").write_text("")
+    (folder / "b_two.py").write_text("DOMAINS = ['two.example', 'one.example']\nfrom panelspark.sources import html\npage_list = html.images\n")
+    (folder / "a_one.py").write_text("DOMAINS = ('one.example',)\n")
+    (folder / "c_none.py").write_text("x = 1\n")
+    (folder / "d_broken.py").write_text("raise RuntimeError('broken')\n")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    with pytest.warns(UserWarning) as told:
+        sites = registry.discover("found_sites")
+    assert sorted(str(w.message).split()[2] for w in told) == ["c_none", "d_broken"]
+    assert sites.site_of("http://one.example/").name == "b_two" and sites.site_of("http://two.example/").chapter_list is None
+    urls = spark.createDataFrame([(1, "http://two.example/a"), (2, "http://else/")], "page_id long, url string")
+    landed = lambda u: u.withColumn("html", F.lit("<img class='d-block' src='/i.png'>"))
+    assert [tuple(r) for r in sites.read("page_list", urls, landed).collect()] == [(1, 0, "http://two.example/i.png")]
+    assert sites.read("chapter_list", urls, landed).collect() == []
+
+
+def test_settings_are_read_from_yaml(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("Global:\n    text_score: 0.7\n    model_root_dir: null\nDet:\n    engine:\n        threads: -1\n")
+    read = config.Recognizer.read(spark, f"file://{tmp_path}/c.yaml")
+    assert read.text_score == 0.7 and read.min_height == 30 and read.sections == {"Global": {"model_root_dir": None}, "Det": {"engine": {"threads": -1}}}
+    (tmp_path / "e.yaml").write_text("")
+    assert config.Recognizer.read(spark, f"file://{tmp_path}/e.yaml") == config.Recognizer.of({})
