@@ -201,6 +201,48 @@ def test_language_edges(spark, documents, no_documents):
     assert {r["lang"] for r in language.identify(documents, F.lit(False)).collect()} == {"und"}
 
 
+def test_language_by_brute_force(spark):
+    """Profiles, ranks, distances and predictions against loops over characters."""
+    r = random.Random(21)
+    alphabets = {"aa": "abcd é", "bb": "bcde ñ", "cc": "xyz a中"}
+    make = lambda g, n: "".join(r.choice(alphabets[g]) for _ in range(n))
+    rows = [(i, make(g, r.randrange(5, 200)), g) for i, g in enumerate(["aa", "bb", "cc"] * 25)] + [(90, "1234 !", "aa"), (91, None, "bb"), (92, "ABCD Éé", None)]
+
+    def grams(text):
+        text = "".join(c.lower() if c.isalpha() else " " for c in text)
+        out = Counter()
+        for word in text.split():
+            w = f" {word} "
+            for k in (1, 2, 3):
+                out.update(x for x in (w[i : i + k] for i in range(len(w) - k + 1)) if x.strip())
+        return out
+
+    def code(gram):  # the order among equals is that of the symbols
+        return sum((1 if c == " " else int(language._to_symbols(np.array([ord(c)], np.uint32))[0])) << (12 * (len(gram) - 1 - k)) for k, c in enumerate(gram))
+
+    ranked = lambda counts, n: sorted(counts, key=lambda g: (-counts[g], code(g)))[:n]
+    most = 40
+    profiles = {}
+    for g in alphabets:
+        total = Counter()
+        for i, t, lang in rows:
+            if lang == g and i % 4 != 1:
+                total += grams(t or "")
+        profiles[g] = ranked(total, most)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learned = language.learn_profiles(df.where("doc_id % 4 <> 1").select(F.col("lang").alias("_lang"), F.col("text").alias("_text")), most)
+    assert {g: list(map(int, p)) for g, p in learned.items()} == {g: [code(x) for x in p] for g, p in profiles.items()}
+    texts = [t or "" for _, t, _ in rows]
+    got = language.distances(texts, learned, most)
+    for t, row in zip(texts, got):
+        own = ranked(grams(t), most)
+        if not own:
+            assert np.isnan(row).all()
+            continue
+        want = [sum(abs(p.index(x) - k) if x in p else most for k, x in enumerate(own)) / (len(own) * most) for p in (profiles[g] for g in learned)]
+        assert np.allclose(row, want)
+
+
 def test_gram_counts_by_brute_force():
     text = "Ab, c ÀB\nç中文 𐐷x"
     words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
