@@ -39,10 +39,10 @@ def cuts(rows: DataFrame) -> DataFrame:
     the lesser of two running minima, one to the end of a piece and one from the start of the next."""
     near = chains.ahead(rows.select("page_id", F.col("y").cast("long").alias("place"), "row_std", "edge_density", "forbidden"), "place", MOST + 1)
     block = Window.partitionBy("page_id", "block")
-    order = block.orderBy("place")
+    order = block.orderBy("piece", "place")  # the pieces' order too, so that one sort does for both
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    span = MOST - TARGET
-    piece = Window.partitionBy("page_id", "block", F.floor(F.col("place") / span))
+    near = near.withColumn("piece", F.floor(F.col("place") / (MOST - TARGET)))
+    piece = Window.partitionBy("page_id", "block", "piece")
     running = lambda by: F.min("score").over(piece.orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
     score = F.struct((100 * F.col("edge_density") + F.col("row_std") + F.when(F.col("forbidden"), 1e6).otherwise(0.0)).alias("score"), "place")
     safe = is_safe(F.col("row_std"), F.col("edge_density"), F.col("forbidden")).cast("int")
