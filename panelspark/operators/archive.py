@@ -35,13 +35,23 @@ def _fields(*pairs: tuple[object, int]) -> Column:
     return F.concat(*(little_endian(x if isinstance(x, Column) else F.lit(x), n) for x, n in pairs))
 
 
+#: Bytes of members that are in memory as rows at a time, but for one that is larger.
+HELD = 8 << 20
+
+
+def _squeezed(content: bytes | None) -> bytes:
+    squeeze = zlib.compressobj(6, zlib.DEFLATED, -15)
+    return squeeze.compress(content or b"") + squeeze.flush()
+
+
 def _deflated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(batch.num_rows):  # one member at a time is in memory twice
-            row = batch.slice(k, 1)
-            squeeze = zlib.compressobj(6, zlib.DEFLATED, -15)
-            data = squeeze.compress(row.column("content")[0].as_py() or b"") + squeeze.flush()
-            yield pa.RecordBatch.from_arrays([*row.columns, pa.array([data], pa.binary())], [*row.schema.names, "data"])
+        content = batch.column("content")
+        step = max(1, batch.num_rows * HELD // max(1, content.nbytes))
+        for k in range(0, batch.num_rows, step):
+            rows = batch.slice(k, step)
+            data = [_squeezed(c.as_py()) for c in rows.column("content")]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(data, pa.binary())], [*rows.schema.names, "data"])
 
 
 def segments(members: DataFrame) -> DataFrame:
@@ -95,9 +105,23 @@ def read_archives(archived: DataFrame) -> DataFrame:
             for chapter, data in zip(batch.column("chapter_id"), batch.column("archive")):
                 if not data.is_valid:
                     continue
+                held: list[tuple[int, str, bytes]] = []
+
+                def told(held: list, chapter=chapter, kind=batch.schema.field("chapter_id").type) -> pa.RecordBatch:
+                    pos, names, contents = zip(*held)
+                    held.clear()
+                    return pa.RecordBatch.from_arrays([pa.array([chapter.as_py()] * len(pos), kind), pa.array(pos, pa.int64()), pa.array(names, pa.string()), pa.array(contents, pa.binary())], ["chapter_id", "pos", "name", "content"])
+
+                size = 0
                 with zipfile.ZipFile(io.BytesIO(data.as_py())) as z:
                     for pos, info in enumerate(z.infolist()):
-                        yield pa.RecordBatch.from_arrays([pa.array([chapter.as_py()], batch.schema.field("chapter_id").type), pa.array([pos], pa.int64()), pa.array([info.filename]), pa.array([z.read(info)], pa.binary())], ["chapter_id", "pos", "name", "content"])
+                        held.append((pos, info.filename, z.read(info)))
+                        size += len(held[-1][2])
+                        if size > HELD or len(held) >= 5000:
+                            yield told(held)
+                            size = 0
+                if held:
+                    yield told(held)
 
     kind = archived.schema["chapter_id"].dataType.simpleString()
     return archived.select("chapter_id", "archive").mapInArrow(run, f"chapter_id {kind}, pos long, name string, content binary")
