@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.text import clean_line, is_noise, letters
+from panelspark.operators.components import components
 from panelspark.storage import materialize
 
 #: Fixed value: how far lines may miss each other from the side.
 SIDE_PX = -5.0
-#: Height of a band by which a page's lines are dealt; lines of a page that one task closes.
-BAND, PAGE_LINES = 256, 200_000
+#: Height of a band by which a page's lines are dealt.
+BAND = 256
 
 
 @dataclass(frozen=True)
@@ -73,55 +73,18 @@ def edges(lines: DataFrame, rule: MergeRule = MergeRule()) -> DataFrame:
     return a.join(b.hint("merge"), linked).select(c("a.page_id").alias("page_id"), c("a.line_no").alias("a"), c("b.line_no").alias("b"))
 
 
-def _closed(table: pa.Table) -> pa.Table:
-    parent: dict = {}
-
-    def find(x):
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for x, y in zip(table.column("a").to_pylist(), table.column("b").to_pylist()):
-        x, y = find(x), find(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    nodes = sorted(parent)
-    return pa.table({"page_id": pa.array([table.column("page_id")[0].as_py()] * len(nodes), table.schema.field("page_id").type), "line_no": pa.array(nodes, pa.int32()), "cluster": pa.array([find(x) for x in nodes], pa.int32())})
-
+def clusters(lines: DataFrame, rule: MergeRule = MergeRule()) -> DataFrame:
+    """(page_id, line_no, cluster): the least line of each line's cluster; lines without a link stand alone."""
+    return members(lines, rule).select("page_id", "line_no", "cluster")
 
-def _propagated(pairs: DataFrame) -> DataFrame:
-    """The same closure for pages that no task should hold: least labels, halving paths each round."""
-    both = materialize(pairs.unionByName(pairs.select("page_id", F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    state = materialize(both.select("page_id", F.col("a").alias("line_no")).distinct().withColumn("cluster", F.col("line_no")), "labels")
-    while True:
-        near = both.join(state.withColumnRenamed("line_no", "b"), ["page_id", "b"]).groupBy("page_id", F.col("a").alias("line_no")).agg(F.min("cluster").alias("m"))
-        lower = state.join(near, ["page_id", "line_no"]).select("page_id", "line_no", F.col("cluster").alias("was"), F.least("cluster", "m").alias("cluster"))
-        jump = lower.select("page_id", F.col("line_no").alias("cluster"), F.col("cluster").alias("up"))
-        new = materialize(lower.join(jump, ["page_id", "cluster"]).select("page_id", "line_no", "was", F.col("up").alias("cluster")), "labels")
-        state = new.drop("was")
-        if not new.where("was <> cluster").head(1):
-            return state
 
+def members(lines: DataFrame, rule: MergeRule = MergeRule()) -> DataFrame:
+    """All columns of the lines with their cluster and, for the order inside it, their centre ``cy``.
 
-def clusters(lines: DataFrame, page_lines: int = PAGE_LINES, rule: MergeRule = MergeRule()) -> DataFrame:
-    """(page_id, line_no, cluster): the least line of each line's cluster; lines without a link stand alone."""
-    return members(lines, page_lines, rule).select("page_id", "line_no", "cluster")
-
-
-def members(lines: DataFrame, page_lines: int = PAGE_LINES, rule: MergeRule = MergeRule()) -> DataFrame:
-    """All columns of the lines with their cluster and, for the order inside it, their centre ``cy``."""
-    pairs = edges(lines, rule)
-    sizes = lines.groupBy("page_id").agg((F.count("*") > page_lines).alias("long"))
-    # whether a page is long is looked up once for all lines, not for pairs
-    long_pages = sizes.where("long").select("page_id")
-    schema = f"page_id {lines.schema['page_id'].dataType.simpleString()}, line_no int, cluster int"
-    some_long = bool(long_pages.head(1))
-    short = pairs.join(long_pages, "page_id", "left_anti") if some_long else pairs
-    closed = short.groupBy("page_id").applyInArrow(_closed, schema)
-    if some_long:
-        closed = closed.unionByName(_propagated(materialize(pairs.join(long_pages, "page_id", "left_semi"), "pairs")))
+    Lines of all pages are the nodes of one graph, so that no page is closed in one task."""
+    node = lambda line: F.struct("page_id", F.col(line).alias("line_no")).alias(line)
+    closed = components(edges(lines, rule).select(node("a"), node("b")))
+    closed = closed.select(F.col("node.page_id").alias("page_id"), F.col("node.line_no").alias("line_no"), F.col("root.line_no").alias("cluster"))
     labelled = lines.join(closed, ["page_id", "line_no"], "left")
     return labelled.withColumns({"cluster": F.coalesce("cluster", "line_no"), "cy": (F.col("y1") + F.col("y2")) / 2})
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panelspark import api, config, storage
 from panelspark.functions import text as X
 from panelspark.operators import archive, bubbles, folds, kernels, layout, raster, routing
+from panelspark.operators import components as graph
 from panelspark.sources import files, html, registry
 
 LINE = "page_id long, line_no int, raw_text string, x1 int, y1 int, x2 int, y2 int, angle double, is_italic boolean, is_bold boolean"
@@ -37,11 +38,44 @@ def test_merge_rule_at_its_limits(spark, second, linked):
     assert [(r.a, r.b) for r in found] == ([(0, 1)] if linked else [])
 
 
-def test_closure_is_transitive_and_the_same_for_long_pages(spark):
-    rows = lines(spark, [(0, 25 * i, 100, 25 * i + 20, 0.0) for i in range(40)] + [(0, 9000, 100, 9020, 0.0)])
-    short = {(r.line_no, r.cluster) for r in bubbles.clusters(rows).collect()}
-    long = {(r.line_no, r.cluster) for r in bubbles.clusters(rows, page_lines=1).collect()}
-    assert short == long == {(i, 0) for i in range(40)} | {(40, 40)}
+def test_closure_is_transitive_within_a_page(spark):
+    column = [(0, 25 * i, 100, 25 * i + 20, 0.0) for i in range(40)] + [(0, 9000, 100, 9020, 0.0)]
+    rows = lines(spark, column)
+    both = rows.unionByName(rows.withColumn("page_id", F.lit(2).cast("long")))
+    got = {(r.page_id, r.line_no, r.cluster) for r in bubbles.clusters(both).collect()}
+    assert got == {(p, i, 0) for p in (1, 2) for i in range(40)} | {(p, 40, 40) for p in (1, 2)}
+
+
+def by_union_find(pairs):
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in pairs:
+        if x is not None and y is not None and x != y:
+            x, y = find(x), find(y)
+            parent[max(x, y)] = min(x, y)
+    return {x: find(x) for x in parent}
+
+
+@pytest.mark.parametrize("hubs", [None, 4])
+@pytest.mark.parametrize("case", ["random", "path", "star", "empty"])
+def test_components_by_union_find(spark, monkeypatch, case, hubs):
+    """With hubs of a quarter of all edges, too, whose edges are not dealt out by key."""
+    if hubs:
+        monkeypatch.setattr(graph, "HUBS", hubs)
+        monkeypatch.setattr(graph, "HUB_EDGES", 1)
+    rng = random.Random(7)
+    path = rng.sample(range(90), 90)
+    star = [(40, i) for i in range(80)] + [(i, i + 100) for i in range(0, 80, 3)]
+    pairs = {"random": [(rng.randrange(90), rng.randrange(90)) for _ in range(60)], "path": list(zip(path, path[1:])), "star": star * 2, "empty": []}[case]
+    pairs += [(3, 3), (None, 1), (2, None)]
+    got = [tuple(r) for r in graph.components(spark.createDataFrame(pairs, "a int, b int")).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == by_union_find(pairs)
 
 
 def test_closure_does_not_depend_on_partitions(spark):
