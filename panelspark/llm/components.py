@@ -1,43 +1,12 @@
-"""Connected components of a graph that only the cluster can hold: alternating large and small stars."""
+"""Connected components of a written table of pairs, by the library's own operator."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from panelspark.llm.common import drop_table, files_for, materialize
-
-#: Edges in one file of a round's table.
-FILE_ROWS = 5_000
-
-
-def _stars(pairs: DataFrame, small: bool) -> DataFrame:
-    """Each node's neighbours are hung on the least node around it: the greater ones, or (small) itself and the smaller."""
-    if not small:
-        pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = pairs.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    met = pairs.join(least, "a")
-    if small:
-        out = met.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    else:
-        out = met.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return out.where(F.col("a") != F.col("b")).distinct()
+from panelspark.operators.components import components as by_stars
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(a, b) pairs, a written table -> (node, root): the least node of each node's component; nodes without a pair are left out.
-
-    Each round is written to the shared folder; rounds grow with the logarithm of the longest path. Nulls and loops are ignored."""
-    edges = pairs.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    files, state = files_for(pairs.sparkSession, pairs.count(), FILE_ROWS), None
-    edges = materialize(edges, "edges", files=files)
-    while True:
-        new = materialize(_stars(_stars(edges, False), True), "stars", files=files)
-        drop_table(edges)
-        edges = new
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if tuple(now) == state:
-            break
-        state = tuple(now)
-    roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+    """(a, b) pairs, a written table -> (node, root): the least node of each node's component; nodes without a pair are left out."""
+    return by_stars(pairs, pairs.count())
