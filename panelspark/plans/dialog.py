@@ -52,20 +52,38 @@ def dialog_bubbles(spark, d):
 
 
 _KEPT = r"""fx_kept AS (SELECT * FROM fx_clean WHERE NOT (regexp_full_match(text, '[O0-9\s.,!?''"~-]+') AND length(text) < 6) AND text <> '')"""
-_EDGES = """fx_edges AS (
+
+
+def _edges_sql(size_ratio: float = 1.3, gap: float = 10.0) -> str:
+    """Pairs of lines that belong together, at the given limits."""
+    return f"""fx_edges AS (
   SELECT a.page_id, a.line_no AS a, b.line_no AS b FROM fx_kept a JOIN fx_kept b ON a.page_id = b.page_id AND a.line_no < b.line_no
-  WHERE greatest(a.y2 - a.y1, b.y2 - b.y1)::DOUBLE / greatest(least(a.y2 - a.y1, b.y2 - b.y1), 1) <= 1.3::DOUBLE
+  WHERE greatest(a.y2 - a.y1, b.y2 - b.y1)::DOUBLE / greatest(least(a.y2 - a.y1, b.y2 - b.y1), 1) <= {size_ratio}::DOUBLE
     AND abs(a.angle - b.angle) <= 12 AND least(a.x2, b.x2) - greatest(a.x1, b.x1) >= -5
     AND abs((a.x1 + a.x2) * 0.5::DOUBLE - (b.x1 + b.x2) * 0.5::DOUBLE) < greatest(a.x2 - a.x1, b.x2 - b.x1, 1) * 0.6::DOUBLE
-    AND least(a.y2, b.y2) - greatest(a.y1, b.y1) >= -greatest(10.0::DOUBLE, 0.8::DOUBLE * greatest(least(a.y2 - a.y1, b.y2 - b.y1), 1))
+    AND least(a.y2, b.y2) - greatest(a.y1, b.y1) >= -greatest({gap}::DOUBLE, 0.8::DOUBLE * greatest(least(a.y2 - a.y1, b.y2 - b.y1), 1))
     AND least(a.y2, b.y2) - greatest(a.y1, b.y1) <= 2.0::DOUBLE * greatest(least(a.y2 - a.y1, b.y2 - b.y1), 1))"""
+
+
 _CLOSED = """fx_reach AS (
   SELECT page_id, line_no, line_no AS seen FROM fx_kept
   UNION
   SELECT r.page_id, r.line_no, e.o FROM fx_reach r JOIN (SELECT page_id, a AS i, b AS o FROM fx_edges UNION ALL SELECT page_id, b, a FROM fx_edges) e ON r.page_id = e.page_id AND r.seen = e.i
 ), fx_cluster AS (SELECT page_id, line_no, min(seen) AS cluster FROM fx_reach GROUP BY ALL)"""
-_BASE = L.with_views("fx_lines", "fx_clean", recursive=True) + f",\n{_KEPT},\n{_EDGES}"
-_MEMBERS = f"{_BASE},\n{_CLOSED},\nfx_members AS (SELECT k.*, cluster, (y1 + y2) / 2.0::DOUBLE AS cy FROM fx_kept k JOIN fx_cluster c ON k.page_id = c.page_id AND k.line_no = c.line_no)"
+_BASE = L.with_views("fx_lines", "fx_clean", recursive=True) + f",\n{_KEPT},\n{_edges_sql()}"
+
+
+def members_sql(**limits: float) -> str:
+    """The views up to fx_members, the lines with their cluster and centre, at the given limits."""
+    base = L.with_views("fx_lines", "fx_clean", recursive=True) + f",\n{_KEPT},\n{_edges_sql(**limits)}"
+    return f"{base},\n{_CLOSED},\nfx_members AS (SELECT k.*, cluster, (y1 + y2) / 2.0::DOUBLE AS cy FROM fx_kept k JOIN fx_cluster c ON k.page_id = c.page_id AND k.line_no = c.line_no)"
+
+
+#: Places of lines in clusters and of clusters in pages, after ``members_sql``.
+RANKED_SQL = """, h AS (SELECT page_id, cluster, min(y1) AS y1, avg(cy) AS cy, min(line_no) AS first_line FROM fx_members GROUP BY page_id, cluster), g AS (SELECT page_id, cluster, CAST(row_number() OVER (PARTITION BY page_id ORDER BY y1, cy, first_line) - 1 AS INT) AS block_no FROM h)
+SELECT m.page_id, m.line_no, m.cluster, CAST(row_number() OVER (PARTITION BY m.page_id, m.cluster ORDER BY cy, line_no) - 1 AS INT) AS rank, block_no FROM fx_members m JOIN g ON m.page_id = g.page_id AND m.cluster = g.cluster"""
+
+_MEMBERS = members_sql()
 
 QUERIES = {f.__name__: f for f in (clean_ocr_text, numeric_noise_filter, safe_names, word_counts, merge_edges, connected_components, bubble_order, dialog_bubbles)}
 ORACLE = {
@@ -77,8 +95,7 @@ SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(t, '[^a-zA-Z0-
     "word_counts": L.with_views("fx_lines") + r" SELECT page_id, line_no, len(list_filter(regexp_split_to_array(raw_text, '\s+'), lambda w: w <> '')) AS n_words, length(raw_text) AS n_chars, length(regexp_replace(raw_text, '[^A-Z]', '', 'g')) AS n_capitals FROM fx_lines",
     "merge_edges": _BASE + " SELECT page_id, a, b FROM fx_edges",
     "connected_components": f"{_BASE},\n{_CLOSED} SELECT page_id, line_no, cluster FROM fx_cluster",
-    "bubble_order": _MEMBERS + """, h AS (SELECT page_id, cluster, min(y1) AS y1, avg(cy) AS cy, min(line_no) AS first_line FROM fx_members GROUP BY page_id, cluster), g AS (SELECT page_id, cluster, CAST(row_number() OVER (PARTITION BY page_id ORDER BY y1, cy, first_line) - 1 AS INT) AS block_no FROM h)
-SELECT m.page_id, m.line_no, m.cluster, CAST(row_number() OVER (PARTITION BY m.page_id, m.cluster ORDER BY cy, line_no) - 1 AS INT) AS rank, block_no FROM fx_members m JOIN g ON m.page_id = g.page_id AND m.cluster = g.cluster""",
+    "bubble_order": _MEMBERS + RANKED_SQL,
     "dialog_bubbles": _MEMBERS + """, b AS (
   SELECT page_id, cluster, string_agg(text, ' ' ORDER BY cy, line_no) AS text, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, round(avg((y2 - y1)::DOUBLE), 6) AS line_height,
          round(avg(angle), 6) AS angle, bool_or(is_italic) AS is_italic, bool_or(is_bold) AS is_bold, count(*) AS n_lines, avg(cy) AS cy, min(line_no) AS first_line FROM fx_members GROUP BY ALL)

@@ -127,6 +127,17 @@ fx_far AS (SELECT i.img_id, i.y, i.x, min(greatest(abs(i.y - b.y), abs(i.x - b.x
 fx_stroke AS (SELECT img_id, 2 * list_sort(list(d))[least(CAST(trunc(count(*) * 0.6::DOUBLE) AS INT), count(*) - 1) + 1] AS stroke FROM fx_far GROUP BY img_id)"""
 _LINE = L.with_views("fx_lines")
 
+
+def styles_sql(italic: float = 10.0, ratio: float = 0.15, density: float = 0.4) -> str:
+    """Flags at the given limits."""
+    return _STROKE + f""", a AS (SELECT CAST(unnest(range(-24, 25)) AS INT) AS deg), c AS (SELECT img_id, deg, CAST(trunc(x + tan(radians(deg)) * y) AS INT) AS col, count(*) AS c FROM fx_ink, a GROUP BY ALL),
+s AS (SELECT img_id, deg, sum(c * c) AS score FROM c GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY score DESC, deg) AS k FROM s),
+b AS (SELECT img_id, count(*) AS n, count(*)::DOUBLE / greatest((max(y) - min(y) + 1) * (max(x) - min(x) + 1), 1) AS density FROM fx_ink GROUP BY img_id),
+r AS (SELECT DISTINCT img_id, y FROM fx_ink), i AS (SELECT img_id, y - row_number() OVER (PARTITION BY img_id ORDER BY y) AS island FROM r), l AS (SELECT img_id, max(n) AS line FROM (SELECT img_id, island, count(*) AS n FROM i GROUP BY ALL) GROUP BY img_id)
+SELECT t.img_id, coalesce(b.n >= 16 AND abs(k.deg) >= {italic}, false) AS is_italic, coalesce(b.n >= 16 AND (CASE WHEN l.line > 1 THEN z.stroke / l.line ELSE 0 END >= {ratio}::DOUBLE OR b.density >= {density}::DOUBLE), false) AS is_bold
+FROM (SELECT DISTINCT img_id FROM fx_tiles) t LEFT JOIN b ON t.img_id = b.img_id LEFT JOIN k ON t.img_id = k.img_id AND k.k = 1 LEFT JOIN l ON t.img_id = l.img_id LEFT JOIN fx_stroke z ON t.img_id = z.img_id"""
+
+
 QUERIES = {f.__name__: f for f in (gray_histogram, otsu, ink_bbox_density, longest_run, slant, row_stats, stroke_width, style_flags, color_pair, grayscale, safe_gap, forbidden_rows, smart_slice, stacked_offsets, archive_members, font_size, safe_padding, word_wrap, geometry)}
 ORACLE = {
     "gray_histogram": _OTSU + " SELECT img_id, g, n FROM fx_hist",
@@ -159,12 +170,7 @@ d AS (SELECT *, abs(a[1] - b[1]) + abs(a[2] - b[2]) + abs(a[3] - b[3]) >= 50 AS
 SELECT i.img_id, CASE WHEN fine THEN array_to_string(CASE WHEN first THEN a ELSE b END, ',') ELSE '0,0,0' END AS text_rgb, CASE WHEN fine THEN array_to_string(CASE WHEN first THEN b ELSE a END, ',') ELSE '255,255,255' END AS stroke_rgb
 FROM (SELECT DISTINCT img_id FROM fx_tiles) i LEFT JOIN d ON i.img_id = d.img_id""",
     "stroke_width": _STROKE + " SELECT img_id, round(stroke, 4) AS stroke FROM fx_stroke",
-    "style_flags": _STROKE + """, a AS (SELECT CAST(unnest(range(-24, 25)) AS INT) AS deg), c AS (SELECT img_id, deg, CAST(trunc(x + tan(radians(deg)) * y) AS INT) AS col, count(*) AS c FROM fx_ink, a GROUP BY ALL),
-s AS (SELECT img_id, deg, sum(c * c) AS score FROM c GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY img_id ORDER BY score DESC, deg) AS k FROM s),
-b AS (SELECT img_id, count(*) AS n, count(*)::DOUBLE / greatest((max(y) - min(y) + 1) * (max(x) - min(x) + 1), 1) AS density FROM fx_ink GROUP BY img_id),
-r AS (SELECT DISTINCT img_id, y FROM fx_ink), i AS (SELECT img_id, y - row_number() OVER (PARTITION BY img_id ORDER BY y) AS island FROM r), l AS (SELECT img_id, max(n) AS line FROM (SELECT img_id, island, count(*) AS n FROM i GROUP BY ALL) GROUP BY img_id)
-SELECT t.img_id, coalesce(b.n >= 16 AND abs(k.deg) >= 10, false) AS is_italic, coalesce(b.n >= 16 AND (CASE WHEN l.line > 1 THEN z.stroke / l.line ELSE 0 END >= 0.15::DOUBLE OR b.density >= 0.4::DOUBLE), false) AS is_bold
-FROM (SELECT DISTINCT img_id FROM fx_tiles) t LEFT JOIN b ON t.img_id = b.img_id LEFT JOIN k ON t.img_id = k.img_id AND k.k = 1 LEFT JOIN l ON t.img_id = l.img_id LEFT JOIN fx_stroke z ON t.img_id = z.img_id""",
+    "style_flags": styles_sql(),
     "grayscale": L.with_views("fx_tiles") + " SELECT img_id, y, x, CAST(round(0.299::DOUBLE * g + 0.587::DOUBLE * (255 - g) + 0.114::DOUBLE * x) AS INT) AS gray FROM fx_tiles",
     "safe_gap": L.with_views("fx_rows") + ", w AS (SELECT *, min(CASE WHEN row_std < 3.5 AND edge_density < 0.015 AND NOT forbidden THEN 1 ELSE 0 END) OVER f AS m, count(*) OVER f AS c FROM fx_rows WINDOW f AS (PARTITION BY page_id ORDER BY y ROWS BETWEEN CURRENT ROW AND 24 FOLLOWING)) SELECT page_id, y FROM w WHERE m = 1 AND c = 25",
     "forbidden_rows": _LINE + ", p AS (SELECT page_id, max(y2) AS h FROM fx_lines GROUP BY page_id), r AS (SELECT DISTINCT l.page_id, unnest(range(greatest(0, y1 - 25), least(h, y2 + 25))) AS y FROM fx_lines l JOIN p ON l.page_id = p.page_id) SELECT page_id, count(*) AS n_rows, CAST(min(y) AS INT) AS first, CAST(max(y) AS INT) AS last FROM r GROUP BY page_id",
