@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Callable
+from itertools import accumulate
+from math import floor, inf, isfinite, isnan
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -43,53 +48,65 @@ def padding(size: Column, stroke: Column) -> Column:
     return F.greatest(size * 0.3 + size * stroke, F.lit(15.0))
 
 
-def advance_of(char: Column, widths: list[int]) -> Column:
-    """A character's advance in thousandths of the font size, by its code point; ``USUAL`` where the table has none."""
-    return F.coalesce(F.get(F.array(*map(F.lit, widths)), F.ascii(char)), F.lit(USUAL)) if widths else F.lit(USUAL)
-
-
-def measured(word: Column, widths: list[int]) -> Column:
-    """(word, upto): upto[k] is the advance of the first k characters."""
-    upto = F.aggregate(F.split(word, ""), F.array(F.lit(0)), lambda a, c: F.array_append(a, F.element_at(a, -1) + advance_of(c, widths)))
-    return F.struct(word.alias("word"), upto.alias("upto"))
-
-
-def wrapped(words: Column, size: Column, room: Column, widths: list[int]) -> Column:
-    """The lines of ``measured`` words in a room in thousandths of a pixel. A word goes on the line while it fits. One wider than
-    the room starts a line of its own and is cut at its longest beginnings that fit with a hyphen, one character at least;
-    what is left of it goes on as a word does."""
-    blank, hyphen = advance_of(F.lit(" "), widths), advance_of(F.lit("-"), widths)
-    empty = F.array().cast("array<string>")
-
-    def pieces(x: Column) -> Column:
-        upto = lambda k: F.get(x["upto"], k)
-        size_of = F.size(x["upto"]) - 1
-
-        def cut(a: Column, j: Column) -> Column:
-            fits = (upto(size_of) - upto(a["at"])) * size <= room
-            next_fits = (upto(j + 1) - upto(a["at"]) + hyphen) * size <= room
-            piece = F.concat(F.substring(x["word"], a["at"] + 1, j - a["at"]), F.lit("-"))
-            return F.when(fits | next_fits, a).otherwise(F.struct(j.alias("at"), F.array_append(a["lines"], piece).alias("lines")))
-
-        return F.aggregate(F.when(size_of > 1, F.sequence(F.lit(1), size_of - 1)).otherwise(F.array().cast("array<int>")), F.struct(F.lit(0).alias("at"), empty.alias("lines")), cut)
-
-    def closed(a: Column) -> Column:
-        return F.when(a["line"].isNull(), a["lines"]).otherwise(F.array_append(a["lines"], a["line"]))
-
-    state = lambda lines, line, width: F.struct(lines.alias("lines"), line.cast("string").alias("line"), width.cast("int").alias("width"))
-
-    def step(a: Column, x: Column) -> Column:
-        whole = F.element_at(x["upto"], -1)
-        broken = F.transform(F.array(pieces(x)), lambda p: state(F.concat(closed(a), p["lines"]), F.substring(x["word"], p["at"] + 1, F.length(x["word"])), whole - F.get(x["upto"], p["at"])))[0]
-        new = F.when(a["line"].isNotNull() & ((a["width"] + blank + whole) * size <= room), state(a["lines"], F.concat(a["line"], F.lit(" "), x["word"]), a["width"] + blank + whole)).otherwise(state(closed(a), x["word"], whole))
-        return F.when(whole * size > room, broken).otherwise(new)
-
-    return F.aggregate(words, state(empty, F.lit(None), F.lit(0)), step, closed)
-
-
-def gap_of(size: Column) -> Column:
+def _broken(word: str, room: int, wide: Callable[[str], int], hyphen: int) -> tuple[list[str], str]:
+    """A word's longest beginnings that fit with a hyphen, one character at least, while the rest is wider than the room."""
+    upto = [0, *accumulate(map(wide, word))]
+    at, last, pieces = 0, len(word), []
+    while upto[last] - upto[at] > room and last - at > 1:
+        cut = min(last - 1, max(at + 1, bisect_right(upto, room - hyphen + upto[at], at) - 1))
+        pieces.append(word[at:cut] + "-")
+        at = cut
+    return pieces, word[at:]
+
+
+def wrapped(words: list[str], lengths: list[int], upto: list[int], room: int, wide: Callable[[str], int], blank: int, hyphen: int, most: float = inf) -> list[str] | None:
+    """The lines of words in a room in whole thousandths of the font size; None once they are more than ``most``. ``upto`` are running
+    sums of the lengths and a blank for each word.
+
+    A word goes on the line while it fits. One wider than the room starts a line of its own and is cut (``_broken``); what is left of
+    it goes on as a word does. Where a line ends is found in the running sums."""
+    lines: list[str] = []
+    i = 0
+    while i < len(words):
+        if lengths[i] > room:
+            pieces, rest = _broken(words[i], room, wide, hyphen)
+            end = max(i + 1, bisect_right(upto, room - sum(map(wide, rest)) + upto[i + 1], i) - 1)
+            lines += [*pieces, " ".join([rest, *words[i + 1 : end]])]
+        else:
+            end = bisect_right(upto, room + blank + upto[i], i) - 1
+            lines.append(" ".join(words[i:end]))
+        if len(lines) > most:
+            return None
+        i = end
+    return lines
+
+
+def gap_of(size: int) -> float:
     """Distance of lines: the height of a capital and 0.45 of the size, cut to whole pixels."""
-    return size * (CAPITAL / 1000) + (size * 0.45).cast("int")
+    return size * (CAPITAL / 1000) + int(size * 0.45)
+
+
+def _fitted(words: list[str], box_w: float, box_h: float, start: int, wide: Callable[[str], int], length: Callable[[str], int], widest: int) -> tuple[int, list[str]]:
+    if not words or start <= 8:
+        return start, []
+    if len(words) == 1:
+        for size in range(start, 8, -2):
+            stroke = max(2, int(size * 0.08))
+            if length(words[0]) * size / 1000 + 2 * stroke <= box_w * 1.5 and gap_of(size) + 2 * stroke <= box_h * 1.2:
+                return size, words
+        return size - 2, []
+    blank, hyphen = wide(" "), wide("-")
+    lengths = [length(w) for w in words]
+    upto, total, room = [0, *accumulate(n + blank for n in lengths)], sum(lengths), min(box_w * (USABLE * 1000), 1e15)
+    for size in range(start, 8, -1):
+        most = box_h * USABLE / gap_of(size)
+        if size > 9 and isfinite(most) and (widest + hyphen) * size <= room and total * size > room * floor(most):
+            continue  # a line is no longer than the room, and the words alone need more lines
+        # whole numbers are within the room where they are within its whole part; a room that is not known holds one word a line
+        lines = words if isnan(box_w) else wrapped(words, lengths, upto, floor(room) // size, wide, blank, hyphen, most + 1 if size > 9 else inf)
+        if lines is not None and len(lines) * gap_of(size) <= box_h * USABLE:
+            return size, lines
+    return 8, lines or []
 
 
 def fit_text(text: Column, box_w: Column, box_h: Column, start: Column, widths: list[int]) -> Column:
@@ -97,31 +114,22 @@ def fit_text(text: Column, box_w: Column, box_h: Column, start: Column, widths:
 
     More than one word: sizes fall by one and, if none fits, the last one's lines stay. One word: sizes fall by two, it may
     exceed the box somewhat, and there is no line if none fits. Without words there is no line. Sizes at which the words'
-    plain length already needs too many lines are passed over unwrapped."""
-    room = box_w * (USABLE * 1000)
-    hyphen = advance_of(F.lit("-"), widths)
-    result = lambda size, lines, done: F.struct(size.cast("int").alias("size"), lines.alias("lines"), done.alias("done"))
-    none = F.array().cast("array<string>")
-
-    def all_of(words: Column) -> Column:
-        total = F.aggregate(words, F.lit(0), lambda a, x: a + F.element_at(x["upto"], -1))
-        widest = max([USUAL, *widths])
+    plain length already needs too many lines are passed over unwrapped. Wrapping at one size is as many
+    searches in the words' running lengths as there are lines; a fold of Catalyst would step through all characters."""
 
-        def one(a: Column, size: Column) -> Column:
-            stroke = F.greatest(F.lit(2), (size * 0.08).cast("int"))
-            fits = (total * size / 1000 + 2 * stroke <= box_w * 1.5) & (gap_of(size) + 2 * stroke <= box_h * 1.2)
-            return F.when(a["done"], a).when(fits, result(size, F.array(words[0]["word"]), F.lit(True))).otherwise(result(size - 2, none, F.lit(False)))
+    @F.pandas_udf("size int, lines array<string>")
+    def fitted(words: pd.Series, w: pd.Series, h: pd.Series, start: pd.Series) -> pd.DataFrame:
+        known: dict[str, int] = {}
+        widest = max([USUAL, *widths])
+        wide = lambda c: widths[ord(c)] if ord(c) < len(widths) else USUAL
 
-        def many(a: Column, size: Column) -> Column:
-            most = F.floor(box_h * USABLE / gap_of(size))
-            hopeless = ((widest + hyphen) * size <= room) & (total * size > room * most) & (size > 9)
-            tried = F.transform(F.array(wrapped(words, size, room, widths)), lambda lines: result(F.when(F.size(lines) * gap_of(size) <= box_h * USABLE, size).otherwise(size - 1), lines, F.size(lines) * gap_of(size) <= box_h * USABLE))[0]
-            return F.when(a["done"], a).when(hopeless, result(size - 1, none, F.lit(False))).otherwise(tried)
+        def length(word: str) -> int:
+            n = known.get(word)
+            if n is None:
+                n = known[word] = sum(map(wide, word))
+            return n
 
-        sizes = lambda by: F.when(start > 8, F.sequence(start, F.least(start, F.lit(9)), F.lit(-by))).otherwise(F.array().cast("array<int>"))
-        first = result(start, none, F.lit(False))
-        found = F.when(F.size(words) == 0, first).when(F.size(words) == 1, F.aggregate(sizes(2), first, one)).otherwise(F.aggregate(sizes(1), first, many))
-        return F.struct(found["size"].alias("size"), found["lines"].alias("lines"))
+        found = [(None, []) if pd.isna(s) else _fitted(list(ws), x, y, int(s), wide, length, widest) for ws, x, y, s in zip(words, w.to_numpy(dtype=float), h.to_numpy(dtype=float), start)]
+        return pd.DataFrame({"size": pd.array([s for s, _ in found], "Int32"), "lines": [x for _, x in found]})
 
-    words = F.transform(X.words(F.coalesce(text, F.lit(""))), lambda w: measured(w, widths))
-    return F.transform(F.array(words), all_of)[0]
+    return fitted(X.words(F.coalesce(text, F.lit(""))), box_w, box_h, start)
