@@ -23,12 +23,22 @@ def safe_starts(rows: DataFrame) -> DataFrame:
     return rows.withColumn("gap_ok", (F.min(safe.cast("int")).over(ahead) == 1) & (F.count("*").over(ahead) == GAP))
 
 
+def forbidden_bands(lines: DataFrame) -> DataFrame:
+    """(page_id, first, last): stretches of rows within the margin of any text line, clipped to the page, that do not meet another
+    of their page. A line adds what lies behind the end of all that start before it, so that lines are sorted and no row
+    of a page is written out."""
+    page = Window.partitionBy("page_id")
+    ends = lines.groupBy("page_id", F.greatest(F.lit(0), F.col("y1") - MARGIN).alias("start")).agg(F.max("y2").alias("low"))
+    before = page.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    bands = ends.select("page_id", "start", F.max("low").over(before).alias("above"), "low", F.max("low").over(page).alias("h"))
+    stop = F.least(F.col("h"), F.col("low") + MARGIN)
+    bands = bands.select("page_id", F.greatest("start", F.when(F.col("above").isNotNull(), F.least(F.col("h"), F.col("above") + MARGIN))).alias("first"), (stop - 1).alias("last"))
+    return bands.where(F.col("first") <= F.col("last"))
+
+
 def forbidden_rows(lines: DataFrame) -> DataFrame:
-    """(page_id, y): rows within the margin of any text line, each once. Lines are exploded into their rows, so the
-    work is the rows' number; no range join."""
-    page = lines.groupBy("page_id").agg(F.max("y2").alias("h"))
-    spread = lines.join(page, "page_id").select("page_id", F.explode(F.sequence(F.greatest(F.lit(0), F.col("y1") - MARGIN), F.least(F.col("h"), F.col("y2") + MARGIN) - 1)).alias("y"))
-    return spread.distinct()
+    """(page_id, y): rows within the margin of any text line, each once."""
+    return forbidden_bands(lines).select("page_id", F.explode(F.sequence("first", "last")).alias("y"))
 
 
 def cuts(rows: DataFrame) -> DataFrame:
