@@ -53,16 +53,36 @@ def longest_run(inked: DataFrame) -> DataFrame:
     return rows.withColumn("island", island).groupBy("img_id", "island").agg(F.count("*").alias("n")).groupBy("img_id").agg(F.max("n").alias("line_height"))
 
 
+def _slants(ids: np.ndarray, y: np.ndarray, x: np.ndarray, n: int) -> np.ndarray:
+    """Of n images the shear angle whose column profile is the most peaked. ``ids`` are the images of the points, in order."""
+    best, score = np.zeros(n, np.int32), np.full(n, -1)
+    for angle in ANGLES:
+        column = (x + float(np.tan(np.radians(angle))) * y).astype(np.int64)
+        low = column.min(initial=0)
+        cell, counts = np.unique(ids * (column.max(initial=0) - low + 1) + column - low, return_counts=True)
+        own = cell // (column.max(initial=0) - low + 1)
+        sums = np.zeros(n, np.int64)
+        np.add.at(sums, own, counts.astype(np.int64) ** 2)
+        best, score = np.where(sums > score, angle, best), np.maximum(score, sums)
+    return np.where(np.bincount(ids, minlength=n) < LEAST_INK, 0, best).astype(np.int32)
+
+
 def slant(inked: DataFrame) -> DataFrame:
     """The shear angle whose column profile is the most peaked; the least of equals; 0 with little ink.
 
-    Rows with the same shear are summed by column, so what is shuffled is columns for each angle, not pixels."""
-    angles = F.explode(F.array(*(F.struct(F.lit(a).alias("deg"), F.lit(float(np.tan(np.radians(a)))).alias("t")) for a in ANGLES))).alias("a")
-    spread = inked.select("img_id", "x", "y", angles).select("img_id", F.col("a.deg").alias("deg"), (F.col("x") + F.col("a.t") * F.col("y")).cast("int").alias("col"))
-    columns = spread.groupBy("img_id", "deg", "col").agg(F.count("*").alias("c"))
-    scores = columns.groupBy("img_id", "deg").agg(F.sum(F.col("c") * F.col("c")).alias("score"), F.sum("c").alias("n"))
-    best = scores.groupBy("img_id").agg(F.max_by("deg", F.struct("score", -F.col("deg"))).alias("deg"), F.max("n").alias("n"))
-    return best.select("img_id", F.when(F.col("n") < LEAST_INK, 0).otherwise(F.col("deg")).alias("slant"))
+    An image's ink is one row, and rows come in Arrow batches, in which columns are counted angle by angle: what a task holds is a
+    batch's points. Columns of all angles as groups would be many times the ink, all in one task's table."""
+    rows = inked.groupBy("img_id").agg(F.collect_list(F.struct("y", "x")).alias("points"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = batch.column("points")
+            flat, ends = points.flatten(), np.asarray(points.offsets)
+            y, x = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("y", "x"))
+            found = _slants(np.repeat(np.arange(batch.num_rows), np.diff(ends)), y, x, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("img_id"), pa.array(found, pa.int32())], ["img_id", "slant"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["img_id"], T.StructField("slant", T.IntegerType())]))
 
 
 def row_stats(pixels: DataFrame) -> DataFrame:
