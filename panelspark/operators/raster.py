@@ -112,6 +112,8 @@ def ink_distances(inked: DataFrame, sizes: DataFrame) -> DataFrame:
     met = look.join(near, ["img_id", "row", "x"])
     up = F.abs(F.col("y") - F.col("row"))
     way = F.struct((F.greatest("across", up) - F.least("across", up) + F.least("across", up) * F.lit(2**0.5)).alias("far"), (F.greatest("across", up) - F.least("across", up)).alias("straight"), F.least("across", up).alias("diagonal"))
+    # by number, as few bytes are many rows here and would be gathered into few tasks; what follows goes by image too
+    met = met.repartition(int(inked.sparkSession.conf.get("spark.sql.shuffle.partitions")), "img_id")
     return met.groupBy("img_id", "y", "x").agg(F.min(way).alias("way")).select("img_id", "y", "x", "way.straight", "way.diagonal")
 
 
