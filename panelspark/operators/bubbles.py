@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelspark.functions.text import clean_line, is_noise, letters
+from panelspark.functions.text import clean_line, has_letters, is_noise
 from panelspark.operators.components import components
 from panelspark.storage import materialize
 
@@ -15,6 +20,8 @@ from panelspark.storage import materialize
 SIDE_PX = -5.0
 #: Height of a band by which a page's lines are dealt.
 BAND = 256
+#: Lines of a stretch of a page that is closed in one task; links that are held back there before they become a forest.
+STRETCH, HELD = 4096, 200_000
 
 
 @dataclass(frozen=True)
@@ -42,8 +49,8 @@ def kept_lines(lines: DataFrame) -> DataFrame:
 
 
 def written_lines(lines: DataFrame) -> DataFrame:
-    """The kept lines as a written table: clustering reads them several times, and cleaning is what costs most."""
-    return materialize(kept_lines(lines), "lines")
+    """The kept lines, without their raw text, as a written table: clustering reads them several times, and cleaning is what costs most."""
+    return materialize(kept_lines(lines).drop("raw_text"), "lines")
 
 
 def edges(lines: DataFrame, rule: MergeRule = MergeRule()) -> DataFrame:
@@ -78,27 +85,100 @@ def clusters(lines: DataFrame, rule: MergeRule = MergeRule()) -> DataFrame:
     return members(lines, rule).select("page_id", "line_no", "cluster")
 
 
-def members(lines: DataFrame, rule: MergeRule = MergeRule()) -> DataFrame:
-    """All columns of the lines with their cluster and, for the order inside it, their centre ``cy``.
+def _forest(links: pa.Table) -> pa.Table:
+    """(page_id, line_no, cluster): each line with a link, and the least line that links lead to."""
+    pages = pc.dictionary_encode(links.column("page_id").combine_chunks())
+    page, ends = pages.indices.to_numpy().astype(np.int64), [links.column(c).to_numpy().astype(np.int64) for c in ("a", "b")]
+    least = min(int(e.min()) for e in ends) if len(page) else 0
+    span = max(int(e.max()) for e in ends) - least + 1 if len(page) else 1
+    nodes, at = np.unique(np.concatenate([page * span + e - least for e in ends]), return_inverse=True)
+    a, b = at[: len(page)], at[len(page) :]
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        low = np.minimum(root[a], root[b])
+        hung = root.copy()
+        np.minimum.at(hung, root[a], low)
+        np.minimum.at(hung, root[b], low)
+        while (hung[hung] != hung).any():
+            hung = hung[hung]
+        root = hung[root]
+    number = links.schema.field("a").type
+    lines = [pa.array(x % span + least).cast(number) for x in (nodes, nodes[root])]
+    return pa.table([pages.dictionary.take(pa.array(nodes // span)), *lines], ["page_id", "line_no", "cluster"])
+
+
+def _closed(batches: Iterator[pa.RecordBatch], stretch: int, held: int) -> Iterator[pa.RecordBatch]:
+    """Links in order of page and stretch -> ``_forest`` of the links inside stretches, each stretch as a whole, and the links between
+    stretches as they are, with ``far``."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        links = pa.Table.from_batches([batch])
+        of = pc.floor(pc.divide(links.column("a").cast("double"), stretch))
+        far = pc.not_equal(of, pc.floor(pc.divide(links.column("b").cast("double"), stretch)))
+        for got in links.filter(far).to_batches():
+            yield pa.record_batch([got.column("page_id"), got.column("b"), got.column("a"), pa.repeat(True, got.num_rows)], ["page_id", "line_no", "cluster", "far"])
+        links, of = links.append_column("of", of).filter(pc.invert(far)), None
+        links = links if rest is None else pa.concat_tables([rest, links])
+        if not links.num_rows:
+            continue
+        last = links.slice(links.num_rows - 1)
+        same = pc.and_(pc.equal(links.column("page_id"), last.column("page_id")[0]), pc.equal(links.column("of"), last.column("of")[0]))
+        done, rest = links.filter(pc.invert(same)), links.filter(same)
+        if rest.num_rows > held:
+            trees = _forest(rest)
+            trees = trees.filter(pc.not_equal(trees.column("line_no"), trees.column("cluster")))
+            rest = pa.table([trees.column("page_id"), trees.column("cluster"), trees.column("line_no"), pa.repeat(last.column("of")[0], trees.num_rows)], links.schema)
+        if done.num_rows:
+            yield from _near(done)
+    if rest is not None and rest.num_rows:
+        yield from _near(rest)
+
+
+def _near(links: pa.Table) -> Iterator[pa.RecordBatch]:
+    trees = _forest(links)
+    return iter(trees.append_column("far", pa.repeat(False, trees.num_rows)).combine_chunks().to_batches())
+
+
+def closure(links: DataFrame) -> DataFrame:
+    """(page_id, line_no, cluster) of lines with a link: the least line that its links lead to.
+
+    Stretches of a page's lines are closed where they are dealt, in Arrow batches. What links between stretches join is closed as
+    one graph of the stretches' clusters, so that no page is closed in one task."""
+    stretch, held, count = STRETCH, HELD, Observation()
+    of = F.floor(F.col("a") / stretch)
+    dealt = links.repartition("page_id", of).sortWithinPartitions("page_id", of)
+    kind = {f.name: f.dataType for f in links.schema}
+    out = T.StructType([T.StructField("page_id", kind["page_id"]), T.StructField("line_no", kind["a"]), T.StructField("cluster", kind["a"]), T.StructField("far", T.BooleanType())])
+    table = materialize(dealt.mapInArrow(lambda batches: _closed(batches, stretch, held), out).observe(count, F.count_if("far").alias("n")), "closed")
+    near, far = table.where(~F.col("far")).drop("far"), table.where("far").drop("far")
+    if not count.get["n"]:
+        return near
+    ends = far.select("page_id", "line_no").unionByName(far.select("page_id", F.col("cluster").alias("line_no"))).distinct()
+    near = near.unionByName(ends.join(near, ["page_id", "line_no"], "left_anti").withColumn("cluster", F.col("line_no")))
+    node = lambda end, name: near.select("page_id", F.col("line_no").alias(end), F.struct("page_id", F.col("cluster").alias("line_no")).alias(name))
+    met = far.withColumnsRenamed({"line_no": "_b", "cluster": "_a"}).join(node("_a", "a"), ["page_id", "_a"]).join(node("_b", "b"), ["page_id", "_b"])
+    tops = components(met.select("a", "b")).select(F.col("node.page_id").alias("page_id"), F.col("node.line_no").alias("cluster"), F.col("root.line_no").alias("top"))
+    return near.join(tops, ["page_id", "cluster"], "left").select("page_id", "line_no", F.coalesce("top", "cluster").alias("cluster"))
+
 
-    Lines of all pages are the nodes of one graph, so that no page is closed in one task."""
-    node = lambda line: F.struct("page_id", F.col(line).alias("line_no")).alias(line)
-    closed = components(edges(lines, rule).select(node("a"), node("b")))
-    closed = closed.select(F.col("node.page_id").alias("page_id"), F.col("node.line_no").alias("line_no"), F.col("root.line_no").alias("cluster"))
-    labelled = lines.join(closed, ["page_id", "line_no"], "left")
+def members(lines: DataFrame, rule: MergeRule = MergeRule()) -> DataFrame:
+    """All columns of the lines with their cluster and, for the order inside it, their centre ``cy``."""
+    labelled = lines.join(closure(edges(lines, rule)), ["page_id", "line_no"], "left")
     return labelled.withColumns({"cluster": F.coalesce("cluster", "line_no"), "cy": (F.col("y1") + F.col("y2")) / 2})
 
 
 def bubbles(members: DataFrame) -> DataFrame:
     """One row for each cluster with more than two letters. Texts are joined in reading order within the aggregate; lines
     are dealt out by page, so that the page's order needs no second shuffle."""
-    ordered = F.array_sort(F.collect_list(F.struct("cy", "line_no", "text")))
+    ordered = F.sort_array(F.collect_list(F.struct("cy", "line_no", "text")))
     rows = members.repartition("page_id").groupBy("page_id", "cluster").agg(
         F.array_join(F.transform(ordered, lambda m: m["text"]), " ").alias("text"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"),
         F.avg((F.col("y2") - F.col("y1")).cast("double")).alias("line_height"), F.avg("angle").alias("angle"), F.bool_or("is_italic").alias("is_italic"), F.bool_or("is_bold").alias("is_bold"),
         F.count("*").alias("n_lines"), F.avg("cy").alias("cy"), F.min("line_no").alias("first_line"),
     )
-    return rows.where(F.length(letters(F.upper("text"))) > 2)
+    return rows.where(has_letters(F.upper("text"), 3))
 
 
 def ranked(members: DataFrame) -> DataFrame:
